@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from tempotrail.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tempotrail.llm.simhash import op3_simhash
+from tempotrail.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_warc": op2_warc,
+    "op3_simhash": op3_simhash,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op2_warc": OP2_SQL,
 }
