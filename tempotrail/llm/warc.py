@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, shared_folder, stored
+from tempotrail.llm.common import bounded_batches, partitions, shared_folder, small, stored
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
@@ -38,6 +38,8 @@ SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 #: Payloads from this size on are stored once.
 LEAST_REVISIT = 1000
 INDEX_SCHEMA = "record_id string, bundle string, frame int, offset long, length long"
+#: Repeated payloads whose digests (32 bytes) are broadcast at most; beyond it the join is shuffled.
+BROADCAST_PAYLOADS = 400_000
 RECORD_SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -149,12 +151,15 @@ def read_frame(file, entry: tuple[int, int, int]) -> bytes:
 def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
     """Per row: id, url, payload, revisit, refers_to.
 
-    Equal payloads are found by SHA-256; the counts combine on the map side, and only payloads that occur
-    twice are joined back.
+    Equal payloads are found by SHA-256; the counts combine on the map side.  The payloads themselves aren't
+    shuffled where the repeated digests are few enough to broadcast.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))))
     repeated = rows.filter("key is not null").groupBy("key").agg(F.max("id").alias("largest"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    repeated = stored(repeated, "warc-repeated")
+    if small(repeated, BROADCAST_PAYLOADS):
+        repeated = F.broadcast(repeated)
     revisit = F.col("largest").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("largest")))
     return rows.join(repeated, "key", "left").select("id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("largest")).alias("refers_to"))
 
