@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from tempotrail.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tempotrail.llm.mixing import op4_mixing
 from tempotrail.llm.simhash import op3_simhash
 from tempotrail.llm.warc import OP2_SQL, op2_warc
+from tempotrail.llm.winnowing import OP7_SQL, op7_winnowing
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
+    "op4_mixing": op4_mixing,
+    "op7_winnowing": op7_winnowing,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
+    "op7_winnowing": OP7_SQL,
 }
