@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tempotrail.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tempotrail.llm.mixing import op4_mixing
+from tempotrail.llm.sharding import op8_sharding
 from tempotrail.llm.simhash import op3_simhash
 from tempotrail.llm.warc import OP2_SQL, op2_warc
 from tempotrail.llm.winnowing import OP7_SQL, op7_winnowing
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op7_winnowing": op7_winnowing,
+    "op8_sharding": op8_sharding,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
