@@ -28,12 +28,15 @@ WINDOW, K = 10, 5
 #: k-grams a fingerprint is chosen from.
 SPAN = WINDOW - K + 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before lower-casing.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MOST_LONGS = 8192
 #: Rows of the items' table up to which it is broadcast (under 300 bytes each).
 BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,17 +50,32 @@ def grams(tokens: Column, k: int) -> Column:
     return F.coalesce(F.transform(starts, lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k)))), F.array().cast("array<bigint>"))
 
 
-def fingerprints(tokens: Column, k: int = K, span: int = SPAN) -> Column:
-    """(at, hash, lead, near) of each fingerprint: its position from 0, its hash, how many words near has before it, and the words of all windows that it lies in."""
+def fingerprints(tokens: Column, k: int = K, span: int = SPAN, maybe: Callable[[Column], Column] | None = None) -> Column:
+    """(at, hash, lead, near) of each fingerprint: its position from 0, its hash, how many words near has before it, and the words of all windows that it lies in.  maybe: leave out hashes for which it is false."""
     window = k + span - 1
 
-    def chosen(hashes: Column, least: Column) -> Column:
-        positions = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(F.slice(least, F.greatest(F.lit(1), i - (span - 2)), span), F.get(hashes, i)))
+    def chosen(hashes: Column) -> Column:
+        last = F.size(hashes) - span
+        is_least = lambda i: F.exists(F.sequence(F.greatest(F.lit(0), i - (span - 1)), F.least(i, last)), lambda j: F.array_min(F.slice(hashes, j + 1, span)) == F.get(hashes, i))
+        wanted = is_least if maybe is None else lambda i: maybe(F.get(hashes, i)) & is_least(i)
         lead = lambda i: F.least(i, F.lit(span - 1))
-        return F.transform(positions, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), lead(i).alias("lead"), F.slice(tokens, i - lead(i) + 1, lead(i) + window).alias("near")))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), wanted), lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), lead(i).alias("lead"), F.slice(tokens, i - lead(i) + 1, lead(i) + window).alias("near")))
 
-    least = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (span - 1)), lambda i: F.array_min(F.slice(h, i, span)))
-    return F.when(F.size(tokens) >= window, let(grams(tokens, k), lambda h: let(least(h), lambda m: chosen(h, m))))
+    return F.when(F.size(tokens) >= window, let(grams(tokens, k), chosen))
+
+
+def bit_test(hashes: DataFrame, rows: int) -> Callable[[Column], Column]:
+    """A test that every value of column hash passes, and few others: a bitmap of 32 bits a row, at most MOST_LONGS longs.
+
+    It only saves work before the join; where it is full, everything passes.
+    """
+    longs = 1 << min(MOST_LONGS.bit_length() - 1, max(4, (rows // 2).bit_length()))
+    place = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1).cast("int")
+    bit = lambda h: h.bitwiseAND(63).cast("int")
+    words = hashes.groupBy(place(F.col("hash")).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits"))
+    bits = dict(map(tuple, words.collect()))
+    bitmap = F.expr("array(" + ",".join(f"{bits.get(i, 0)}L" if bits.get(i, 0) != -(1 << 63) else "bigint(-9223372036854775808)" for i in range(longs)) + ")")
+    return lambda h: F.getbit(F.get(bitmap, place(h)), bit(h)) == 1
 
 
 def _hits(left: DataFrame, items: DataFrame, rows: int) -> DataFrame:
@@ -70,10 +88,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     key = F.xxhash64("text", F.lit(1)), F.xxhash64(F.lit(2), "text")
     docs = docs.select("doc_id", "text", key[0].alias("key1"), key[1].alias("key2"))
     items = stored(items.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0), "benchmark-words")
-    left = docs.select("doc_id", "key1", "key2", F.explode(let(words(F.col("text")), lambda w: fingerprints(w, k, span))).alias("f")).select("doc_id", "key1", "key2", "f.*")
     right = items.select("item_id", F.explode(let(F.col("words"), lambda w: fingerprints(w, k, span))).alias("f"))
     right = stored(right.select("item_id", F.col("f.hash").alias("hash"), F.col("f.lead").alias("item_lead"), F.col("f.near").alias("item_near")), "benchmark-fingerprints")
-    found = _hits(left, right, right.count())
+    fine = right.count()
+    maybe = bit_test(right.select("hash"), fine)
+    left = docs.select("doc_id", "key1", "key2", F.explode(let(words(F.col("text")), lambda w: fingerprints(w, k, span, maybe))).alias("f")).select("doc_id", "key1", "key2", "f.*")
+    found = _hits(left, right, fine)
     # windows around the hit, by how far before the k-gram they start
     same = lambda back: F.slice("near", F.col("lead") - back + 1, window) == F.slice("item_near", F.col("item_lead") - back + 1, window)
     inside = lambda back: (back <= F.least("lead", "item_lead")) & (F.col("lead") - back + window <= F.size("near")) & (F.col("item_lead") - back + window <= F.size("item_near"))
@@ -96,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         every = every.unionByName(part)
     by_doc = every.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.collect_set("item_id").alias("item_ids"))
     by_doc = stored(by_doc, "benchmark-hits").select(F.col("doc_id").alias("hit_id"), F.col("key1").alias("hit1"), F.col("key2").alias("hit2"), "hits", "item_ids")
-    slim = docs.select("doc_id", "key1", "key2", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    slim = docs.select("doc_id", "key1", "key2", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     same_row = (F.col("key1") == F.col("hit1")) & (F.col("key2") == F.col("hit2")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
     return slim.join(by_doc, same_row, "left").select("doc_id", "key1", "key2", "n_words", "hits", "item_ids")
 
