@@ -7,6 +7,7 @@ from tempotrail.llm.language import op9_language
 from tempotrail.llm.mixing import op4_mixing
 from tempotrail.llm.sharding import op8_sharding
 from tempotrail.llm.simhash import op3_simhash
+from tempotrail.llm.substring import op10_substring
 from tempotrail.llm.warc import OP2_SQL, op2_warc
 from tempotrail.llm.winnowing import OP7_SQL, op7_winnowing
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_winnowing": op7_winnowing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
+    "op10_substring": op10_substring,
 }
 ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
