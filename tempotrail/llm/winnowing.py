@@ -28,8 +28,8 @@ WINDOW, K = 10, 5
 #: k-grams a fingerprint is chosen from.
 SPAN = WINDOW - K + 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+NOT_WORD_YET = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MOST_LONGS = 8192
 #: Rows of the items' table up to which it is broadcast (under 300 bytes each).
 BROADCAST_ROWS = 200_000
@@ -116,7 +116,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         every = every.unionByName(part)
     by_doc = every.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.collect_set("item_id").alias("item_ids"))
     by_doc = stored(by_doc, "benchmark-hits").select(F.col("doc_id").alias("hit_id"), F.col("key1").alias("hit1"), F.col("key2").alias("hit2"), "hits", "item_ids")
-    slim = docs.select("doc_id", "key1", "key2", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    slim = docs.select("doc_id", "key1", "key2", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), NOT_WORD_YET), "")).cast("long").alias("n_words"))
     same_row = (F.col("key1") == F.col("hit1")) & (F.col("key2") == F.col("hit2")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
     return slim.join(by_doc, same_row, "left").select("doc_id", "key1", "key2", "n_words", "hits", "item_ids")
 
