@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tempotrail.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tempotrail.llm.language import op9_language
+from tempotrail.llm.lattice_lm import op5_lattice_lm
 from tempotrail.llm.mixing import op4_mixing
 from tempotrail.llm.sharding import op8_sharding
 from tempotrail.llm.simhash import op3_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
+    "op5_lattice_lm": op5_lattice_lm,
     "op7_winnowing": op7_winnowing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
