@@ -5,8 +5,10 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,9 @@ def small(df: DataFrame, rows: int) -> bool:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sliced(df: pd.DataFrame, rows: int = 20_000) -> Iterator[pd.DataFrame]:
+    """A large frame as several, for Arrow makes several chunks of a long column, which Spark doesn't take."""
+    for at in range(0, len(df), rows):
+        yield df.iloc[at : at + rows]

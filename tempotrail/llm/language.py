@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, stored
+from tempotrail.llm.common import bounded_batches, sliced, stored
 
 SAMPLE_DOCS = 4000
 MOST_WORDS, MOST_LANGUAGES = 20_000, 200
@@ -56,8 +56,8 @@ def word_counts(labelled: DataFrame) -> DataFrame:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 held.update((lang, w) for w in _words(text or ""))
                 if len(held) > _HELD_WORDS:
-                    yield flushed()
-        yield flushed()
+                    yield from sliced(flushed())
+        yield from sliced(flushed())
 
     bounded_batches(labelled.sparkSession)
     return labelled.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, stored
+from tempotrail.llm.common import bounded_batches, sliced, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that go to every task.
@@ -120,8 +120,8 @@ def token_counts(texts: DataFrame) -> DataFrame:
                 held.update((text or "").encode().lower().split())
                 held[b""] += 1
                 if len(held) > _HELD_WORDS:
-                    yield flushed()
-        yield flushed()
+                    yield from sliced(flushed())
+        yield from sliced(flushed())
 
     bounded_batches(texts.sparkSession)
     return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
