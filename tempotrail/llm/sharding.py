@@ -11,7 +11,7 @@ capacities and so of places for each cut; these ranges are summed up finer, unti
 enough to look at one by one.
 
 Slots number a shard's rows from 0 in the order of text hash and id.  A group of many rows is numbered in
-parts of about 4096 rows, so a text that makes up a third of all rows is no task's own.
+parts of about 512 rows, so a text that makes up a third of all rows is no task's own.
 
 Defined cases: a null text counts as empty, and groups with empty texts; a null id comes first in a group;
 repeated rows are rows of their own, in any order among themselves; with fewer groups than shards some shards
@@ -32,7 +32,7 @@ SHARDS = 16
 STEPS = 16_384
 #: Running totals that are looked at one by one.
 FINE = 200_000
-PART_ROWS = 4096
+PART_ROWS = 512
 
 
 def _in_bin(*order: str) -> F.Column:
@@ -41,8 +41,8 @@ def _in_bin(*order: str) -> F.Column:
 
 def running_totals(groups: DataFrame) -> DataFrame:
     """groups (hash: binary, size, rows) with upto and rows_upto, the totals of the groups up to each by hash."""
-    binned = groups.withColumn("bin", F.conv(F.substring(F.hex("hash"), 1, 4), 16, 10).cast("int"))
-    bins = binned.groupBy("bin").agg(F.sum("size").alias("s"), F.sum("rows").alias("r"))  # 65536 rows at most
+    binned = groups.withColumn("bin", F.conv(F.substring(F.hex("hash"), 1, 3), 16, 10).cast("int"))
+    bins = binned.groupBy("bin").agg(F.sum("size").alias("s"), F.sum("rows").alias("r"))  # 4096 rows at most
     before = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.select("bin", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"))
     binned = binned.withColumn("upto", F.sum("size").over(_in_bin("hash"))).withColumn("rows_upto", F.sum("rows").over(_in_bin("hash")))
