@@ -6,6 +6,7 @@ from tempotrail.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tempotrail.llm.language import op9_language
 from tempotrail.llm.lattice_lm import op5_lattice_lm
 from tempotrail.llm.mixing import op4_mixing
+from tempotrail.llm.sanitise import op6_sanitise
 from tempotrail.llm.sharding import op8_sharding
 from tempotrail.llm.simhash import op3_simhash
 from tempotrail.llm.substring import op10_substring
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mixing": op4_mixing,
     "op5_lattice_lm": op5_lattice_lm,
+    "op6_sanitise": op6_sanitise,
     "op7_winnowing": op7_winnowing,
     "op8_sharding": op8_sharding,
     "op9_language": op9_language,
