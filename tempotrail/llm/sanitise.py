@@ -28,7 +28,7 @@ from tempotrail.llm.common import bounded_batches, sliced, small, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR, LEAST_TEXTS, THRESHOLD = 4, 3, 0.9
+NEAR, LEAST_TEXTS, THRESHOLD = 4, 2, 0.9
 BROADCAST_TERMS = 200_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
