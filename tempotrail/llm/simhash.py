@@ -13,6 +13,10 @@ most one less than it has fingerprints, so a dense cluster never makes all its p
 
 Links become groups by repeated large-star and small-star steps, each stored in the shared folder.
 
+With more bits allowed, links can be held against the texts' Jaccard similarity.  That is done for the links
+that span the groups, nearest first, not for all pairs of a group: a member that is similar enough only to
+members it isn't linked with directly stays apart.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a
 text of fewer words than a shingle is one shingle; equal texts share a fingerprint; a null id never is a
 component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
@@ -20,7 +24,7 @@ component's id unless all its ids are null; an empty table gives an empty result
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -29,17 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, stored
+from tempotrail.llm.common import bounded_batches, partitions, small, stored
 
 SEED = 42
 #: A bucket's mean size up to which r stays, and the size from which a bucket is cut into chunks.
-MEAN_BUCKET, CHUNK = 256, 8192
+MEAN_BUCKET, CHUNK, MOST_CHOICES = 256, 8192, 256
 #: Rows of buckets that a task holds at once.
 TASK_ROWS = 1_000_000
 #: Node pairs that the walk holds at once.
 SLAB = 200_000
 #: Node pairs with so many leaf pairs or fewer are compared outright.
 LEAVES = 64
+#: Fingerprints that are broadcast at most; beyond it, shuffled joins.
+BROADCAST_ENDS = 300_000
+_TEXT = "_text"
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -74,7 +81,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text") -> D
 def _blocks(k: int, n: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
     """Bit ranges of the blocks, and the choices of blocks that lie on top."""
     r = 1
-    while r < 4 and n / 2 ** (64 * r // (k + r)) > MEAN_BUCKET:
+    while r < 4 and n / 2 ** (64 * r // (k + r)) > MEAN_BUCKET and len(list(combinations(range(k + r + 1), r + 1))) < MOST_CHOICES:
         r += 1
     edges = np.linspace(0, 64, k + r + 1).astype(int).tolist()
     return list(zip(edges, edges[1:], strict=False)), list(combinations(range(k + r), r))
@@ -97,14 +104,14 @@ class Groups:
         self.label = np.arange(n)
 
     def join(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Join the pairs; returns those that joined two groups."""
+        """Join the pairs, which come nearest first; returns those that joined two groups."""
         label, used = self.label, []
         la, lb = label[a], label[b]
         apart = np.flatnonzero(la != lb)
         if not len(apart):
             return used
-        _, first = np.unique(np.stack([np.minimum(la[apart], lb[apart]), np.maximum(la[apart], lb[apart])]), axis=1, return_index=True)
-        for i in apart[first].tolist():
+        _, first = np.unique(np.minimum(la[apart], lb[apart]) * len(label) + np.maximum(la[apart], lb[apart]), return_index=True)
+        for i in np.sort(apart[first]).tolist():
             x, y = int(a[i]), int(b[i])
             while label[x] != x:
                 x = int(label[x])
@@ -172,7 +179,9 @@ def _leaves(keys: np.ndarray, groups: Groups, a0, a1, b0, b1, k: int) -> list[tu
         pair = np.repeat(np.arange(len(size)), size)
         nth = np.arange(len(pair)) - np.repeat(np.cumsum(size) - size, size)
         i, j = a0[s][pair] + nth // nb[pair], b0[s][pair] + nth % nb[pair]
-        near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= k)
+        cost = np.bitwise_count(keys[i] ^ keys[j])
+        near = np.flatnonzero((i < j) & (cost <= k))
+        near = near[np.argsort(cost[near], kind="stable")]
         links += groups.join(i[near], j[near])
     return links
 
@@ -240,14 +249,49 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fp and component_id, the smallest id among all rows that links of at most k bits reach."""
-    prints = stored(fingerprints(docs.select(F.col(id_col).alias("id"), text_col), shingle, text_col), "simhash")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    groups = components(near_links(distinct.select("fp"), k))
+def similar_links(links: DataFrame, prints: DataFrame, least: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """The links (a, b) between fingerprints whose texts share at least so much of all their shingles (Jaccard).
+
+    prints has fp and the text; one text stands for a fingerprint.
+    """
+    ends = stored(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ends")
+    texts = prints.join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "fp", "left_semi").groupBy("fp").agg(F.min(text_col).alias("text"))
+
+    @F.pandas_udf("array<long>")
+    def shingles(text: pd.Series) -> pd.Series:
+        out = []
+        for x in text:
+            words = (x or "").encode().lower().split()
+            out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64)).view(np.int64))
+        return pd.Series(out)
+
+    bounded_batches(links.sparkSession)
+    sets = stored(texts.select("fp", shingles("text").alias("set")), "simhash-sets")
+    left, right = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    both = links.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
+    return both.filter(F.col("shared") >= least * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: id, fp, row, component_id (the smallest id among all rows that links of at most k bits reach),
+    first_row (one row of the component with that id), and the columns of keep.
+
+    similarity: links whose texts are less similar than this (Jaccard of their shingles) don't count.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_col, F.monotonically_increasing_id().alias("row"), *(c for c in keep if c != text_col))
+    kept = rows.withColumn(_TEXT, F.col(text_col)) if similarity or text_col in keep else rows
+    prints = stored(fingerprints(kept, shingle, text_col), "simhash")
+    distinct = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")), "simhash-distinct")
+    links = near_links(distinct.select("fp"), k)
+    if similarity:
+        links = similar_links(links, prints, similarity, shingle, _TEXT)
+    groups = components(links)
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(stored(rooted.join(ids, "root").select("fp", "component_id"), "simhash-groups"), "fp").select("id", "fp", "component_id")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    named = stored(rooted.drop("least").join(ids, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row")), "simhash-groups")
+    named = F.broadcast(named) if small(named, BROADCAST_ENDS) else named
+    out = prints.join(named, "fp")
+    return out.select("id", "fp", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
+def keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes that stand for a text beside its id."""
+    return F.xxhash64(text, F.lit(1)), F.xxhash64(F.lit(2), text)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), the value computed once; named columns may be computed again at each use in a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -83,10 +88,9 @@ def _hits(left: DataFrame, items: DataFrame, rows: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, hits (positions), item_ids."""
+    """Per row of docs (doc_id, text): doc_id, key1, key2, n_words, hits (positions, null for none), item_ids."""
     span = window - k + 1
-    key = F.xxhash64("text", F.lit(1)), F.xxhash64(F.lit(2), "text")
-    docs = docs.select("doc_id", "text", key[0].alias("key1"), key[1].alias("key2"))
+    docs = docs.select("doc_id", "text", *(key.alias(name) for key, name in zip(keys(F.col("text")), ("key1", "key2"), strict=True)))
     items = stored(items.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0), "benchmark-words")
     right = items.select("item_id", F.explode(let(F.col("words"), lambda w: fingerprints(w, k, span))).alias("f"))
     right = stored(right.select("item_id", F.col("f.hash").alias("hash"), F.col("f.lead").alias("item_lead"), F.col("f.near").alias("item_near")), "benchmark-fingerprints")
