@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tempotrail.plans import aggregates, filters, geometry, identity, ingest, joins, replay, scalars, status, stream, validation, windows  # noqa: F401
+from tempotrail.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
