@@ -34,11 +34,13 @@ from tempotrail.llm.common import bounded_batches, partitions, release, small, s
 WINDOW = 20
 SEGMENTS = 256
 BITS_A_BLOCK, MOST_BITS, PROBES = 16, 1 << 30, 4
-#: Windows in a bucket, and words that a task looks at together.
-BUCKET_WINDOWS, TASK_WORDS = 2_000_000, 4_000_000
+#: Windows in a bucket, and windows that a task brings together before it sends them.
+BUCKET_WINDOWS, TASK_WINDOWS = 2_000_000, 1_000_000
 #: Rows of removed spans that are broadcast at most, and their bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Makes the second half of a window's hash from other word hashes.
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -50,7 +52,7 @@ class _Hashes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = out = xxhash.xxh64_intdigest(word, self.seed)
         return out
@@ -91,7 +93,7 @@ class Filter:
     @staticmethod
     def places(h: np.ndarray, size: int) -> list[np.ndarray]:
         step = _mixed(h) | np.uint64(1)
-        return [(h + step * np.uint64(i)) % np.uint64(size) for i in range(PROBES)]
+        return [(h + step * np.uint64(i)) & np.uint64(size - 1) for i in range(PROBES)]
 
     @staticmethod
     def _test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -109,29 +111,15 @@ class Filter:
             np.bitwise_or.at(second, p >> np.uint64(3), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
 
     def hits(self, h: np.ndarray, second: bool) -> np.ndarray:
-        bits, start = (self.second if second else self.first), (h >> np.uint64(56)) * np.uint64(self.size)
-        found = np.ones(len(h), bool)
-        for p in self.places(h, self.size):
-            found[found] = self._test(bits, (start + p)[found])
+        bits, left = (self.second if second else self.first), np.arange(len(h))
+        start, step, mask = (h >> np.uint64(56)) * np.uint64(self.size), _mixed(h) | np.uint64(1), np.uint64(self.size - 1)
+        for i in range(PROBES):  # most fall out at the first
+            left = left[self._test(bits, start[left] + ((h[left] + step[left] * np.uint64(i)) & mask))]
+        found = np.zeros(len(h), bool)
+        found[left] = True
         return found
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Rows (id or None, check, words) of so many words together; a long text may come alone."""
-    held, n = [], 0
-    for batch in batches:
-        ids = batch["id"].astype(object).where(batch["id"].notna(), None)
-        for i, check, text in zip(ids, batch["check"], batch["text"], strict=True):
-            words = (text or "").encode().split()
-            held.append((None if i is None else int(i), int(check), words))
-            n += len(words)
-            if n >= TASK_WORDS:
-                yield held
-                held, n = [], 0
-    if held:
-        yield held
-
-
 def block_index(rows: DataFrame, window: int = WINDOW) -> tuple[Filter, int]:
     """The filters over all blocks of rows (id, check, text), and the number of words."""
     spark, block = rows.sparkSession, window // 2
@@ -205,35 +193,42 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = spark.sparkContext.broadcast(filters)  # MOST_BITS / 4 bytes at most
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memos = _Hashes(1), _Hashes(2)
-        for held in _texts(batches):
-            parts = []
-            for row, (i, _, w) in enumerate(held):
-                starts = candidates(_word_hashes(w, memos[0]), shared.value, window) if len(w) >= window else ()
+        memo, held, parts, n = _Hashes(1), [], [], 0
+        for batch in batches:
+            ids = batch["id"].astype(object).where(batch["id"].notna(), None)
+            for i, check, text in zip(ids, batch["check"], batch["text"], strict=True):
+                words = (text or "").encode().split()
+                hashes = _word_hashes(words, memo) if len(words) >= window else ()
+                starts = candidates(hashes, shared.value, window) if len(hashes) else ()
                 if len(starts):
-                    lo, hi = int(starts[0]), int(starts[-1]) + window
-                    a = rolling(_word_hashes(w[lo:hi], memos[0]), window, _BASES[0])[starts - lo]
-                    b = rolling(_word_hashes(w[lo:hi], memos[1]), window, _BASES[1])[starts - lo]
-                    parts.append((a, b, np.full(len(starts), row), starts, np.full(len(starts), _LAST if i is None else i)))
-            if not parts:
-                continue
-            a, b, row, start, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order, earliest, later = _ranked(a, b, ids, start)
-            yield _by_text(row[order][later], start[order][later], held, buckets)
-            sent = order[earliest]
-            sent = sent[np.lexsort((start[sent], row[sent], a[sent] % np.uint64(buckets)))]
-            a, b, row, start = a[sent], b[sent], row[sent], start[sent]
-            bucket = (a % np.uint64(buckets)).astype(np.int64)
-            new = np.concatenate(([True], (np.diff(row) != 0) | (np.diff(bucket) != 0)))
-            of = np.flatnonzero(new)
-            counts = np.diff(np.append(of, len(row)))
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            for x, y in zip(edges, edges[1:], strict=False):
-                g0, g1 = np.searchsorted(of, [x, y])
-                texts = [held[r] for r in row[of[g0:g1]]]
-                ids_of = np.array([_LAST if t[0] is None else t[0] for t in texts], np.int64)
-                checks = np.array([t[1] for t in texts], np.int64)
-                yield pd.DataFrame({"bucket": [int(bucket[x])], "a": [a[x:y].tobytes()], "b": [b[x:y].tobytes()], "start": [start[x:y].astype(np.int32).tobytes()], "id": [ids_of.tobytes()], "check": [checks.tobytes()], "n": [counts[g0:g1].astype(np.int32).tobytes()]})
+                    lo = int(starts[0])
+                    near = hashes[lo : int(starts[-1]) + window]
+                    parts.append((rolling(near, window, _BASES[0])[starts - lo], rolling(_mixed(near ^ _SECOND), window, _BASES[1])[starts - lo], np.full(len(starts), len(held), np.int32), starts.astype(np.int32)))
+                    held.append((_LAST if i is None else int(i), int(check)))
+                    n += len(starts)
+                if n >= TASK_WINDOWS:
+                    yield from packed_rows(parts, held)
+                    held, parts, n = [], [], 0
+        if parts:
+            yield from packed_rows(parts, held)
+
+    def packed_rows(parts: list[tuple], held: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        a, b, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        of_row = np.array(held, np.int64).reshape(-1, 2)
+        order, earliest = _ranked(a, b, of_row[row, 0], start)
+        yield _by_text(row[order][~earliest], start[order][~earliest], held, buckets)
+        sent = order[earliest]
+        bucket = (a[sent] % np.uint64(buckets)).astype(np.int32)
+        sent = sent[np.lexsort((start[sent], row[sent], bucket))]
+        a, b, row, start = a[sent], b[sent], row[sent], start[sent]
+        bucket = (a % np.uint64(buckets)).astype(np.int32)
+        of = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(bucket) != 0))))
+        counts = np.diff(np.append(of, len(row))).astype(np.int32)
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+        for x, y in zip(edges, edges[1:], strict=False):
+            g0, g1 = np.searchsorted(of, [x, y])
+            texts = of_row[row[of[g0:g1]]]
+            yield pd.DataFrame({"bucket": [int(bucket[x])], "a": [a[x:y].tobytes()], "b": [b[x:y].tobytes()], "start": [start[x:y].tobytes()], "id": [texts[:, 0].tobytes()], "check": [texts[:, 1].tobytes()], "n": [counts[g0:g1].tobytes()]})
 
     schema = "bucket int, a binary, b binary, start binary, id binary, check binary, n binary"
     bounded_batches(spark)
@@ -253,8 +248,8 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             start = np.concatenate([np.frombuffer(r.start, np.int32) for r in got])
             n = np.concatenate([np.frombuffer(r.n, np.int32) for r in got])
             ids, checks = (np.repeat(np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in got]), n) for c in ("id", "check"))
-            order, _, later = _ranked(a, b, ids, start)
-            at = order[later]
+            order, earliest = _ranked(a, b, ids, start)
+            at = order[~earliest]
             at = at[np.lexsort((start[at], checks[at], ids[at]))]
             ids, checks, start = ids[at], checks[at], start[at]
             edges = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(checks) != 0)) + 1, [len(ids)])) if len(ids) else np.zeros(1, int)
@@ -278,17 +273,26 @@ def _null_ids(ids: np.ndarray) -> pd.Series:
     return pd.Series(ids, dtype="Int64").mask(ids == _LAST)
 
 
-def _ranked(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by hash and place; which stand at the earliest place of their hash, and which after it."""
-    order = np.lexsort((start, ids, b, a))
-    a, b, ids, start = a[order], b[order], ids[order], start[order]
-    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    first = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    earliest = (ids == ids[first]) & (start == start[first])
-    return order, earliest, ~earliest
-
-
-def _by_text(row: np.ndarray, start: np.ndarray, held: list[tuple], buckets: int) -> pd.DataFrame:
+def _ranked(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hashes together, and which of it stand at the earliest place of their hash."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():  # one half of the hash alone agrees
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    new = np.concatenate(([True], ~same))[: len(order)]
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    ids, start = ids[order], start[order]
+    if not len(first):
+        return order, np.zeros(0, bool)
+    least = ids == np.minimum.reduceat(ids, first)[group]
+    at = np.where(least, start, np.iinfo(np.int32).max)
+    return order, least & (start == np.minimum.reduceat(at, first)[group])
+
+
+def _by_text(row: np.ndarray, start: np.ndarray, held: list[tuple[int, int]], buckets: int) -> pd.DataFrame:
     """Starts to remove, a row a text; they pass through a bucket of the text."""
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
@@ -297,7 +301,7 @@ def _by_text(row: np.ndarray, start: np.ndarray, held: list[tuple], buckets: int
     pack = lambda x: np.array([x], np.int64).tobytes()
     return pd.DataFrame({
         "bucket": pd.Series([t[1] % buckets for t in texts], dtype="int64"), "a": None, "b": None, "start": [start[x:y].astype(np.int32).tobytes() for x, y in zip(edges, edges[1:], strict=False)],
-        "id": [pack(_LAST if t[0] is None else t[0]) for t in texts], "check": [pack(t[1]) for t in texts], "n": None,
+        "id": [pack(t[0]) for t in texts], "check": [pack(t[1]) for t in texts], "n": None,
     })
 
 
