@@ -127,13 +127,25 @@ def token_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, at most so many: those over a frequency that a histogram gives."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    total, least = 0, 1 << 30
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 16 levels for each doubling
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return counts.filter(level >= least)
+
+
 def score(docs: DataFrame, held_out: str = "held_out", vocabulary: str = VOCABULARY, head_words: int = HEAD_WORDS) -> DataFrame:
     """Per row of docs (doc_id, text, held_out): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     counts = stored(token_counts(docs.filter(~F.col(held_out))), "lm-counts")
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     scorer = Scorer(Lattice.load(vocabulary), whole["n"] or 0, whole["v"])
-    top = counts.orderBy(F.desc("n"), "word").limit(head_words).collect()  # at most head_words
+    top = frequent(counts, head_words).collect()  # at most head_words
     head = spark.sparkContext.broadcast({r["word"].encode(): (scorer.base(r["n"]), scorer.model(r["word"], r["n"])) for r in top})
     shared = spark.sparkContext.broadcast(scorer)
 
