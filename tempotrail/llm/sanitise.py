@@ -29,7 +29,7 @@ from tempotrail.llm.common import bounded_batches, sliced, small, stored
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 NEAR, LEAST_TEXTS, THRESHOLD = 4, 2, 0.9
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS = 400_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -120,34 +120,51 @@ def _found(docs: DataFrame) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and in how many different texts it stands, for the given terms."""
+    """term and in how many different texts it stands, for the given terms (term, most).
+
+    A task stops counting a term over most, where no pair of it can pass any more.
+    """
     few = small(terms, BROADCAST_TERMS)
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in terms.collect()) if few else None)  # BROADCAST_TERMS at most
+    wanted = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.collect()} if few else None)  # BROADCAST_TERMS at most
 
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = wanted.value
+        most, held = wanted.value, {}
+        for batch in batches:
+            for check, text in zip(batch["check"], batch["text"], strict=True):
+                for term in (terms_of(text or "") & most.keys()) if most else ():
+                    if len(checks := held.setdefault(term, set())) <= most[term]:
+                        checks.add(check)
+        yield from sliced(pd.DataFrame([(t, c) for t, checks in held.items() for c in checks], columns=["term", "check"]))
+
+    def hold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(t, c) for c, text in zip(batch["check"], batch["text"], strict=True) for t in ((terms_of(text or "") if only is None else terms_of(text or "") & only) if only is None or only else ())]
-            yield from sliced(pd.DataFrame(rows, columns=["term", "check"]))
+            yield from sliced(pd.DataFrame([(t, c) for c, text in zip(batch["check"], batch["text"], strict=True) for t in terms_of(text or "")], columns=["term", "check"]))
 
     bounded_batches(docs.sparkSession)
-    held = docs.select("check", "text").mapInPandas(hold, "term string, check long")
+    held = docs.select("check", "text").mapInPandas(hold if few else hold_all, "term string, check long")
     if not few:
-        held = held.join(terms, "term", "left_semi")
+        held = held.join(terms.select("term"), "term", "left_semi")
     return held.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
 
 
 def revealing(found: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
-    """term, entity and disclosure of the pairs over the threshold; stored."""
+    """term, entity and disclosure of the pairs over the threshold; stored.
+
+    A term stands in at least as many texts as it stands near any entity, so that pairs which fail with that
+    number are left out before terms are counted in all texts.
+    """
     near = found.select("check", F.explode("near").alias("n")).select("check", "n.term", "n.entity").distinct()
-    together = stored(near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= least), "pii-together")
+    together = near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
     holders = found.select("check", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = stored(together.select("term").distinct(), "pii-terms")
-    texts = found.select(F.count_distinct("check")).first()[0] if not terms.isEmpty() else 1
-    counted = together.join(_frequencies(docs, terms), "term").join(holders, "entity")
+    nearest = near.select("term", "check").distinct().groupBy("term").agg(F.count("*").alias("near_any"))
+    texts = found.select("check").distinct().count()
     information = F.log(F.lit(float(max(texts, 2))) / F.col("with_entity"))
-    given = F.log(F.col("with_term") / F.col("together"))
-    return stored(counted.withColumn("disclosure", F.when(information > 0, 1 - given / information).otherwise(0.0)).filter(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"), "pii-revealing")
+    disclosure = lambda with_term: F.when(information > 0, 1 - F.log(with_term / F.col("together")) / information).otherwise(0.0)
+    pairs = together.join(holders, "entity").join(nearest, "term").filter(disclosure(F.col("near_any")) >= threshold)
+    pairs = stored(pairs.withColumn("most", F.floor(F.col("together") * F.exp(information * (1 - threshold)) + 1e-9)), "pii-pairs")
+    terms = stored(pairs.groupBy("term").agg(F.max("most").alias("most")), "pii-terms")
+    counted = pairs.join(_frequencies(docs, terms), "term").withColumn("disclosure", disclosure(F.col("with_term")))
+    return stored(counted.filter(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"), "pii-revealing")
 
 
 def find_personal(docs: DataFrame, least: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
