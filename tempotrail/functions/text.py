@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 # fixed values: spellings of nothing
-PLACEHOLDERS = ("", "-", "--", "–", "—", "n/a", "na", "null", "none", "unknown", "okänd")
+PLACEHOLDERS = ("n a", "na", "saknas", "ej angivet", "unknown")
+# fixed values: patterns of times, and marks of a club's name
+CLOCK = r"(?<!\d)(?:(\d{1,2}):)?([0-5]?\d):([0-5]\d)(?!\d)"
+DURATION = r"PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
+CLUB_MARKS = r"(^|\s)(if|fk|sk|ok|ik|aik|team|club|klubb|forening)(\s|$)|loparklubb|friidrott|runacademy|running"
 
 
 def clean(text: Column) -> Column:
@@ -28,10 +32,10 @@ def normalised(text: Column, separator: str = " ") -> Column:
 
 
 def club(text: Column) -> Column:
-    """A club's key: capitals without marks, usual words shortened, company words gone."""
+    """A club's key: capitals without marks, usual words shortened, company and country words gone."""
     out = F.upper(unmarked(F.coalesce(text, F.lit(""))))
     # fixed values: words of club names and their short forms
-    for word, short in (("&", " OCH "), (r"\bIDROTTSKLUBB\b", "IK"), (r"\bIDROTTSFORENING\b", "IF"), (r"\bSKIDKLUBB\b", "SK"), (r"\bLOPARKLUBB\b", "LK"), (r"\bAB\b", " "), (r"\bSWEDEN\b", " ")):
+    for word, short in (("&", " OCH "), (r"\bIDROTTSKLUBB\b", " IK "), (r"\bIDROTTSFORENING\b", " IF "), (r"\bFRIIDROTTSKLUBB\b", " FK "), (r"\b(AKTIEBOLAG|AB|SWEDEN|SVERIGE)\b", " ")):
         out = F.regexp_replace(out, word, short)
     return F.trim(F.regexp_replace(out, "[^A-Z0-9]+", " "))
 
@@ -53,22 +57,21 @@ def class_order(text: Column) -> list[Column]:
 
 def seconds(text: Column) -> Column:
     """The first h:mm:ss or mm:ss in a text."""
-    three, two = r"(?<!\d)(\d{1,2}):([0-5]\d):([0-5]\d)(?!\d)", r"(?<![\d:])(\d{1,3}):([0-5]\d)(?![\d:])"
-    part = lambda p, i: F.regexp_extract(text, p, i).try_cast("int")
-    return F.coalesce(part(three, 1) * 3600 + part(three, 2) * 60 + part(three, 3), part(two, 1) * 60 + part(two, 2))
+    part = lambda i: F.regexp_extract(text, CLOCK, i).try_cast("int")
+    return F.coalesce(part(1), F.lit(0)) * 3600 + part(2) * 60 + part(3)
 
 
 def pace(text: Column) -> Column:
-    p = r"(\d{1,2})[:.,]([0-5]\d)"
+    p = r"(\d{1,2})[:.,](\d{2})"
     return F.regexp_extract(text, p, 1).try_cast("int") * 60 + F.regexp_extract(text, p, 2).try_cast("int")
 
 
 def number(text: Column) -> Column:
-    return F.replace(F.regexp_extract(text, r"(-?\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), r"(-?\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def signed_seconds(text: Column) -> Column:
-    return seconds(text) * F.when(F.trim(text).rlike("^[-–−]"), -1).otherwise(1)
+    return seconds(text) * F.when(F.trim(text).startswith("-"), -1).otherwise(1)
 
 
 def whole(text: Column) -> Column:
@@ -76,18 +79,17 @@ def whole(text: Column) -> Column:
 
 
 def any_seconds(text: Column) -> Column:
-    """A number of seconds (or milliseconds over a million), a PT..H..M..S duration, or a clock text."""
+    """A number of seconds (or milliseconds over a million) under 48 hours, a PT..H..M..S duration, or a clock text."""
     n = F.trim(text).try_cast("double")
     n = F.when(n > 1_000_000, n / 1000).otherwise(n)
-    iso = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.\d+)?S)?$"
-    part = lambda i: F.coalesce(F.regexp_extract(F.trim(text), iso, i).try_cast("int"), F.lit(0))
-    return F.when(n.isNotNull(), F.when((n >= 0) & (n <= 48 * 3600), F.floor(n + 0.5))).when(F.trim(text).rlike(iso), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(seconds(text)).cast("long")
+    part = lambda i: F.coalesce(F.regexp_extract(text, DURATION, i).try_cast("int"), F.lit(0))
+    return F.when(n.isNotNull(), F.when((n >= 0) & (n < 48 * 3600), F.bround(n))).when(text.rlike(DURATION), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(seconds(text)).cast("long")
 
 
 def optional(text: Column) -> Column:
-    """Null for placeholders."""
+    """Null for placeholders and for texts without a letter or digit."""
     value = clean(text)
-    return F.when(~F.lower(value).isin(*PLACEHOLDERS), value)
+    return F.when(value.rlike(r"[\p{L}\p{N}]") & ~normalised(value).isin(*PLACEHOLDERS), value)
 
 
 def name_and_nation(text: Column) -> tuple[Column, Column]:
@@ -98,15 +100,17 @@ def name_and_nation(text: Column) -> tuple[Column, Column]:
 
 
 def nation_in(raw: Column) -> Column:
-    """The first nationality that a JSON text states."""
-    return F.coalesce(*(optional(F.get_json_object(raw, f"$.{k}")) for k in ("nationality", "nation", "country")))
+    """The nationality that a page's stored fields state, or the published name's suffix."""
+    stated = (optional(F.get_json_object(raw, f"$.{k}.nationality")) for k in ("selector_values", "labeled_values"))
+    return F.coalesce(*stated, name_and_nation(F.get_json_object(raw, "$.published_name_original"))[1])
 
 
 def club_or_city(text: Column) -> Column:
-    """club by a club's mark, city when all capitals, or else an ambiguous club."""
+    """club by a club's mark, city when all capitals without a digit, or else kept as an ambiguous club."""
     value = clean(text)
-    marked = F.upper(value).rlike(r"(^|\W)(IF|IK|SK|FK|BK|OK|AIK|LK|KLUBB|CLUB|TEAM|RUNNERS|FORENING|FÖRENING)(\W|$)")
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(marked, "club").when(F.upper(value) == value, "city").otherwise("ambiguous")
+    letters = F.regexp_replace(value, r"\P{L}", "")
+    city = (letters != "") & (F.upper(letters) == letters) & ~value.rlike(r"\d")
+    return F.when(value.isNull(), F.lit(None).cast("string")).when(normalised(value).rlike(CLUB_MARKS), "club").when(city, "city").otherwise("ambiguous-kept-as-club")
 
 
 def initials(bib: Column, name: Column) -> Column:
@@ -123,7 +127,7 @@ def clock(s: Column) -> Column:
 
 
 def hour_minute(s: Column) -> Column:
-    t = F.floor(s + 0.5)
+    t = F.greatest(F.lit(0), F.floor(s))
     return F.concat(F.floor(t / 3600).cast("string"), F.lit(":"), F.lpad(F.floor(t % 3600 / 60).cast("string"), 2, "0"))
 
 
@@ -135,3 +139,21 @@ def pace_text(s: Column, suffix: str = " /km") -> Column:
 def speed_text(v: Column, suffix: str = " km/h") -> Column:
     tenths = F.floor(v * 10 + 0.5)
     return F.when(v > 0, F.concat(F.floor(tenths / 10).cast("string"), F.lit(","), (tenths % 10).cast("string"), F.lit(suffix)))
+
+
+def control_name(text: Column) -> Column:
+    """A control's name without the words for start and finish."""
+    out = F.coalesce(text, F.lit(""))
+    # fixed values: names of the ends of the course
+    for name, short in (("Mora mål", "Mora"), ("Start Sälen", "Start")):
+        out = F.replace(out, F.lit(name), F.lit(short))
+    return F.trim(out)
+
+
+def with_query(url: Column, changes: dict[str, str | None]) -> Column:
+    """The URL with query parameters set, or removed for None; in the order of their names."""
+    base, old = F.substring_index(url, "?", 1), F.str_to_map(F.when(url.contains("?"), F.substring_index(url, "?", -1)).otherwise(""), F.lit("&"), F.lit("="))
+    kept = F.map_filter(old, lambda k, v: ~k.isin(*changes) & (k != ""))
+    new = [x for k, v in changes.items() if v is not None for x in (F.lit(k), F.lit(v))]
+    merged = F.map_concat(kept, F.create_map(*new)) if new else kept
+    return F.concat(base, F.lit("?"), F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&"))

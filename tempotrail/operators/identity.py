@@ -118,3 +118,14 @@ def match_levels(existing: DataFrame, official: DataFrame) -> DataFrame:
     by = first.groupBy("oid").agg(F.min("level").alias("level"), F.count("*").alias("_n"), F.count_if(~F.col("conflict")).alias("_good"), F.min(F.when(~F.col("conflict"), F.col("rid"))).alias("_rid"))
     outcome = F.when(F.col("_n").isNull(), "unmatched").when(F.col("_good") == 1, "matched").when(F.col("_n") > 1, "ambiguous").otherwise("conflict")
     return official.join(by, "oid", "left").select("oid", "level", outcome.alias("outcome"), F.when(F.col("_good") == 1, F.col("_rid")).alias("result_id"))
+
+
+# fixed values: what each sign is worth when an event is chosen
+EVENT_SCORES = {"verified": 10_000, "pattern": 500, "year": 100, "word": 50, "label_year": 25, "legacy": -25}
+
+
+def best_event(candidates: DataFrame, signs: dict[str, Column], by: Sequence[str], ties: Sequence[Column]) -> DataFrame:
+    """The candidate of each group with the highest score, of equals the greatest by ties."""
+    score = sum((F.when(test, EVENT_SCORES[sign]).otherwise(0) for sign, test in signs.items()), F.lit(0))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), *(t.desc() for t in ties))
+    return candidates.withColumn("score", score).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")

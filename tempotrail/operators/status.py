@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempotrail.functions.text import clean, normalised, optional
+
 # fixed values: status words
 FINISHED = ("FINISHED", "FINISH", "OK", "GODKÄND", "GODKAND")
 DNF = ("DNF", "BRUTIT", "DID NOT FINISH")
@@ -59,19 +61,26 @@ def summarize(classified: DataFrame, *by: str) -> DataFrame:
 
 
 def imported_word(value: Column) -> Column:
-    """A result page's status as one of five words, or the text in capitals."""
-    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    has = lambda *words: F.lit(False) if not words else F.coalesce(text.rlike("|".join(words)), F.lit(False))
+    """A result page's status as one of five words, or the text in capitals; null for nothing."""
+    text, n = clean(value), normalised(value)
+    # fixed values: words of result pages
     return (
-        F.when(text == "", "UNKNOWN").when(has("did not start", "ej start", "startade inte", "^dns$"), "DNS").when(has("disq", "diskval", "^dsq$"), "DSQ")
-        .when(has("did not finish", "brutit", "^dnf$"), "DNF").when(has("^finish", "godk", "i mål", "^ok$"), "FINISHED").when(text == "startat", "UNKNOWN").otherwise(F.upper(text))
+        F.when(n.isin("dnf", "brutit", "brot", "avbrutit") | n.contains("did not finish"), "DNF")
+        .when(n.isin("dns", "ej start", "ej startat", "inte startat", "startade inte") | n.contains("did not start"), "DNS")
+        .when(n.isin("startat", "started"), "UNKNOWN")
+        .when(n.isin("dsq", "diskvalificerad") | n.contains("disqualified"), "DSQ")
+        .when(n.isin("finished", "finisher", "i mal", "malgang"), "FINISHED").otherwise(F.upper(text))
     )
 
 
 def feed_word(value: Column, finish: Column, has_splits: Column) -> Column:
     """The same for JSON feeds, where a finish time decides first."""
-    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(finish.isNotNull(), "FINISHED").when(text.rlike("dns|not start|ej start"), "DNS").when(text.rlike("dsq|disq|diskv"), "DSQ").when(text.rlike("dnf|brutit|not finish|startat") | has_splits, "DNF").otherwise("UNKNOWN")
+    n = normalised(value, "_")
+    # fixed values: parts of the feeds' words
+    return (
+        F.when(finish.isNotNull() | n.isin("i_mal", "finished", "finish"), "FINISHED").when(n.rlike("startade_inte|dns|not_start"), "DNS").when(n.rlike("disk|dsq|disqual"), "DSQ")
+        .when(n.rlike("brutit|dnf|not_finish") | (n == "startat") | has_splits, "DNF").otherwise(F.coalesce(F.upper(clean(value)), F.lit("UNKNOWN")))
+    )
 
 
 def sex(value: Column) -> Column:
@@ -81,9 +90,11 @@ def sex(value: Column) -> Column:
 
 def sex_of(value: Column, age_class: Column) -> Column:
     """The given sex, or that of a class like H40 or D21."""
-    word, letter = F.upper(F.trim(F.coalesce(value, F.lit("")))), F.upper(F.regexp_extract(F.coalesce(age_class, F.lit("")), r"^\s*([A-Za-z])\s*\d", 1))
-    explicit = F.when(word.isin("M", "H", "MAN", "MALE", "HERR"), "M").when(word.isin("F", "W", "K", "D", "KVINNA", "FEMALE", "DAM"), "F")
-    return F.coalesce(explicit, F.when(letter.isin("M", "H"), "M").when(letter.isin("F", "W", "K", "D"), "F"))
+    # fixed values: words for men and women
+    men, women = ("m", "h", "man", "male", "men", "herr", "herrar"), ("d", "f", "w", "k", "woman", "women", "female", "dam", "damer", "kvinna")
+    word, group = normalised(optional(value)), normalised(optional(age_class))
+    compact = F.replace(group, F.lit(" "), F.lit(""))
+    return F.when(word.isin(*men), "M").when(word.isin(*women), "F").when(group.isin(*men) | compact.rlike(r"^[mh]\d"), "M").when(group.isin(*women) | compact.rlike(r"^[dkfw]\d"), "F")
 
 
 def sex_category(value: Column) -> Column:

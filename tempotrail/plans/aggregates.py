@@ -300,11 +300,11 @@ def ag_stories(m: Model) -> DataFrame:
     return out.join(slow, "race_id", "left")
 
 
-@q("ag_percentiles", " UNION ALL ".join(f"SELECT sex, {p}::DOUBLE AS p, quantile_cont(finish_seconds, {p}) AS seconds FROM c2 WHERE category = 'finished' GROUP BY 1" for p in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75)))
+@q("ag_percentiles", " UNION ALL ".join(f"SELECT sex, {p}::DOUBLE AS p, round(quantile_cont(finish_seconds, {p}), 6) AS seconds FROM c2 WHERE category = 'finished' GROUP BY 1" for p in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75)))
 def ag_percentiles(m: Model) -> DataFrame:
     ps = [0.01, 0.05, 0.1, 0.25, 0.5, 0.75]
     out = finished(m).groupBy("sex").agg(F.percentile("finish_seconds", ps).alias("q"))
-    return out.select("sex", F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), "q")).alias("z")).select("sex", F.col("z.p").alias("p"), F.col("z.q").alias("seconds"))
+    return out.select("sex", F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), "q")).alias("z")).select("sex", F.col("z.p").alias("p"), F.round(F.col("z.q"), 6).alias("seconds"))
 
 
 @q("ag_dna", f"SELECT race_id, quantile_cont({FT}, 0.75) - quantile_cont({FT}, 0.25) AS iqr, median({FT}) FILTER (sex = 'M') AS men, median({FT}) FILTER (sex = 'F') AS women, (SELECT clubkey FROM c2 x WHERE x.race_id = c.race_id AND clubkey IS NOT NULL GROUP BY clubkey ORDER BY count(*) DESC, clubkey LIMIT 1) AS club FROM c2 c GROUP BY 1")

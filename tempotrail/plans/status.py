@@ -40,13 +40,13 @@ def words(m: Model) -> DataFrame:
     return m.table("orders").select(F.col("o_orderkey").alias("id"), out.alias("word"))
 
 
-@query("st_norm_mika", "SELECT id, CASE trim(word) WHEN 'Finished' THEN 'FINISHED' WHEN 'Brutit' THEN 'DNF' WHEN 'did not finish' THEN 'DNF' WHEN 'Ej start' THEN 'DNS' WHEN 'DSQ' THEN 'DSQ' WHEN 'Pausad' THEN 'PAUSAD' ELSE 'UNKNOWN' END AS word FROM w", w=WORDS)
+@query("st_norm_mika", "SELECT id, CASE trim(word) WHEN 'Finished' THEN 'FINISHED' WHEN 'Brutit' THEN 'DNF' WHEN 'did not finish' THEN 'DNF' WHEN 'Ej start' THEN 'DNS' WHEN 'DSQ' THEN 'DSQ' WHEN 'Pausad' THEN 'PAUSAD' WHEN 'Startat' THEN 'UNKNOWN' END AS word FROM w", w=WORDS)
 def st_norm_mika(m: Model) -> DataFrame:
     return words(m).select("id", op.imported_word(F.col("word")).alias("word"))
 
 
-@query("st_norm_vasanerd", """SELECT w.id, CASE WHEN finish_seconds IS NOT NULL THEN 'FINISHED' WHEN word = 'Ej start' THEN 'DNS' WHEN word = 'DSQ' THEN 'DSQ'
- WHEN word IN ('Brutit', 'did not finish', 'Startat') OR has_split THEN 'DNF' ELSE 'UNKNOWN' END AS word FROM w JOIN cls ON cls.id = w.id""", w=WORDS)
+@query("st_norm_vasanerd", """SELECT w.id, CASE WHEN finish_seconds IS NOT NULL OR word = ' Finished ' THEN 'FINISHED' WHEN word = 'DSQ' THEN 'DSQ'
+ WHEN word IN ('Brutit', 'did not finish', 'Startat') OR has_split THEN 'DNF' WHEN word = '' THEN 'UNKNOWN' ELSE upper(word) END AS word FROM w JOIN cls ON cls.id = w.id""", w=WORDS)
 def st_norm_vasanerd(m: Model) -> DataFrame:
     return words(m).join(classified(m).select("id", "finish_seconds", "has_split"), "id").select("id", op.feed_word(F.col("word"), F.col("finish_seconds"), F.col("has_split")).alias("word"))
 
