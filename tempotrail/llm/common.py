@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
 _own: dict[str, str] = {}
+_noted: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -28,12 +30,33 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and a lost executor loses nothing."""
     path = shared_folder(df.sparkSession, name)
+    for paths in _noted:
+        paths.append(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     release(df.sparkSession)
     return out
 
 
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of all tables stored inside."""
+    paths: list[str] = []
+    _noted.append(paths)
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished shuffles now, so that their files go."""
     gc.collect()

@@ -26,13 +26,15 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import stored
+from tempotrail.llm.common import small, stored
 
 SHARDS = 16
 STEPS = 16_384
 #: Running totals that are looked at one by one.
 FINE = 200_000
 PART_ROWS = 512
+#: Rows whose slots are broadcast at most; beyond it the wide rows are shuffled once.
+BROADCAST_ROWS = 500_000
 
 
 def _in_bin(*order: str) -> F.Column:
@@ -142,8 +144,10 @@ def minimax_cuts(totals: DataFrame, shards: int = SHARDS, steps: int = STEPS, fi
 def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] = (), steps: int = STEPS, fine: int = FINE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, size, text_crc32, shard, slot, and the columns of keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *keep)
-    rows = stored(rows, "shard-rows")
+    own = (F.monotonically_increasing_id().alias("row"),) if keep else ()
+    hashed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *own, *keep)
+    hashed = stored(hashed, "shard-rows")
+    rows = hashed.drop(*keep)
     groups = rows.groupBy("hash").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     totals = stored(running_totals(groups), "shard-totals")
     _, cuts = minimax_cuts(totals, shards, steps, fine)
@@ -163,7 +167,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] = (), steps
     single = dealt.filter("rows = 1").withColumn("slot", F.col("base"))
     several = dealt.filter("rows > 1").withColumn("nth", nth - 1).join(sizes, ["hash", "part"], "left")
     several = several.withColumn("slot", F.col("base") + F.coalesce("skip", F.lit(0)) + F.col("nth")).drop("nth", "skip")
-    return single.unionByName(several).select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"), *keep)
+    out = single.unionByName(several).withColumn("slot", F.col("slot").cast("long"))
+    if not keep:
+        return out.select("doc_id", "size", "text_crc32", "shard", "slot")
+    slots = stored(out.select("row", "shard", "slot"), "shard-slots")
+    slots = F.broadcast(slots) if small(slots, BROADCAST_ROWS) else slots
+    return hashed.join(slots, "row").select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
