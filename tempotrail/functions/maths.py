@@ -71,4 +71,4 @@ def haversine(lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> Column:
     """Kilometres over the earth's mean radius."""
     a, b = F.radians(lat0), F.radians(lat1)
     s = F.pow(F.sin((b - a) / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon1) - F.radians(lon0)) / 2), F.lit(2))
-    return 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    return F.when(s.isNotNull(), 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(s))))  # least alone would skip a null
