@@ -25,6 +25,8 @@ from tempotrail.llm.common import small, stored
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 BINS = 4096
+#: Labelled documents whose weights are broadcast at most; beyond it a shuffled join.
+BROADCAST_LABELS = 1_000_000
 #: Weight by quality label: good, unknown, bad.
 QUALITY = {1: 2.0, None: 1.0, 0: 0.5}
 #: Sources up to which their table is broadcast.
@@ -107,6 +109,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with a column quality_weight from labels (doc_id, quality)."""
     best = labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("doc_id is not null")
     best = best.select(F.col("doc_id").alias("_labelled"), F.when(F.col("quality") == 1, QUALITY[1]).when(F.col("quality") == 0, QUALITY[0]).otherwise(QUALITY[None]).alias("quality_weight"))
+    best = stored(best, "mix-quality")
+    best = F.broadcast(best) if small(best, BROADCAST_LABELS) else best
     return docs.join(best, docs["doc_id"] == best["_labelled"], "left").drop("_labelled").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(QUALITY[None])))
 
 
