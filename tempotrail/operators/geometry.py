@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tempotrail.functions.maths import haversine
@@ -20,34 +20,42 @@ GRADE_SPAN_KM, MOST_GRADE = 0.06, 35.0
 ELEVATIONS = (-50.0, 1000.0)
 MOST_GAP_POINTS, MOST_GAP_KM = 8, 0.5
 
-ROUTE = Window.partitionBy("route_id").orderBy("idx")
-UPTO = ROUTE.rowsBetween(Window.unboundedPreceding, 0)
-ALL = Window.partitionBy("route_id")
+
+def route() -> WindowSpec:
+    return Window.partitionBy("route_id").orderBy("idx")
+
+
+def upto() -> WindowSpec:
+    return route().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("route_id")
 
 
 def step_km() -> Column:
     """From the point before."""
-    return F.coalesce(haversine(F.lag("lat").over(ROUTE), F.lag("lon").over(ROUTE), F.col("lat"), F.col("lon")), F.lit(0.0))
+    return F.coalesce(haversine(F.lag("lat").over(route()), F.lag("lon").over(route()), F.col("lat"), F.col("lon")), F.lit(0.0))
 
 
 def measured(points: DataFrame) -> DataFrame:
     """With raw_km, unrounded, and km, to the metre."""
     out = points.withColumn("_step", step_km())
-    out = out.withColumn("raw_km", F.sum("_step").over(UPTO)).drop("_step")
+    out = out.withColumn("raw_km", F.sum("_step").over(upto())).drop("_step")
     return out.withColumn("km", F.round("raw_km", 3))
 
 
 def normalised(points: DataFrame, official: Column) -> DataFrame:
     """km scaled to the official length, which the last point has exactly."""
-    last = F.max("km").over(ALL)
-    end = F.col("idx") == F.max("idx").over(ALL)
+    last = F.max("km").over(whole())
+    end = F.col("idx") == F.max("idx").over(whole())
     return points.withColumn("km", F.when(end, official).otherwise(F.round(F.col("km") * (official / last), 3)))
 
 
 def profile(points: DataFrame, most: int = 420) -> DataFrame:
     """Every so many points and the last, of routes whose elevations can be trusted."""
     good = F.when(F.col("elev").between(*ELEVATIONS), F.col("elev"))
-    rows = points.withColumns({"_n": F.count("*").over(ALL), "_good": F.count(good).over(ALL), "_range": F.max(good).over(ALL) - F.min(good).over(ALL), "_end": F.max("idx").over(ALL)})
+    rows = points.withColumns({"_n": F.count("*").over(whole()), "_good": F.count(good).over(whole()), "_range": F.max(good).over(whole()) - F.min(good).over(whole()), "_end": F.max("idx").over(whole())})
     rows = rows.filter((F.col("_good") >= 0.95 * F.col("_n")) & (F.col("_range") >= 5))
     step = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
     return rows.filter((F.col("idx") % step == 0) | (F.col("idx") == F.col("_end"))).select("route_id", "idx", F.round("km", 3).alias("km"), F.round("elev", 1).alias("elev"))
@@ -56,7 +64,7 @@ def profile(points: DataFrame, most: int = 420) -> DataFrame:
 def filled(points: DataFrame) -> DataFrame:
     """Short gaps of elev between two known points filled by the distance walked; needs raw_km."""
     known = F.when(F.col("elev").isNotNull(), F.struct("idx", "raw_km", "elev"))
-    rows = points.withColumns({"_l": F.last(known, ignorenulls=True).over(UPTO), "_r": F.first(known, ignorenulls=True).over(ROUTE.rowsBetween(0, Window.unboundedFollowing))})
+    rows = points.withColumns({"_l": F.last(known, ignorenulls=True).over(upto()), "_r": F.first(known, ignorenulls=True).over(route().rowsBetween(0, Window.unboundedFollowing))})
     span = F.col("_r.raw_km") - F.col("_l.raw_km")
     small = (F.col("_r.idx") - F.col("_l.idx") - 1 <= MOST_GAP_POINTS) & (span > 0) & (span <= MOST_GAP_KM)
     line = F.col("_l.elev") + (F.col("_r.elev") - F.col("_l.elev")) * F.try_divide(F.col("raw_km") - F.col("_l.raw_km"), span)
@@ -65,7 +73,7 @@ def filled(points: DataFrame) -> DataFrame:
 
 def smoothed(points: DataFrame, radius: int = 2) -> DataFrame:
     """The median of the known elevations around each point; unknown stays unknown."""
-    near = F.collect_list("elev").over(ROUTE.rowsBetween(-radius, radius))
+    near = F.collect_list("elev").over(route().rowsBetween(-radius, radius))
     ordered, n = F.array_sort(near), F.size(near)
     median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
     return points.withColumn("elev", F.when(F.col("elev").isNotNull(), median))
@@ -73,8 +81,8 @@ def smoothed(points: DataFrame, radius: int = 2) -> DataFrame:
 
 def climbed(points: DataFrame) -> DataFrame:
     """ascent and descent up to each point."""
-    rows = points.withColumn("_d", F.coalesce(F.col("elev") - F.lag("elev").over(ROUTE), F.lit(0.0)))
-    return rows.withColumns({"ascent": F.sum(F.greatest(F.lit(0.0), F.col("_d"))).over(UPTO), "descent": F.sum(F.greatest(F.lit(0.0), -F.col("_d"))).over(UPTO)}).drop("_d")
+    rows = points.withColumn("_d", F.coalesce(F.col("elev") - F.lag("elev").over(route()), F.lit(0.0)))
+    return rows.withColumns({"ascent": F.sum(F.greatest(F.lit(0.0), F.col("_d"))).over(upto()), "descent": F.sum(F.greatest(F.lit(0.0), -F.col("_d"))).over(upto())}).drop("_d")
 
 
 def grades(points: DataFrame) -> DataFrame:
@@ -86,8 +94,8 @@ def grades(points: DataFrame) -> DataFrame:
     along = Window.partitionBy("route_id").orderBy(F.round(F.col("raw_km") * 1e6).cast("long"))  # millimetres
     here = F.struct("raw_km", "elev")
     behind, ahead = along.rangeBetween(Window.unboundedPreceding, -half), along.rangeBetween(half, Window.unboundedFollowing)
-    left = F.coalesce(F.max_by(here, "idx").over(behind), F.first(here).over(UPTO))
-    right = F.coalesce(F.min_by(here, "idx").over(ahead), F.last(here).over(ROUTE.rowsBetween(0, Window.unboundedFollowing)))
+    left = F.coalesce(F.max_by(here, "idx").over(behind), F.first(here).over(upto()))
+    right = F.coalesce(F.min_by(here, "idx").over(ahead), F.last(here).over(route().rowsBetween(0, Window.unboundedFollowing)))
     rows = points.withColumns({"_l": left, "_r": right})
     span = F.col("_r.raw_km") - F.col("_l.raw_km")
     raw = (F.col("_r.elev") - F.col("_l.elev")) / (span * 1000) * 100
@@ -99,9 +107,9 @@ def simplified(points: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame
 
     keep = kept_indices  # the function alone goes to the workers
 
-    def reduce(route: pd.DataFrame) -> pd.DataFrame:
-        route = route.sort_values("idx")
-        return route.iloc[keep(route[["lat", "lon"]].to_numpy(), tolerance_m)]
+    def reduce(points: pd.DataFrame) -> pd.DataFrame:
+        track = points.sort_values("idx")
+        return track.iloc[keep(track[["lat", "lon"]].to_numpy(), tolerance_m)]
 
     rows = points.select("route_id", "idx", "lat", "lon")
     return rows.groupBy("route_id").applyInPandas(reduce, rows.schema)
@@ -109,7 +117,7 @@ def simplified(points: DataFrame, tolerance_m: float = TOLERANCE_M) -> DataFrame
 
 def gates(points: DataFrame, official: Column) -> DataFrame:
     """route_id and code of everything that makes a track unfit; needs raw_km."""
-    rows = points.withColumns({"_step": F.col("raw_km") - F.coalesce(F.lag("raw_km").over(ROUTE), F.lit(0.0)), "_jump": F.abs(F.col("elev") - F.last("elev", ignorenulls=True).over(ROUTE.rowsBetween(Window.unboundedPreceding, -1)))})
+    rows = points.withColumns({"_step": F.col("raw_km") - F.coalesce(F.lag("raw_km").over(route()), F.lit(0.0)), "_jump": F.abs(F.col("elev") - F.last("elev", ignorenulls=True).over(route().rowsBetween(Window.unboundedPreceding, -1)))})
     g = rows.groupBy("route_id").agg(F.max("raw_km").alias("km"), F.max("_step").alias("step"), (F.count("elev") / F.count("*")).alias("known"), F.min("elev").alias("low"), F.max("elev").alias("high"), F.max("_jump").alias("jump"), F.count_if(~F.col("lat").between(-90, 90) | ~F.col("lon").between(-180, 180)).alias("outside"))
     checks = {
         "coordinates": F.col("outside") > 0, "length": ~F.col("km").between(official * 0.9, official * 1.1), "leap": F.col("step") > 2, "elevation_missing": F.col("known") < 0.95,
@@ -161,7 +169,7 @@ def projected(points: DataFrame, width: float, height: float, pad: float) -> Dat
     """x and y on a picture in Mercator's projection, all of the route inside."""
     mx, my = F.radians("lon"), F.ln(F.tan(F.lit(math.pi / 4) + F.radians("lat") / 2))
     rows = points.withColumns({"_x": mx, "_y": my})
-    lo_x, hi_x, lo_y, hi_y = (f(c).over(ALL) for c in ("_x", "_y") for f in (F.min, F.max))
+    lo_x, hi_x, lo_y, hi_y = (f(c).over(whole()) for c in ("_x", "_y") for f in (F.min, F.max))
     scale = F.least(F.lit(width - 2 * pad) / F.coalesce(F.nullif(hi_x - lo_x, F.lit(0.0)), F.lit(1.0)), F.lit(height - 2 * pad) / F.coalesce(F.nullif(hi_y - lo_y, F.lit(0.0)), F.lit(1.0)))
     x = (width - (hi_x - lo_x) * scale) / 2 + (F.col("_x") - lo_x) * scale
     y = height - ((height - (hi_y - lo_y) * scale) / 2 + (F.col("_y") - lo_y) * scale)

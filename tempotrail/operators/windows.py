@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALONG = Window.partitionBy("result_id").orderBy("sequence_no")
+def along() -> WindowSpec:
+    """A runner's passages in order."""
+    return Window.partitionBy("result_id").orderBy("sequence_no")
 
 
 def backwards(splits: DataFrame) -> DataFrame:
     """Passages with an elapsed time under that of the row before."""
-    return splits.withColumn("previous", F.lag("elapsed_seconds").over(ALONG)).filter("elapsed_seconds < previous")
+    return splits.withColumn("previous", F.lag("elapsed_seconds").over(along())).filter("elapsed_seconds < previous")
 
 
 def fold_segments(splits: DataFrame) -> DataFrame:
@@ -19,9 +21,9 @@ def fold_segments(splits: DataFrame) -> DataFrame:
     A segment counts from the last known time, 0 at the start; it is null after a step back, and the step
     still counts as the last time.  Its distance needs both ends.  Pace falls back to the reported one.
     """
-    before = ALONG.rowsBetween(Window.unboundedPreceding, -1)
+    before = along().rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.last("elapsed_seconds", ignorenulls=True).over(before), F.lit(0))
-    at = F.when(F.row_number().over(ALONG) == 1, 0.0).otherwise(F.lag("distance_km").over(ALONG))
+    at = F.when(F.row_number().over(along()) == 1, 0.0).otherwise(F.lag("distance_km").over(along()))
     out = splits.withColumns({"_last": last, "_at": at})
     segment = F.when(F.col("elapsed_seconds") >= F.col("_last"), F.col("elapsed_seconds") - F.col("_last"))
     km = F.when(F.col("distance_km") > F.col("_at"), F.col("distance_km") - F.col("_at"))
@@ -32,8 +34,8 @@ def fold_segments(splits: DataFrame) -> DataFrame:
 
 def strict_segments(splits: DataFrame) -> DataFrame:
     """segment only behind the control right before."""
-    follows = F.col("sequence_no") == F.coalesce(F.lag("sequence_no").over(ALONG), F.lit(0)) + 1
-    return splits.withColumn("segment", F.when(follows, F.col("elapsed_seconds") - F.coalesce(F.lag("elapsed_seconds").over(ALONG), F.lit(0))))
+    follows = F.col("sequence_no") == F.coalesce(F.lag("sequence_no").over(along()), F.lit(0)) + 1
+    return splits.withColumn("segment", F.when(follows, F.col("elapsed_seconds") - F.coalesce(F.lag("elapsed_seconds").over(along()), F.lit(0))))
 
 
 def class_places(splits: DataFrame) -> DataFrame:
@@ -61,7 +63,7 @@ def dominance(finishers: DataFrame, least: int = 5, class_column: str = "nclass"
 
 def place_changes(splits: DataFrame) -> DataFrame:
     """Per result: total places won from first to last passage and the best single step."""
-    step = F.lag("place_overall").over(ALONG) - F.col("place_overall")
+    step = F.lag("place_overall").over(along()) - F.col("place_overall")
     rows = splits.withColumn("_step", step)
     return rows.groupBy("race_id", "result_id").agg((F.min_by("place_overall", "sequence_no") - F.max_by("place_overall", "sequence_no")).alias("total"), F.max("_step").alias("best"), F.max_by("sequence_no", F.struct(F.coalesce("_step", F.lit(-(10**9))), -F.col("sequence_no"))).alias("best_at"))
 

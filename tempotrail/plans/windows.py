@@ -133,7 +133,7 @@ def wn_club_rank(m: Model) -> DataFrame:
 
 @q("wn_rank_change", f"SELECT result_id, sequence_no, lag(place_overall) {W} - place_overall AS won FROM splits")
 def wn_rank_change(m: Model) -> DataFrame:
-    return m.splits.select("result_id", "sequence_no", (F.lag("place_overall").over(op.ALONG) - F.col("place_overall")).alias("won"))
+    return m.splits.select("result_id", "sequence_no", (F.lag("place_overall").over(op.along()) - F.col("place_overall")).alias("won"))
 
 
 @q("wn_pace_color", "SELECT result_id, sequence_no, CASE WHEN n > 1 THEN floor((l + greatest(0, e - 1) / 2.0::DOUBLE) / (n - 1) * 4 + 0.5)::BIGINT ELSE 2 END AS bin FROM (SELECT *, rank() OVER (PARTITION BY race_id, sequence_no ORDER BY pace) - 1 AS l, count(*) OVER (PARTITION BY race_id, sequence_no, pace) AS e, count(*) OVER (PARTITION BY race_id, sequence_no) AS n FROM seg)")
