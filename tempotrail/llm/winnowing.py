@@ -87,6 +87,17 @@ def _hits(left: DataFrame, items: DataFrame, rows: int) -> DataFrame:
     return left.join(F.broadcast(items) if rows <= BROADCAST_ROWS else items, "hash")
 
 
+def _short_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """Hits of items of n words, each a window of its own."""
+    hashes = lambda w: grams(w, n)
+    with_words = lambda w: F.transform(grams(w, n), lambda h, i: F.struct(h.alias("hash"), F.slice(w, i + 1, n).alias("near")))
+    of_length = stored(items.select("item_id", F.get(let(F.col("words"), hashes), F.lit(0)).alias("hash"), F.col("words").alias("item_words")), "benchmark-short")
+    every = docs.select("doc_id", "key1", "key2", F.posexplode(let(words(F.col("text")), with_words)).alias("at", "g"))
+    left = every.select("doc_id", "key1", "key2", "at", F.col("g.hash").alias("hash"), F.col("g.near").alias("near"))
+    found = _hits(left, of_length, of_length.count()).filter(F.col("near") == F.col("item_words"))
+    return found.select("doc_id", "key1", "key2", "item_id", F.sequence(F.col("at"), F.col("at") + (n - 1)).alias("hit"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, key1, key2, n_words, hits (positions, null for none), item_ids."""
     span = window - k + 1
@@ -108,12 +119,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     # items shorter than a window: one window of their length
     short = items.filter(F.size("words") < window).select("item_id", "words", F.size("words").alias("n"))
     for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # fewer than window values
-        of_length = stored(short.filter(F.col("n") == n).select("item_id", F.get(let(F.col("words"), lambda w, n=n: grams(w, n)), F.lit(0)).alias("hash"), F.col("words").alias("item_words")), "benchmark-short")
-        every_gram = let(words(F.col("text")), lambda w, n=n: F.transform(grams(w, n), lambda h, i: F.struct(h.alias("hash"), F.slice(w, i + 1, n).alias("near"))))
-        all_grams = docs.select("doc_id", "key1", "key2", F.posexplode(every_gram).alias("at", "g"))
-        left = all_grams.select("doc_id", "key1", "key2", "at", F.col("g.hash").alias("hash"), F.col("g.near").alias("near"))
-        short_found = _hits(left, of_length, of_length.count()).filter(F.col("near") == F.col("item_words"))
-        parts.append(short_found.select("doc_id", "key1", "key2", "item_id", F.sequence(F.col("at"), F.col("at") + (n - 1)).alias("hit")))
+        parts.append(_short_hits(docs, short.filter(F.col("n") == n), n))
 
     every = parts[0]
     for part in parts[1:]:
