@@ -175,14 +175,26 @@ def candidates(hashes: np.ndarray, filters: Filter, window: int = WINDOW) -> np.
     return np.flatnonzero(upto[block + 1 :][:n] > upto[:-1][:n])
 
 
-def _spans(starts: list[bytes], window: int) -> bytes:
-    """First and last word, exclusive, of each run of windows with these starts."""
-    at = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in starts]))
-    cut = np.flatnonzero(np.diff(at) > window)
-    return np.stack([at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)] + window]).astype(np.int32).T.tobytes()
-
-
-STARTS = "id long, check long, starts binary"
+def _spans(starts: np.ndarray, window: int) -> bytes:
+    """First and last word, exclusive, of each run of windows with these starts, which are in order."""
+    cut = np.flatnonzero(np.diff(starts) > window)
+    return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + window]).astype(np.int32).T.tobytes()
+
+
+def by_destination(removed: list[tuple[np.ndarray, np.ndarray, np.ndarray]], destinations: int) -> pd.DataFrame:
+    """Windows to remove, packed by text, a row for each destination of texts."""
+    ids, checks, start = (np.concatenate(x) for x in zip(*removed, strict=True))
+    to = (_mixed(checks.view(np.uint64)) % np.uint64(destinations)).astype(np.int32)
+    order = np.lexsort((start, ids, checks, to))
+    ids, checks, start, to = ids[order], checks[order], start[order], to[order]
+    texts = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(checks) != 0))))[: len(ids)]
+    times = np.diff(np.append(texts, len(ids))).astype(np.int32)
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(to) != 0)))[: len(ids)]
+    rows = []
+    for x, y in zip(edges, np.append(edges[1:], len(ids)), strict=True):
+        g = slice(*np.searchsorted(texts, [x, y]))
+        rows.append((int(to[x]), ids[texts[g]].tobytes(), checks[texts[g]].tobytes(), times[g].tobytes(), start[x:y].tobytes()))
+    return pd.DataFrame(rows, columns=["destination", "id", "check", "n", "start"])
 
 
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -236,34 +248,52 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         waiting: dict[int, list] = {}
+        removed, n = [], 0  # ids, checks and starts of windows to remove
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if r.a is None:  # removed already
-                    yield pd.DataFrame({"id": _null_ids(np.frombuffer(r.id, np.int64)), "check": np.frombuffer(r.check, np.int64), "starts": [r.start]})
+                    start = np.frombuffer(r.start, np.int32)
+                    removed.append((np.full(len(start), np.frombuffer(r.id, np.int64)[0]), np.full(len(start), np.frombuffer(r.check, np.int64)[0]), start))
+                    n += len(start)
+                    if n >= TASK_WINDOWS:
+                        yield by_destination(removed, destinations)
+                        removed, n = [], 0
                 else:
                     waiting.setdefault(r.bucket, []).append(r)
         for bucket in list(waiting):
             got = waiting.pop(bucket)
             a, b = (np.concatenate([np.frombuffer(getattr(r, c), np.uint64) for r in got]) for c in "ab")
             start = np.concatenate([np.frombuffer(r.start, np.int32) for r in got])
-            n = np.concatenate([np.frombuffer(r.n, np.int32) for r in got])
-            ids, checks = (np.repeat(np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in got]), n) for c in ("id", "check"))
+            times = np.concatenate([np.frombuffer(r.n, np.int32) for r in got])
+            ids, checks = (np.repeat(np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in got]), times) for c in ("id", "check"))
             order, earliest = _ranked(a, b, ids, start)
             at = order[~earliest]
-            at = at[np.lexsort((start[at], checks[at], ids[at]))]
-            ids, checks, start = ids[at], checks[at], start[at]
-            edges = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(checks) != 0)) + 1, [len(ids)])) if len(ids) else np.zeros(1, int)
-            yield pd.DataFrame({"id": _null_ids(ids[edges[:-1]]), "check": checks[edges[:-1]], "starts": [start[x:y].tobytes() for x, y in zip(edges, edges[1:], strict=False)]})
-
+            removed.append((ids[at], checks[at], start[at]))
+            n += len(at)
+            if n >= TASK_WINDOWS:
+                yield by_destination(removed, destinations)
+                removed, n = [], 0
+        if removed:
+            yield by_destination(removed, destinations)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [r for batch in batches for r in batch.itertuples(index=False)]
+        if not got:
+            return
+        times = np.concatenate([np.frombuffer(r.n, np.int32) for r in got])
+        ids, checks = (np.repeat(np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in got]), times) for c in ("id", "check"))
+        start = np.concatenate([np.frombuffer(r.start, np.int32) for r in got])
+        order = np.lexsort((start, checks, ids))
+        ids, checks, start = ids[order], checks[order], start[order]
+        edges = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(checks) != 0)) + 1, [len(ids)]))
+        for at in range(0, len(edges) - 1, 10_000):
+            part = edges[at : at + 10_001]
+            yield pd.DataFrame({"id": _null_ids(ids[part[:-1]]), "check": checks[part[:-1]], "spans": [_spans(start[x:y], window) for x, y in zip(part, part[1:], strict=False)]})
+
+    destinations = max(partitions(spark), -(-words // (2 * BUCKET_WINDOWS)))
     bounded_batches(spark, 200)
-    found = packed.repartition(buckets, "bucket").mapInPandas(settle, STARTS)
-
-    @F.pandas_udf("binary")
-    def merged(starts: pd.Series) -> pd.Series:
-        return pd.Series([_spans(x, window) for x in starts])
-
-    by_text = found.groupBy("id", "check").agg(F.collect_set("starts").alias("starts"))
-    out = stored(by_text.select("id", "check", merged("starts").alias("spans")), "anchor-repeats")
+    found = packed.repartition(buckets, "bucket").mapInPandas(settle, "destination int, id binary, check binary, n binary, start binary")
+    out = stored(found.repartition(destinations, "destination").mapInPandas(gather, "id long, check long, spans binary"), "anchor-repeats")
     shared.unpersist()
     release(spark)
     return out
