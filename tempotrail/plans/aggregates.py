@@ -56,9 +56,9 @@ def ag_kpis(m: Model) -> DataFrame:
     return people(m).agg(F.count("*").alias("n"), op.finishers().alias("finishers"), F.median(t).alias("median"), F.min(t).alias("fastest"), F.min_by("id", F.when(t.isNotNull(), F.struct(t, "id"))).alias("winner"), F.floor(op.finishers() / op.starters() * 100 + 0.5).cast("long").alias("rate"))
 
 
-@q("ag_quantile", "SELECT race_id, median(finish_seconds) AS median, quantile_cont(finish_seconds, 0.37) AS q37 FROM c2 WHERE category = 'finished' GROUP BY 1")
+@q("ag_quantile", "SELECT race_id, median(finish_seconds) AS median, round(quantile_cont(finish_seconds, 0.37), 6) AS q37 FROM c2 WHERE category = 'finished' GROUP BY 1")
 def ag_quantile(m: Model) -> DataFrame:
-    return finished(m).groupBy("race_id").agg(F.median("finish_seconds").alias("median"), op.quantile("finish_seconds", 0.37).alias("q37"))
+    return finished(m).groupBy("race_id").agg(F.median("finish_seconds").alias("median"), F.round(op.quantile("finish_seconds", 0.37), 6).alias("q37"))
 
 
 @q("ag_histogram", "SELECT start, (SELECT count(*) FROM c2 WHERE category = 'finished' AND finish_seconds >= start AND finish_seconds < start + 900) AS n FROM (SELECT unnest(range(min(finish_seconds) // 900 * 900, max(finish_seconds) + 1, 900)) AS start FROM c2 WHERE category = 'finished')")
@@ -71,9 +71,9 @@ def ag_histogram_sex(m: Model) -> DataFrame:
     return op.bins(finished(m), "sex")
 
 
-@q("ag_segment_median", "SELECT race_id, sequence_no, median(pace) AS median, quantile_cont(pace, 0.25) AS p25, quantile_cont(pace, 0.75) AS p75, count(*) AS n FROM seg GROUP BY 1, 2")
+@q("ag_segment_median", "SELECT race_id, sequence_no, median(pace) AS median, round(quantile_cont(pace, 0.25), 6) AS p25, round(quantile_cont(pace, 0.75), 6) AS p75, count(*) AS n FROM seg GROUP BY 1, 2")
 def ag_segment_median(m: Model) -> DataFrame:
-    return segments(m).groupBy("race_id", "sequence_no").agg(F.median("pace").alias("median"), op.quantile("pace", 0.25).alias("p25"), op.quantile("pace", 0.75).alias("p75"), F.count("pace").alias("n"))
+    return segments(m).groupBy("race_id", "sequence_no").agg(F.median("pace").alias("median"), F.round(op.quantile("pace", 0.25), 6).alias("p25"), F.round(op.quantile("pace", 0.75), 6).alias("p75"), F.count("pace").alias("n"))
 
 
 @q("ag_segment_sex", "SELECT sequence_no, sex, median(pace) AS median, count(*) AS n FROM seg WHERE family = 'long' GROUP BY 1, 2")
@@ -152,11 +152,11 @@ def ag_year_trend(m: Model) -> DataFrame:
     return finished(m).groupBy("year", "sex").agg(F.median("finish_seconds").alias("median"), F.count("*").alias("finishers"))
 
 
-@q("ag_class_stats", f"""SELECT nclass, count(*) FILTER (category IN ('finished', 'dnf', 'dsq')) AS starters, count(*) FILTER (category = 'finished') AS finishers, median({FT}) AS median, quantile_cont({FT}, 0.1) AS top10,
+@q("ag_class_stats", f"""SELECT nclass, count(*) FILTER (category IN ('finished', 'dnf', 'dsq')) AS starters, count(*) FILTER (category = 'finished') AS finishers, median({FT}) AS median, round(quantile_cont({FT}, 0.1), 6) AS top10,
  CASE WHEN count(*) FILTER (category IN ('finished', 'dnf', 'dsq')) > 0 THEN floor(count(*) FILTER (category = 'dnf')::DOUBLE / count(*) FILTER (category IN ('finished', 'dnf', 'dsq')) * 1000 + 0.5) / 10 ELSE 0.0::DOUBLE END AS dnf_pct FROM c2 GROUP BY 1""")
 def ag_class_stats(m: Model) -> DataFrame:
     t = op.finish_times()
-    return people(m).groupBy("nclass").agg(op.starters().alias("starters"), op.finishers().alias("finishers"), F.median(t).alias("median"), op.quantile(t, 0.1).alias("top10"), op.share(F.count_if(F.col("category") == "dnf"), op.starters()).alias("dnf_pct"))
+    return people(m).groupBy("nclass").agg(op.starters().alias("starters"), op.finishers().alias("finishers"), F.median(t).alias("median"), F.round(op.quantile(t, 0.1), 6).alias("top10"), op.share(F.count_if(F.col("category") == "dnf"), op.starters()).alias("dnf_pct"))
 
 
 @q("ag_class_heat", """SELECT nclass, sequence_no, median(speed) AS median, avg(speed) FILTER (i <= (n + 9) // 10) AS top_mean, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY nclass, sequence_no ORDER BY speed DESC) AS i, count(*) OVER (PARTITION BY nclass, sequence_no) AS n FROM seg WHERE speed > 0 AND speed < 30) GROUP BY 1, 2""")
@@ -307,13 +307,13 @@ def ag_percentiles(m: Model) -> DataFrame:
     return out.select("sex", F.explode(F.arrays_zip(F.array(*map(F.lit, ps)).alias("p"), "q")).alias("z")).select("sex", F.col("z.p").alias("p"), F.round(F.col("z.q"), 6).alias("seconds"))
 
 
-@q("ag_dna", f"SELECT race_id, quantile_cont({FT}, 0.75) - quantile_cont({FT}, 0.25) AS iqr, median({FT}) FILTER (sex = 'M') AS men, median({FT}) FILTER (sex = 'F') AS women, (SELECT clubkey FROM c2 x WHERE x.race_id = c.race_id AND clubkey IS NOT NULL GROUP BY clubkey ORDER BY count(*) DESC, clubkey LIMIT 1) AS club FROM c2 c GROUP BY 1")
+@q("ag_dna", f"SELECT race_id, round(quantile_cont({FT}, 0.75) - quantile_cont({FT}, 0.25), 6) AS iqr, median({FT}) FILTER (sex = 'M') AS men, median({FT}) FILTER (sex = 'F') AS women, (SELECT clubkey FROM c2 x WHERE x.race_id = c.race_id AND clubkey IS NOT NULL GROUP BY clubkey ORDER BY count(*) DESC, clubkey LIMIT 1) AS club FROM c2 c GROUP BY 1")
 def ag_dna(m: Model) -> DataFrame:
     t = op.finish_times()
     of = lambda s: F.median(F.when(F.col("sex") == s, t))
     p = people(m)
     top = op.most_frequent(p.filter("clubkey is not null"), "clubkey", "race_id").withColumnRenamed("clubkey", "club")
-    return p.groupBy("race_id").agg((op.quantile(t, 0.75) - op.quantile(t, 0.25)).alias("iqr"), of("M").alias("men"), of("F").alias("women")).join(top, "race_id", "left")
+    return p.groupBy("race_id").agg(F.round(op.quantile(t, 0.75) - op.quantile(t, 0.25), 6).alias("iqr"), of("M").alias("men"), of("F").alias("women")).join(top, "race_id", "left")
 
 
 @q("ag_fingerprint", f"""SELECT family, year, median / avg(median) OVER w AS difficulty, dnf / avg(dnf) OVER w AS dnf, women / avg(women) OVER w AS women, n / avg(n) OVER w AS size FROM (SELECT family, year, median({FT}) AS median,
