@@ -9,7 +9,7 @@ from tempotrail.llm.mixing import op4_mixing
 from tempotrail.llm.sanitise import op6_sanitise
 from tempotrail.llm.sharding import op8_sharding
 from tempotrail.llm.simhash import op3_simhash
-from tempotrail.llm.substring import op10_substring
+from tempotrail.llm.substring import OP10_SQL, op10_substring
 from tempotrail.llm.warc import OP2_SQL, op2_warc
 from tempotrail.llm.winnowing import OP7_SQL, op7_winnowing
 
@@ -29,4 +29,5 @@ ORACLE_SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op2_warc": OP2_SQL,
     "op7_winnowing": OP7_SQL,
+    "op10_substring": OP10_SQL,
 }

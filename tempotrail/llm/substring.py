@@ -368,3 +368,14 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the spans that stand earlier."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.withColumnRenamed("id", "doc_id")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+g AS (SELECT r, doc_id, unnest(range(1, len(w) - 18)) AS s, unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(list_slice(w, i, i + 19), ' '))) AS t FROM d WHERE len(w) >= 20),
+f AS (SELECT r, s, (doc_id, s) > min((doc_id, s)) OVER (PARTITION BY t) AS later FROM g),
+x AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(s, s + 20)) AS p FROM f WHERE later) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(x.gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN x.gone IS NULL THEN d.w ELSE list_filter(d.w, lambda v, i: NOT list_contains(x.gone, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
