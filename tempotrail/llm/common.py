@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,7 +25,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, Path(tempfile.mkdtemp(prefix="shared-")).as_uri())
+        base = _own.get(spark.sparkContext.applicationId)
+        if base is None:
+            folder = tempfile.mkdtemp(prefix="shared-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = _own[spark.sparkContext.applicationId] = Path(folder).as_uri()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
