@@ -13,9 +13,11 @@ most one less than it has fingerprints, so a dense cluster never makes all its p
 
 Links become groups by repeated large-star and small-star steps, each stored in the shared folder.
 
-With more bits allowed, links can be held against the texts' Jaccard similarity.  That is done for the links
-that span the groups, nearest first, not for all pairs of a group: a member that is similar enough only to
-members it isn't linked with directly stays apart.
+With more bits allowed, links can be held against the texts' Jaccard similarity.  No pair that is similar lies
+across two groups, so each group is searched by itself, and only pairs that hold join its members.  A pair is
+passed over only where its two members are joined already, where it differs in too many bits, or where it can't
+be similar: by the sizes of the sets, or because the rarest shingles of the one, of which similar texts share at
+least one, aren't among those of the other.  A large group is dealt in chunks, each pair of chunks a task's unit.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a
 text of fewer words than a shingle is one shingle; equal texts share a fingerprint; a null id never is a
@@ -46,6 +48,10 @@ SLAB = 200_000
 LEAVES = 64
 #: Fingerprints that are broadcast at most; beyond it, shuffled joins.
 BROADCAST_ENDS = 300_000
+#: Texts, and shingles of them, from which a group whose texts are compared is cut into chunks.
+PAIRED, PAIRED_SHINGLES = 4096, 1_500_000
+#: Texts that are held against one at first; then ever more.
+FIRST_TEXTS = 16
 _TEXT = "_text"
 
 
@@ -249,13 +255,69 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def similar_links(links: DataFrame, prints: DataFrame, least: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """The links (a, b) between fingerprints whose texts share at least so much of all their shingles (Jaccard).
+def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, least: float) -> list[tuple[int, int]]:
+    """Spanning links between positions that differ in at most k bits and share at least so much of their sets.
 
-    prints has fp and the text; one text stands for a fingerprint.
+    cut: only pairs of a position before it and one from it on; 0 for all pairs.
     """
-    ends = stored(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "simhash-ends")
-    texts = prints.join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "fp", "left_semi").groupBy("fp").agg(F.min(text_col).alias("text"))
+    n = len(fp)
+    size = np.fromiter(map(len, sets), np.int64, n)
+    ends = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(n), size)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    token = rank[token]
+    token = token[np.lexsort((token, owner))]
+    # of the rarest shingles, similar texts share one: at most the others can be missing
+    heads = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    head = np.arange(len(token)) - np.repeat(ends[:-1], size) < np.repeat(heads, size)
+    by_token = np.argsort(token[head], kind="stable")
+    holders, first = owner[head][by_token], np.searchsorted(token[head][by_token], np.arange(len(often) + 1))
+    groups, links, mark, held = Groups(n), [], np.zeros(len(often), bool), np.zeros(n, bool)
+    label = groups.label
+
+    def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+    for i in range(cut or n):
+        js = np.arange(cut or i + 1, n)
+        js = js[label[js] != label[i]]
+        cost = np.bitwise_count(fp[js] ^ fp[i])
+        near = (cost <= k) & (np.minimum(size[js], size[i]) >= least * np.maximum(size[js], size[i]))
+        js = js[near][np.argsort(cost[near], kind="stable")]
+        if not len(js):
+            continue
+        mine = token[ends[i] : ends[i + 1]]
+        rare = mine[: heads[i]]
+        counts = first[rare + 1] - first[rare]
+        if counts.sum() < size[js].sum():
+            of = holders[spread(first[rare], counts)]
+            held[of] = True
+            js = js[held[js]]
+            held[of] = False
+        mark[mine] = True
+        texts = FIRST_TEXTS
+        while len(js):
+            now, js = js[:texts], js[texts:]
+            shared = np.add.reduceat(mark[token[spread(ends[now], size[now])]], np.cumsum(size[now]) - size[now], dtype=np.int64)
+            now = now[shared >= least * (size[now] + size[i] - shared)]
+            links += groups.join(np.full(len(now), i), now)
+            js, texts = js[label[js] != label[i]], texts * 4
+        mark[mine] = False
+    return links
+
+
+def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """Links (a, b) of at most k bits that span the groups of texts that share at least so much of all their
+    shingles (Jaccard); stored.
+
+    members: fp, the root of the group of candidates it is in, and the row of prints that has its text.
+    """
+    spark = prints.sparkSession
+    several = members.groupBy("root").agg(F.count("*").alias("texts")).filter("texts > 1")
+    ends = stored(members.join(several, "root", "left_semi"), "simhash-ends")
+    texts = prints.select("row", F.col(text_col).alias("text")).join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "row")
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -265,11 +327,44 @@ def similar_links(links: DataFrame, prints: DataFrame, least: float, shingle: in
             out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64)).view(np.int64))
         return pd.Series(out)
 
-    bounded_batches(links.sparkSession)
-    sets = stored(texts.select("fp", shingles("text").alias("set")), "simhash-sets")
-    left, right = (sets.select(F.col("fp").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
-    both = links.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("set_a", "set_b")))
-    return both.filter(F.col("shared") >= least * (F.size("set_a") + F.size("set_b") - F.col("shared"))).select("a", "b")
+    bounded_batches(spark)
+    sets = stored(texts.select("root", "fp", shingles("text").alias("set")), "simhash-sets")
+    chunks = F.greatest(F.ceil(F.count("*") / PAIRED), F.ceil(F.sum(F.size("set")) / PAIRED_SHINGLES)).cast("int")
+    large = stored(sets.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "simhash-large")
+    units = sets.select("root", F.lit(0).alias("unit"), F.lit(0).alias("part"), "fp", "set")
+    if not large.isEmpty():
+        dealt = sets.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        pair = lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other)
+        units = dealt.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)).alias("unit"), mine.alias("part"), "fp", "set")
+
+    def searched(unit: pd.DataFrame) -> pd.DataFrame:
+        unit = unit.sort_values("part", kind="stable")
+        part, fp = unit["part"].to_numpy(), unit["fp"].to_numpy(np.int64)
+        cut = int(np.argmax(part != part[0]))
+        links = verified_links(fp.view(np.uint64), unit["set"].tolist(), cut, k, least)
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        last = None
+        for batch in batches:
+            root, unit = batch["root"].to_numpy(), batch["unit"].to_numpy()
+            new = np.flatnonzero((np.diff(root) != 0) | (np.diff(unit) != 0)) + 1
+            for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(batch)], strict=True):
+                if lo == hi:
+                    continue
+                if last != (root[lo], unit[lo]) and held:
+                    yield searched(pd.concat(held))
+                    held = []
+                held.append(batch.iloc[lo:hi])
+                last = root[lo], unit[lo]
+        if held:
+            yield searched(pd.concat(held))
+
+    dealt = units.repartition(partitions(spark), "root", "unit").sortWithinPartitions("root", "unit")
+    return stored(dealt.mapInPandas(walked, "a long, b long").distinct(), "simhash-similar")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
@@ -282,10 +377,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str =
     kept = rows.withColumn(_TEXT, F.col(text_col)) if similarity or text_col in keep else rows
     prints = stored(fingerprints(kept, shingle, text_col), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")), "simhash-distinct")
-    links = near_links(distinct.select("fp"), k)
+    groups = components(near_links(distinct.select("fp"), k))
     if similarity:
-        links = similar_links(links, prints, similarity, shingle, _TEXT)
-    groups = components(links)
+        members = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("least.row").alias("row"))
+        groups = components(similar_links(members, prints, k, similarity, shingle, _TEXT))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = stored(rooted.drop("least").join(ids, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row")), "simhash-groups")

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,45 @@ def test_near_duplicates(stages):
     assert 10_001 not in ids(after) and 10_002 not in ids(after)
 
 
+def near_pairs(texts):
+    """Pairs within the bits and the similarity that the stage allows."""
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= corpus_pipeline.NEAR_BITS
+    return {(i, j) for j in range(len(texts)) for i in range(j) if near(i, j) and len(shingles[i] & shingles[j]) >= corpus_pipeline.SIMILARITY * len(shingles[i] | shingles[j])}
+
+
+def least_of_groups(n, pairs):
+    least = list(range(n))
+    while True:
+        before = list(least)
+        for i, j in pairs:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            return least
+
+
+@pytest.mark.parametrize("paired", [4096, 50])
+def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, paired):
+    """Texts that share a passage are candidates of each other; only the few copies among them are similar."""
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    random = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in random.integers(0, 1_000_000, n)]
+    passage = words(300)
+    texts = [passage + words(100) for _ in range(250)]
+    for i in range(40):
+        copy = list(texts[i])
+        for at in random.integers(300, 400, 4):
+            copy[at] = "other"
+        texts.append(copy)
+    texts = [" ".join(t) for t in texts]
+    pairs = near_pairs(texts)
+    assert len(pairs) >= 30
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, corpus_pipeline.NEAR_BITS, similarity=corpus_pipeline.SIMILARITY).collect()}
+    assert [found[i] for i in range(len(texts))] == least_of_groups(len(texts), pairs)
+
+
 def test_decontamination(spark, stages):
     before, after = stages["decontamination"]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
