@@ -18,9 +18,11 @@ across two groups, so each group is searched by itself, and only pairs that hold
 passed over only where its two members are joined already, where it differs in too many bits, or where it can't
 be similar: by the sizes of the sets, or because the rarest shingles of the one, of which similar texts share at
 least one, aren't among those of the other.  A large group is dealt in chunks, each pair of chunks a task's unit.
+Different texts of one fingerprint are candidates like any other: with similarity, a member of a group is a
+fingerprint with a hash of the text.
 
 Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a
-text of fewer words than a shingle is one shingle; equal texts share a fingerprint; a null id never is a
+text of fewer words than a shingle is one shingle; equal texts share a fingerprint and a group; a null id never is a
 component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -312,7 +314,8 @@ def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, s
     """Links (a, b) of at most k bits that span the groups of texts that share at least so much of all their
     shingles (Jaccard); stored.
 
-    members: fp, the root of the group of candidates it is in, and the row of prints that has its text.
+    members: node (fp and the text's hash), the root of the group of candidates it is in, and a row of prints that
+    has its text.
     """
     spark = prints.sparkSession
     several = members.groupBy("root").agg(F.count("*").alias("texts")).filter("texts > 1")
@@ -328,23 +331,23 @@ def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, s
         return pd.Series(out)
 
     bounded_batches(spark)
-    sets = stored(texts.select("root", "fp", shingles("text").alias("set")), "simhash-sets")
+    sets = stored(texts.select("root", "node", shingles("text").alias("set")), "simhash-sets")
     chunks = F.greatest(F.ceil(F.count("*") / PAIRED), F.ceil(F.sum(F.size("set")) / PAIRED_SHINGLES)).cast("int")
     large = stored(sets.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "simhash-large")
-    units = sets.select("root", F.lit(0).alias("unit"), F.lit(0).alias("part"), "fp", "set")
+    units = sets.select("root", F.lit(0).alias("unit"), F.lit(0).alias("part"), "node.fp", "node.check", "set")
     if not large.isEmpty():
         dealt = sets.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+        mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
         pair = lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other)
-        units = dealt.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)).alias("unit"), mine.alias("part"), "fp", "set")
+        units = dealt.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)).alias("unit"), mine.alias("part"), "node.fp", "node.check", "set")
 
     def searched(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.sort_values("part", kind="stable")
-        part, fp = unit["part"].to_numpy(), unit["fp"].to_numpy(np.int64)
+        part, fp, check = unit["part"].to_numpy(), unit["fp"].to_numpy(np.int64), unit["check"].to_numpy(np.int64)
         cut = int(np.argmax(part != part[0]))
         links = verified_links(fp.view(np.uint64), unit["set"].tolist(), cut, k, least)
         a, b = np.array(links, np.int64).reshape(-1, 2).T
-        return pd.DataFrame({"a": fp[a], "b": fp[b]})
+        return pd.DataFrame({"fp_a": fp[a], "check_a": check[a], "fp_b": fp[b], "check_b": check[b]})
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -364,7 +367,9 @@ def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, s
             yield searched(pd.concat(held))
 
     dealt = units.repartition(partitions(spark), "root", "unit").sortWithinPartitions("root", "unit")
-    return stored(dealt.mapInPandas(walked, "a long, b long").distinct(), "simhash-similar")
+    links = dealt.mapInPandas(walked, "fp_a long, check_a long, fp_b long, check_b long").distinct()
+    node = lambda end: F.struct(F.col(f"fp_{end}").alias("fp"), F.col(f"check_{end}").alias("check")).alias(end)
+    return stored(links.select(node("a"), node("b")), "simhash-similar")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
@@ -375,17 +380,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("id"), text_col, F.monotonically_increasing_id().alias("row"), *(c for c in keep if c != text_col))
     kept = rows.withColumn(_TEXT, F.col(text_col)) if similarity or text_col in keep else rows
-    prints = stored(fingerprints(kept, shingle, text_col), "simhash")
-    distinct = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")), "simhash-distinct")
-    groups = components(near_links(distinct.select("fp"), k))
+    prints = fingerprints(kept, shingle, text_col)
+    # what a member of a group is: with similarity each text, else all that share the fingerprint
+    node = F.struct("fp", F.xxhash64(F.coalesce(_TEXT, F.lit(""))).alias("check")) if similarity else F.col("fp")
+    prints = stored(prints.withColumn("node", node), "simhash")
+    distinct = stored(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")), "simhash-distinct")
     if similarity:
-        members = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("least.row").alias("row"))
+        groups = components(near_links(distinct.select("node.fp").distinct(), k))
+        members = distinct.select("node", "node.fp", "least.row").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "row")
         groups = components(similar_links(members, prints, k, similarity, shingle, _TEXT))
-    rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    else:
+        groups = components(near_links(distinct.select(F.col("node").alias("fp")), k))
+    rooted = distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    named = stored(rooted.drop("least").join(ids, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row")), "simhash-groups")
+    named = stored(rooted.drop("least").join(ids, "root").select("node", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row")), "simhash-groups")
     named = F.broadcast(named) if small(named, BROADCAST_ENDS) else named
-    out = prints.join(named, "fp")
+    out = prints.join(named, "node")
     return out.select("id", "fp", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
 
 

@@ -112,6 +112,18 @@ def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, paired):
     assert [found[i] for i in range(len(texts))] == least_of_groups(len(texts), pairs)
 
 
+def test_different_texts_of_one_fingerprint(spark):
+    """A word repeated often settles all bits, whatever else the text says."""
+    random = np.random.default_rng(6)
+    texts = [" ".join(["spam"] * 300 + [f"w{x}" for x in random.integers(0, 1_000_000, 150)]) for _ in range(3)]
+    texts += [texts[0], texts[1] + " tail", texts[2].upper(), "", None, "  "]
+    assert len({simhash.fingerprint(t, 5) for t in texts[:6]}) == 1
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = simhash.near_duplicates(docs, 5, corpus_pipeline.NEAR_BITS, similarity=corpus_pipeline.SIMILARITY).collect()
+    assert {r["id"]: r["component_id"] for r in found} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2, 6: 6, 7: 6, 8: 6}
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).count() == 4
+
+
 def test_decontamination(spark, stages):
     before, after = stages["decontamination"]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
