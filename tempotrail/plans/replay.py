@@ -61,7 +61,7 @@ NEXT = """SELECT w.result_id, w.{at}, round(CASE WHEN b.{x} IS NULL OR a.{x} = w
 
 
 def wanted(m: Model, values: list[float]) -> DataFrame:
-    return results(m).filter("result_id < 3000").select("result_id", F.explode(F.array(*map(F.lit, values))).alias("at"))
+    return results(m).select("result_id", F.explode(F.array(*map(F.lit, values))).alias("at"))
 
 
 @r("rp_time_at", NEXT.format(at="at_km", x="km", y="seconds"), want=WANT)
@@ -143,7 +143,7 @@ def rp_weighted_median(m: Model) -> DataFrame:
 
 @r("rp_map_state", """SELECT race_id, result_id, row_number() OVER (PARTITION BY race_id ORDER BY progress DESC, end_seconds, result_id) AS rank FROM (SELECT r.race_id, r.result_id, coalesce(max(km) FILTER (seconds <= 6000), 0) / any_value(race_km) AS progress, max(seconds) AS end_seconds FROM res r JOIN anc USING (result_id) WHERE r.result_id < 3000 GROUP BY 1, 2)""")
 def rp_map_state(m: Model) -> DataFrame:
-    near = anchors(m).filter("result_id < 3000").groupBy("result_id").agg(F.coalesce(F.max(F.when(F.col("seconds") <= 6000, F.col("km"))), F.lit(0.0)).alias("km"), F.max("seconds").alias("end_seconds"))
+    near = anchors(m).groupBy("result_id").agg(F.coalesce(F.max(F.when(F.col("seconds") <= 6000, F.col("km"))), F.lit(0.0)).alias("km"), F.max("seconds").alias("end_seconds"))
     states = results(m).join(near, "result_id").withColumn("progress", F.col("km") / F.col("race_km"))
     return op.standing(states).select("race_id", "result_id", "rank")
 
