@@ -3,12 +3,13 @@
 Base spans are the e-mail addresses, IP addresses, card and phone numbers in a text.  The method adds terms:
 the corpus tells how strongly a term reveals a protected entity (one value of a base span).  With p(e) the
 share of texts that hold the entity and p(e|t) its share among the texts with the term, the entity carries
--log p(e) of information, and the term reveals PMI = log p(e|t) / p(e) of it.  A term that stands near an
-entity in several different texts and reveals at least THRESHOLD of its information is sanitised there too.
+-log p(e) of information, and the term reveals PMI = log p(e|t) / p(e) of it.  A term that stands with an
+entity in several different texts and reveals at least THRESHOLD of its information is sanitised wherever it
+stands in the texts that hold the entity.
 
-Texts count once however many copies there are (by a hash of the text).  Terms are looked for within NEAR
-words of a base span.  Frequencies are counted only for terms that co-occur often enough: they go to every
-task where they are few, and are joined otherwise.
+Texts count once however many copies there are (by a hash of the text).  Terms are looked for in the whole text,
+of the texts with an entity that enough different texts hold.  Frequencies are counted only for terms that
+co-occur often enough: they go to every task where they are few, and are joined otherwise.
 
 Defined cases: a null text counts as empty; spans that fail their check are dropped without another try; spans
 of different kinds may overlap, terms don't overlap base spans; very long texts are read whole and in linear
@@ -28,7 +29,7 @@ from tempotrail.llm.common import bounded_batches, sliced, small, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-NEAR, LEAST_TEXTS, THRESHOLD = 4, 2, 0.9
+LEAST_TEXTS, THRESHOLD = 2, 0.9
 BROADCAST_TERMS = 400_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -80,29 +81,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def nearby(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(term, entity, start, end) of the words around each span that lie in none."""
-    if not spans:
-        return []
-    out = []
-    covered = [(a, b) for a, _, b in spans]
-    for start, kind, end in spans:
-        value = text[start:end].lower() if kind < 2 else re.sub(r"[^0-9]", "", text[start:end])
-        entity = f"{KINDS[kind]}:{value}"
-        lo, hi = max(0, start - 200), min(len(text), end + 200)
-        before = [m for m in _TERM.finditer(text, lo, start) if not (m.start() == lo and lo and text[lo - 1].isalnum())][-NEAR:]
-        behind = [m for m in _TERM.finditer(text, end, hi) if not (m.end() == hi and hi < len(text) and text[hi].isalnum())][:NEAR]
-        for m in before + behind:
-            if not any(a < m.end() and m.start() < b for a, b in covered):
-                out.append((m[0].lower(), entity, m.start(), m.end()))
-    return out
+def entities(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    values = ((kind, text[start:end].lower() if kind < 2 else re.sub(r"[^0-9]", "", text[start:end])) for start, kind, end in spans)
+    return sorted({f"{KINDS[kind]}:{value}" for kind, value in values})
+
+
+def free_terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words that lie in no span."""
+    at = 0
+    for start, end in [*((a, b) for a, _, b in spans), (len(text), len(text))]:
+        if start > at:
+            yield from ((m[0].lower(), m.start(), m.end()) for m in _TERM.finditer(text, at, start))
+        at = max(at, end)
 
 
 def terms_of(text: str) -> set[str]:
     return {m.lower() for m in _TERM.findall(text)}
 
 
-FOUND = "row long, check long, base array<struct<start:int,kind:int,end:int>>, near array<struct<term:string,entity:string,start:int,end:int>>"
+FOUND = "row long, check long, base array<struct<start:int,kind:int,end:int>>, entities array<string>"
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -111,14 +108,19 @@ def _found(docs: DataFrame) -> DataFrame:
             rows = []
             for text in batch["text"]:
                 spans = base_spans(text or "")
-                rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in spans], [dict(zip(("term", "entity", "start", "end"), x, strict=True)) for x in nearby(text or "", spans)]))
-            out = pd.DataFrame(rows, columns=["base", "near"])
+                rows.append(([{"start": a, "kind": k, "end": b} for a, k, b in spans], entities(text or "", spans)))
+            out = pd.DataFrame(rows, columns=["base", "entities"])
             yield pd.concat([batch.drop(columns="text").reset_index(drop=True), out], axis=1)
 
     bounded_batches(docs.sparkSession)
     return docs.mapInPandas(find, f"doc_id long, {FOUND}")
 
 
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """check and text of the texts in chosen (check), and its other columns."""
+    return docs.select("check", "text").join(F.broadcast(chosen) if small(chosen, BROADCAST_TERMS) else chosen, "check")
+
+
 def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term and in how many different texts it stands, for the given terms (term, most).
 
@@ -150,13 +152,21 @@ def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def revealing(found: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """term, entity and disclosure of the pairs over the threshold; stored.
 
-    A term stands in at least as many texts as it stands near any entity, so that pairs which fail with that
+    A term stands in at least as many texts as it stands in with any entity, so that pairs which fail with that
     number are left out before terms are counted in all texts.
     """
-    near = found.select("check", F.explode("near").alias("n")).select("check", "n.term", "n.entity").distinct()
-    together = near.groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
-    holders = found.select("check", F.explode("near.entity").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    nearest = near.select("term", "check").distinct().groupBy("term").agg(F.count("*").alias("near_any"))
+    every = found.select("check", F.explode("entities").alias("entity")).distinct()
+    holders = stored(every.groupBy("entity").agg(F.count("*").alias("with_entity")).filter(F.col("with_entity") >= least), "pii-holders")
+    held = stored(every.join(holders, "entity").select("check", "entity"), "pii-held")
+
+    def terms_with(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield from sliced(pd.DataFrame([(c, t) for c, text in zip(batch["check"], batch["text"], strict=True) for t in {t for t, _, _ in free_terms(text or "", base_spans(text or ""))}], columns=["check", "term"]))
+
+    bounded_batches(docs.sparkSession)
+    beside = stored(_texts(docs, stored(held.select("check").distinct(), "pii-texts")).mapInPandas(terms_with, "check long, term string").distinct(), "pii-beside")
+    together = beside.join(held, "check").groupBy("term", "entity").agg(F.count("*").alias("together")).filter(F.col("together") >= least)
+    nearest = beside.groupBy("term").agg(F.count("*").alias("near_any"))
     texts = found.select("check").distinct().count()
     information = F.log(F.lit(float(max(texts, 2))) / F.col("with_entity"))
     disclosure = lambda with_term: F.when(information > 0, 1 - F.log(with_term / F.col("together")) / information).otherwise(0.0)
@@ -174,9 +184,19 @@ def find_personal(docs: DataFrame, least: int = LEAST_TEXTS, threshold: float =
     pairs = revealing(found, rows, least, threshold)
     if small(pairs, BROADCAST_TERMS):
         pairs = F.broadcast(pairs)
-    near = found.select("row", F.explode("near").alias("n")).select("row", "n.*").join(pairs, ["term", "entity"], "left_semi")
-    terms = near.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    return found.select("doc_id", "row", "base").join(terms, "row", "left").select("doc_id", "base", "terms")
+    held = found.select("check", F.explode("entities").alias("entity")).distinct().join(pairs, "entity")
+    held = stored(held.groupBy("check").agg(F.collect_set("term").alias("revealing")), "pii-sanitised")
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.drop_duplicates("check")
+            out = [[{"start": a, "end": b} for t, a, b in free_terms(text or "", base_spans(text or "")) if t in terms] for text, terms in zip(batch["text"], map(set, batch["revealing"]), strict=True)]
+            yield pd.DataFrame({"check": batch["check"].to_numpy(), "terms": out})
+
+    placed = _texts(rows, held).mapInPandas(places, "check long, terms array<struct<start:int,end:int>>")
+    terms = stored(placed.groupBy("check").agg(F.first("terms").alias("terms")), "pii-places")
+    terms = F.broadcast(terms) if small(terms, BROADCAST_TERMS) else terms
+    return found.select("doc_id", "check", "base").join(terms, "check", "left").select("doc_id", "base", "terms")
 
 
 def sanitised(text: str | None, base: list, terms: list | None) -> str | None:

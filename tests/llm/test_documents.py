@@ -233,6 +233,17 @@ def test_revealing_terms(spark, monkeypatch, few):
     assert terms(out[0], rows[0][1]) == ["Zebulon", "Quark"] and not out[10]["terms"] and not out[101]["terms"]
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_revealing_terms_far_from_the_entity(spark, monkeypatch, few):
+    monkeypatch.setattr(sanitise, "BROADCAST_TERMS", few)
+    far = lambda i: " ".join(f"filler{i}x{j}" for j in range(60))
+    rows = [(i, f"Zebulon {far(i)} ann@example.org {far(i + 50)} zebulon") for i in range(5)] + [(10 + i, f"other{i} words") for i in range(40)] + [(60, "no address")]
+    out = {r["doc_id"]: r for r in sanitise.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows[:5]:
+        assert [text[s["start"] : s["end"]] for s in out[i]["terms"]] == ["Zebulon", "zebulon"]
+    assert not any(out[i]["terms"] for i, _ in rows[5:])
+
+
 def test_copies_give_no_support(spark):
     rows = [(i, "Zebulon Quark ann@example.org") for i in range(9)] + [(20 + i, f"other{i}") for i in range(9)]
     assert all(not r["terms"] for r in sanitise.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
