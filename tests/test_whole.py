@@ -19,3 +19,10 @@ def test_every_runner_has_a_rank(spark):
     ranks = QUERIES["rp_map_state"](spark, FOLDER)
     runners = anchors(Model(spark, FOLDER)).select("result_id").distinct()
     assert ranks.count() == runners.count() > 3000 and ranks.select("result_id").exceptAll(runners).isEmpty()
+
+
+def test_every_text_is_normalised_whole(spark, tmp_path):
+    texts = [(1, None), (2, "Привет ABC"), (3, "Ab-Çd " * 200), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["norm"] for r in QUERIES["fn_normalize"](spark, str(tmp_path)).collect()}
+    assert found == {1: "", 2: "abc", 3: " ".join(["ab cd"] * 200), 4: ""}
