@@ -21,6 +21,12 @@ def test_every_runner_has_a_rank(spark):
     assert ranks.count() == runners.count() > 3000 and ranks.select("result_id").exceptAll(runners).isEmpty()
 
 
+def test_every_result_is_joined(spark):
+    model = Model(spark, FOLDER)
+    assert QUERIES["jn_nearest_anchor"](spark, FOLDER).count() == 3 * model.results.count() > 3 * 4000
+    assert QUERIES["jn_index"](spark, FOLDER).count() == model.splits.count()
+
+
 def test_every_text_is_normalised_whole(spark, tmp_path):
     texts = [(1, None), (2, "Привет ABC"), (3, "Ab-Çd " * 200), (4, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
