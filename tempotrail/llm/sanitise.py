@@ -19,8 +19,10 @@ time; repeated rows get equal results; other columns are ignored; an empty table
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 LEAST_TEXTS, THRESHOLD = 2, 0.9
 BROADCAST_TERMS = 400_000
+#: Hashes of texts with copies that go to every task at most (8 bytes each).
+BROADCAST_COPIED = 4_000_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -121,32 +125,44 @@ def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return docs.select("check", "text").join(F.broadcast(chosen) if small(chosen, BROADCAST_TERMS) else chosen, "check")
 
 
-def _frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+def _frequencies(docs: DataFrame, terms: DataFrame, copied: DataFrame) -> DataFrame:
     """term and in how many different texts it stands, for the given terms (term, most).
 
-    A task stops counting a term over most, where no pair of it can pass any more.
+    A text that stands once is counted where it is read; one with copies (its hash in copied) goes by its hash,
+    and of these a task stops counting a term over most, where no pair of it can pass any more.
     """
     few = small(terms, BROADCAST_TERMS)
     wanted = docs.sparkSession.sparkContext.broadcast({r["term"]: r["most"] for r in terms.collect()} if few else None)  # BROADCAST_TERMS at most
 
+    hashes = np.sort(copied.toArrow().column("check").to_numpy()) if few and small(copied, BROADCAST_COPIED) else None
+    several = docs.sparkSession.sparkContext.broadcast(hashes)  # BROADCAST_COPIED at most
+
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        most, held = wanted.value, {}
+        most, held, once = wanted.value, {}, Counter()
         for batch in batches:
-            for check, text in zip(batch["check"], batch["text"], strict=True):
-                for term in (terms_of(text or "") & most.keys()) if most else ():
+            check = batch["check"].to_numpy()
+            again = np.ones(len(check), bool) if several.value is None else np.isin(check, several.value)
+            for c, twice, text in zip(check.tolist(), again.tolist(), batch["text"], strict=True):
+                found = terms_of(text or "") & most.keys() if most else ()
+                if not twice:
+                    once.update(found)
+                    continue
+                for term in found:
                     if len(checks := held.setdefault(term, set())) <= most[term]:
-                        checks.add(check)
-        yield from sliced(pd.DataFrame([(t, c) for t, checks in held.items() for c in checks], columns=["term", "check"]))
+                        checks.add(c)
+        rows = [(t, c, 1) for t, checks in held.items() for c in checks]
+        yield from sliced(pd.DataFrame([*rows, *((t, None, n) for t, n in once.items())], columns=["term", "check", "n"]).astype({"check": "Int64"}))
 
     def hold_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from sliced(pd.DataFrame([(t, c) for c, text in zip(batch["check"], batch["text"], strict=True) for t in terms_of(text or "")], columns=["term", "check"]))
+            yield from sliced(pd.DataFrame([(t, c, 1) for c, text in zip(batch["check"], batch["text"], strict=True) for t in terms_of(text or "")], columns=["term", "check", "n"]))
 
     bounded_batches(docs.sparkSession)
-    held = docs.select("check", "text").mapInPandas(hold if few else hold_all, "term string, check long")
+    held = docs.select("check", "text").mapInPandas(hold if few else hold_all, "term string, check long, n long")
     if not few:
         held = held.join(terms.select("term"), "term", "left_semi")
-    return held.distinct().groupBy("term").agg(F.count("*").alias("with_term"))
+    held = held.groupBy("term", "check").agg(F.sum("n").alias("n"))
+    return held.groupBy("term").agg(F.sum(F.when(F.col("check").isNull(), F.col("n")).otherwise(1)).alias("with_term"))
 
 
 def revealing(found: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, threshold: float = THRESHOLD) -> DataFrame:
@@ -173,7 +189,8 @@ def revealing(found: DataFrame, docs: DataFrame, least: int = LEAST_TEXTS, thres
     pairs = together.join(holders, "entity").join(nearest, "term").filter(disclosure(F.col("near_any")) >= threshold)
     pairs = stored(pairs.withColumn("most", F.floor(F.col("together") * F.exp(information * (1 - threshold)) + 1e-9)), "pii-pairs")
     terms = stored(pairs.groupBy("term").agg(F.max("most").alias("most")), "pii-terms")
-    counted = pairs.join(_frequencies(docs, terms), "term").withColumn("disclosure", disclosure(F.col("with_term")))
+    copied = stored(found.groupBy("check").count().filter("count > 1").select("check"), "pii-copied")
+    counted = pairs.join(_frequencies(docs, terms, copied), "term").withColumn("disclosure", disclosure(F.col("with_term")))
     return stored(counted.filter(F.col("disclosure") >= threshold).select("term", "entity", "disclosure"), "pii-revealing")
 
 
