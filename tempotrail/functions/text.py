@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: letters with marks and the letters without them
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 # fixed values: spellings of nothing
 PLACEHOLDERS = ("n a", "na", "saknas", "ej angivet", "unknown")
 # fixed values: patterns of times, and marks of a club's name
@@ -21,8 +23,32 @@ def clean(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+def plain(text: str) -> str:
+    """Compatible characters in their plain form, without combining marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """The characters that plain() turns into one ASCII letter or digit, and behind them those it removes; what the
+    former become; and what characters become that make several, some of them such letters."""
+    one, gone, several = {}, [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not (unicodedata.decomposition(c) or unicodedata.combining(c)):
+            continue
+        if not (p := plain(c)):
+            gone.append(c)
+        elif re.search("[A-Za-z0-9]", p):
+            (one if len(p) == 1 else several)[c] = p
+    return "".join([*one, *gone]), "".join(one.values()), several
+
+
 def unmarked(text: Column) -> Column:
-    return F.translate(text, MARKED, PLAIN)
+    """plain() as far as letters and digits without marks are asked for; other characters may stay as they are."""
+    old, new, several = _folds()
+    spelled = F.create_map(*(F.lit(x) for pair in several.items() for x in pair))
+    long = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), "")
+    return F.translate(F.when(text.rlike(f"[{''.join(several)}]"), long).otherwise(text), old, new)
 
 
 def normalised(text: Column, separator: str = " ") -> Column:

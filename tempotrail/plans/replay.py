@@ -55,7 +55,7 @@ def rp_segments(m: Model) -> DataFrame:
     return op.segments(m.splits).select("result_id", "sequence_no", "seconds", "km", "pace")
 
 
-WANT = "SELECT result_id, unnest([15.0::DOUBLE, 30.0::DOUBLE]) AS at_km, unnest([2000.0::DOUBLE, 7000.0::DOUBLE]) AS at_s FROM res WHERE result_id < 3000"
+WANT = "SELECT result_id, unnest([15.0::DOUBLE, 30.0::DOUBLE]) AS at_km, unnest([2000.0::DOUBLE, 7000.0::DOUBLE]) AS at_s FROM res"
 NEXT = """SELECT w.result_id, w.{at}, round(CASE WHEN b.{x} IS NULL OR a.{x} = w.{at} THEN a.{y} ELSE a.{y} + (b.{y} - a.{y}) * (w.{at} - a.{x}) / (b.{x} - a.{x}) END, 6) AS {y} FROM want w LEFT JOIN LATERAL (SELECT * FROM anc z WHERE z.result_id = w.result_id AND z.{x} <= w.{at} ORDER BY z.{x} DESC LIMIT 1) a ON true
  LEFT JOIN LATERAL (SELECT * FROM anc z WHERE z.result_id = w.result_id AND z.{x} > w.{at} ORDER BY z.{x} LIMIT 1) b ON true"""
 
@@ -74,7 +74,7 @@ def rp_dist_at(m: Model) -> DataFrame:
     return op.distance_at(wanted(m, [2000.0, 7000.0]), anchors(m)).select("result_id", F.col("at").alias("at_s"), F.round("km", 6).alias("km"))
 
 
-@r("rp_state", "SELECT w.result_id, (SELECT arg_max(sequence_no, elapsed_seconds) FROM splits s WHERE s.result_id = w.result_id AND elapsed_seconds <= 5000) AS passed, (SELECT arg_min(sequence_no, elapsed_seconds) FROM splits s WHERE s.result_id = w.result_id AND elapsed_seconds > 5000) AS coming FROM res w WHERE result_id < 3000")
+@r("rp_state", "SELECT w.result_id, (SELECT arg_max(sequence_no, elapsed_seconds) FROM splits s WHERE s.result_id = w.result_id AND elapsed_seconds <= 5000) AS passed, (SELECT arg_min(sequence_no, elapsed_seconds) FROM splits s WHERE s.result_id = w.result_id AND elapsed_seconds > 5000) AS coming FROM res w")
 def rp_state(m: Model) -> DataFrame:
     from tempotrail.operators.joins import around
 
@@ -141,7 +141,7 @@ def rp_weighted_median(m: Model) -> DataFrame:
     return op.weighted_median(rows, "finish_seconds", "weight", ["race_id"])
 
 
-@r("rp_map_state", """SELECT race_id, result_id, row_number() OVER (PARTITION BY race_id ORDER BY progress DESC, end_seconds, result_id) AS rank FROM (SELECT r.race_id, r.result_id, coalesce(max(km) FILTER (seconds <= 6000), 0) / any_value(race_km) AS progress, max(seconds) AS end_seconds FROM res r JOIN anc USING (result_id) WHERE r.result_id < 3000 GROUP BY 1, 2)""")
+@r("rp_map_state", """SELECT race_id, result_id, row_number() OVER (PARTITION BY race_id ORDER BY progress DESC, end_seconds, result_id) AS rank FROM (SELECT r.race_id, r.result_id, coalesce(max(km) FILTER (seconds <= 6000), 0) / any_value(race_km) AS progress, max(seconds) AS end_seconds FROM res r JOIN anc USING (result_id) GROUP BY 1, 2)""")
 def rp_map_state(m: Model) -> DataFrame:
     near = anchors(m).groupBy("result_id").agg(F.coalesce(F.max(F.when(F.col("seconds") <= 6000, F.col("km"))), F.lit(0.0)).alias("km"), F.max("seconds").alias("end_seconds"))
     states = results(m).join(near, "result_id").withColumn("progress", F.col("km") / F.col("race_km"))

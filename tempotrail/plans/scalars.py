@@ -50,7 +50,7 @@ expect("fn_nat_evidence", ['{"selector_values": {"nationality": "SWE"}}', '{"lab
 expect("fn_cleancp", ["Mora mål", "Start Sälen ", " Control   5 "], ["Mora", "Start", "Control   5"], tx.control_name)
 
 
-@query("fn_normalize", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 400))), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g')) AS norm FROM documents WHERE regexp_matches(text, '^[ -~\n\tàáâäåçèéêëìíîïñòóôöùúûüÀÁÂÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ]*$')")
+@query("fn_normalize", "SELECT doc_id, trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents")
 def fn_normalize(m: Model) -> DataFrame:
     return m.table("documents").select("doc_id", tx.normalised(C("text")).alias("norm"))
 

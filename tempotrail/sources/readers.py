@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempotrail.functions.text import clean, normalised, seconds
+from tempotrail.functions.text import clean, normalised, plain, seconds
 
 # fixed values: the spellings of columns by field
 ALIASES = {
@@ -50,11 +50,11 @@ def flexible_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dat
 
 def header_map(columns: Sequence[str], checkpoints: Sequence[str] = (), explicit: dict[str, str] | None = None) -> dict[str, str]:
     """Column to field: as told, as a checkpoint (split:key), as an alias, or as part of a long one."""
-    plain = lambda x: re.sub(r"[^a-z0-9]+", " ", x.lower().translate(str.maketrans("åäöéü", "aaoeu"))).strip()
+    key = lambda x: re.sub(r"[^a-z0-9]+", " ", plain(x).lower()).strip()
     out: dict[str, str] = {}
-    controls = {plain(c): f"split:{c}" for c in checkpoints}
+    controls = {key(c): f"split:{c}" for c in checkpoints}
     for column in columns:
-        name = plain(column)
+        name = key(column)
         if explicit and column in explicit:
             out[column] = explicit[column]
         elif name in controls:

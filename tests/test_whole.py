@@ -1,7 +1,11 @@
 """Queries over their whole tables."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from tempotrail.functions import text as tx
 from tempotrail.plans.proxy import Model
 from tempotrail.plans.replay import anchors
 from tempotrail.registry import QUERIES
@@ -32,3 +36,13 @@ def test_every_text_is_normalised_whole(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["doc_id"]: r["norm"] for r in QUERIES["fn_normalize"](spark, str(tmp_path)).collect()}
     assert found == {1: "", 2: "abc", 3: " ".join(["ab cd"] * 200), 4: ""}
+
+
+def test_every_character_is_normalised(spark):
+    """Each character between two letters, against the rule in Python; marks, ligatures and full-width letters too."""
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [(i, "".join(f"a{c}b " for c in chars[i : i + 512])) for i in range(0, len(chars), 512)] + [(-1, "Šimůnek Žiga Erdős Čapek ﬁnal Ｆｕｌｌ ½ Ⅷ – x"), (-2, "e\u0301a\u20ddb")]
+    rows = spark.createDataFrame(texts, "id long, text string").select("id", tx.normalised(F.col("text")).alias("norm"))
+    found = {r["id"]: r["norm"] for r in rows.collect()}
+    assert found == {i: re.sub("[^a-z0-9]+", " ", tx.plain(t).lower()).strip() for i, t in texts}
+    assert found[-1] == "simunek ziga erdos capek final full 1 2 viii x"
