@@ -7,8 +7,10 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 import pandas as pd
@@ -17,14 +19,19 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Rows and bytes of an Arrow batch at most (a single larger row is a batch of its own).
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 _own: dict[str, str] = {}
-_noted: list[list[str]] = []
+#: Lists that note the folders of stored tables, of the calls that this thread is in.
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("_noted", default=())
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary one where that is unset (tests on one machine)."""
+    """A new folder name under spark.checkpoint.dir; where that is unset a temporary one, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.get(spark.sparkContext.applicationId)
         if base is None:
             folder = tempfile.mkdtemp(prefix="shared-")
@@ -34,11 +41,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and a lost executor loses nothing."""
+    """Write to the shared folder and read back: cuts the lineage, and a lost executor loses nothing.
+
+    The table goes with the session, or before where tidied() or delete() find that nothing reads it.
+    """
     path = shared_folder(df.sparkSession, name)
-    for paths in _noted:
+    for paths in _noted.get():
         paths.append(path)
     df.write.parquet(path)
+    gone_at_end(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     release(df.sparkSession)
     return out
@@ -48,19 +59,43 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def noted() -> Iterator[list[str]]:
     """The folders of all tables stored inside."""
     paths: list[str] = []
-    _noted.append(paths)
+    token = _noted.set((*_noted.get(), paths))
     try:
         yield paths
     finally:
-        _noted.remove(paths)
+        _noted.reset(token)
+
+
+def tidied(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The function, after which the tables are deleted that it stored and that its result doesn't read."""
+
+    @wraps(function)
+    def run(*args, **kwargs) -> DataFrame:
+        with noted() as paths:
+            out = function(*args, **kwargs)
+        read = {x.rpartition("/")[0].rpartition("/")[2] for x in out.inputFiles()}
+        delete(out.sparkSession, [x for x in paths if x.rpartition("/")[2] not in read])
+        return out
+
+    return run
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Delete the folder when the driver ends."""
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     while paths:
-        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files, at = _file_system(spark, paths.pop())
+        files.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -73,9 +108,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of few rows, so that very long texts don't make very large batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches with a bound in rows and bytes, so that very long texts don't make very large batches.
+
+    The same for all operators, and left so: a lazy result is computed under whatever is set when it is read.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def small(df: DataFrame, rows: int) -> bool:

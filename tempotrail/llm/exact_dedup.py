@@ -5,12 +5,14 @@ the stable identifier of the row that stays (the largest id so far), how many ro
 locator of that row's content (file and row index).  The aggregation combines on the map side first, so a
 text that makes up a third of the input sends one row a task.
 
-A digest seen again is a hit; hits are compared byte for byte (grouping by the text itself).  If one digest
-turns out to have several contents, those rows are grouped by their content instead.
+A digest seen again is a hit; hits are compared byte for byte (grouping by the text itself) in a pass behind the
+stream: a state that held full contents to compare on arrival would be as large as the input, and one that
+fetched them by locator would read at random once a hit.  If one digest turns out to have several contents,
+those rows are grouped by their content instead.
 
 Defined cases: a null text counts as empty; an id of null is less than any other; of rows with the same id
-and text, the one that is later in (file, row index) stays; columns beside id and text are ignored; an
-empty table gives an empty result.
+and text, the one that is later in (file, row index) stays, one row only; very long texts are hashed whole;
+columns beside id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import release, shared_folder, small, stored
+from tempotrail.llm.common import delete, release, shared_folder, small, stored, tidied
 
 #: Digests of repeated texts that are broadcast at most (32 bytes each); beyond it, a shuffled join.
 BROADCAST_DIGESTS = 400_000
@@ -69,11 +71,13 @@ def exact_dedup(spark: SparkSession, folder: str, table: str = "documents.parque
 
     Give the checkpoint of an earlier run to go on from its state.
     """
-    checkpoint = checkpoint or shared_folder(spark, "dedup-state")
+    own, checkpoint = not checkpoint, checkpoint or shared_folder(spark, "dedup-state")
     if not spark.read.parquet(f"{folder}/{table}").isEmpty():
         update_state(spark, folder, table, checkpoint, digest, id_col, text_col, files_per_batch)
         release(spark)
         state = stored(read_state(spark, checkpoint), "dedup-groups")
+        if own:
+            delete(spark, [checkpoint])
     else:
         rows = _rows(spark.read.parquet(f"{folder}/{table}"), digest, id_col, text_col)
         state = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("locator").alias("locator"))
@@ -108,6 +112,7 @@ def _mixed_digests(rows: DataFrame, state: DataFrame) -> DataFrame | None:
     return None if mixed.isEmpty() else mixed
 
 
+@tidied
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the one it is a copy of."""
     out = exact_dedup(spark, sf_dir)
@@ -116,6 +121,6 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, sliced, stored
+from tempotrail.llm.common import bounded_batches, sliced, stored, tidied
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words that go to every task.
@@ -183,13 +183,14 @@ def score(docs: DataFrame, held_out: str = "held_out", vocabulary: str = VOCABUL
             yield pd.DataFrame({"word": batch["word"].tolist(), "known": [int(c > 0) for c in n], "base": [s.base(c) for c in n], "model": [s.model(w, c) for w, c in zip(batch["word"], n, strict=True)]})
 
     words = rest.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    bounded_batches(spark, 10_000)
+    bounded_batches(spark)
     words = stored(words.mapInPandas(scored, "word string, known int, base double, model double"), "lm-words")
     sums = rest.join(words, "word").groupBy("row").agg(F.sum(F.col("k") * F.col("known")).alias("k_known"), F.sum(F.col("k") * F.col("base")).alias("k_base"), F.sum(F.col("k") * F.col("model")).alias("k_model"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return part.join(sums, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "k_known").cast("long").alias("n_known"), F.lit(whole["n"] or 0).cast("long").alias("train_tokens"), plus("base", "k_base").alias("base_score"), plus("model", "k_model").alias("score"))
 
 
+@tidied
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model score of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

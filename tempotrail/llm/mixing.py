@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import small, stored
+from tempotrail.llm.common import small, stored, tidied
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
@@ -114,6 +114,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(best, docs["doc_id"] == best["_labelled"], "left").drop("_labelled").withColumn("quality_weight", F.coalesce("quality_weight", F.lit(QUALITY[None])))
 
 
+@tidied
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, sliced, small, stored
+from tempotrail.llm.common import bounded_batches, sliced, small, stored, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -231,6 +231,7 @@ def sanitised(text: str | None, base: list, terms: list | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
+@tidied
 def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document."""
     out = find_personal(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

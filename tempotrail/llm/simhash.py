@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, small, stored
+from tempotrail.llm.common import bounded_batches, partitions, small, stored, tidied
 
 SEED = 42
 #: A bucket's mean size up to which r stays, and the size from which a bucket is cut into chunks.
@@ -399,6 +399,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str =
     return out.select("id", "fp", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
 
 
+@tidied
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of every document."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
