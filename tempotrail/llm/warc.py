@@ -11,7 +11,8 @@ Files go through the file system of their URI, so the folder may be any store th
 
 Defined cases: a null payload is empty; a null url is left out; control characters in a url are percent-
 encoded; a null id is kept as such and never is the target of a revisit; rows that repeat both the id
-and the payload of a response are responses too; a record larger than a frame has a frame of its own.
+and the payload of a response are responses too; a record larger than a frame has a frame of its own; other
+columns are ignored; an empty table gives an empty index and no bundle.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, shared_folder, small, stored
+from tempotrail.llm.common import bounded_batches, gone_at_end, partitions, shared_folder, small, stored, tidied
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 128 << 20
@@ -165,7 +166,8 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
 
 def write_archive(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
-    """Write the records (of classify) as bundles of the folder; returns the index, which is stored too."""
+    """Write the records (of classify) as bundles of the folder; returns the index, stored for the session: write
+    it beside the bundles to keep it."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = BundleWriter(folder, frame_bytes, bundle_bytes)
@@ -179,14 +181,13 @@ def write_archive(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
             yield pd.DataFrame(done, columns=columns)
         yield pd.DataFrame(out.close(), columns=columns)
 
-    bounded_batches(records.sparkSession, 500)
+    bounded_batches(records.sparkSession)
     return stored(records.mapInPandas(write, INDEX_SCHEMA), "warc-index")
 
 
 def read_archive(index: DataFrame) -> DataFrame:
     """Every record of the bundles that the index names, read frame by frame and checked against its digest."""
-    frames = index.groupBy("bundle", "frame").agg(F.count("*").alias("records"))
-    return _read(frames.repartition(partitions(index.sparkSession), "bundle", "frame"), None)
+    return _read(index.groupBy("bundle", "frame").agg(F.count("*").alias("records")), None)
 
 
 def lookup(index: DataFrame, record_ids: DataFrame) -> DataFrame:
@@ -217,13 +218,17 @@ def _read(frames: DataFrame, offsets: str | None) -> DataFrame:
                     rows.append((head["warc-record-id"], head["warc-type"], head.get("warc-target-uri"), head.get("warc-refers-to"), digest, size, body))
                 yield pd.DataFrame(rows, columns=["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"])
 
-    bounded_batches(frames.sparkSession, 500)
-    return frames.mapInPandas(read, RECORD_SCHEMA)
+    bounded_batches(frames.sparkSession)
+    # the few rows of frames stand for much data; the grouping's own partitions would be merged for their size
+    dealt = frames.repartition(partitions(frames.sparkSession), F.xxhash64("bundle", "frame"))
+    return dealt.mapInPandas(read, RECORD_SCHEMA)
 
 
+@tidied
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, read the archive back, and give each page's record."""
     folder = shared_folder(spark, "warc")
+    gone_at_end(spark, folder)
     index = write_archive(classify(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
     return read_archive(index).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
