@@ -11,11 +11,13 @@ capacities and so of places for each cut; these ranges are summed up finer, unti
 enough to look at one by one.
 
 Slots number a shard's rows from 0 in the order of text hash and id.  A group of many rows is numbered in
-parts of about 512 rows, so a text that makes up a third of all rows is no task's own.
+parts of about 512 rows, dealt by row whatever the ids; there the order is by id within each part.  So a text
+that makes up a third of all rows is no task's own.
 
-Defined cases: a null text counts as empty, and groups with empty texts; a null id comes first in a group;
-repeated rows are rows of their own, in any order among themselves; with fewer groups than shards some shards
-are empty; an empty table gives an empty result; other columns are kept where asked for.
+Defined cases: a null text counts as empty, and groups with empty texts; a null id comes first in a group (or
+part); repeated rows are rows of their own, in any order among themselves; a text larger than the mean shard is
+placed whole; with fewer groups than shards some shards are empty; an empty table gives an empty result; other
+columns are kept where asked for, and ignored else.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from collections.abc import Callable, Iterable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import small, stored
+from tempotrail.llm.common import small, stored, tidied
 
 SHARDS = 16
 STEPS = 16_384
 #: Running totals that are looked at one by one.
 FINE = 200_000
-PART_ROWS = 512
+#: Rows of a part of a large group, and parts that are totalled together.
+PART_ROWS, JOINT_PARTS = 512, 4096
 #: Rows whose slots are broadcast at most; beyond it the wide rows are shuffled once.
 BROADCAST_ROWS = 500_000
 
@@ -144,8 +147,7 @@ def minimax_cuts(totals: DataFrame, shards: int = SHARDS, steps: int = STEPS, fi
 def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] = (), steps: int = STEPS, fine: int = FINE) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, size, text_crc32, shard, slot, and the columns of keep."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = (F.monotonically_increasing_id().alias("row"),) if keep else ()
-    hashed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *own, *keep)
+    hashed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("hash"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("row"), *keep)
     hashed = stored(hashed, "shard-rows")
     rows = hashed.drop(*keep)
     groups = rows.groupBy("hash").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
@@ -158,12 +160,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] = (), steps
     starts = placed.groupBy("shard").agg(F.min(F.col("rows_upto") - F.col("rows")).alias("first"))  # a row a shard
     placed = placed.join(F.broadcast(starts), "shard").select("hash", "rows", "shard", (F.col("rows_upto") - F.col("rows") - F.col("first")).alias("base"))
     parts = F.ceil(F.col("rows") / PART_ROWS)
-    dealt = rows.join(stored(placed, "shard-groups"), "hash").withColumn("part", F.when(F.col("rows") > PART_ROWS, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0).cast("int"))
-    dealt = stored(dealt, "shard-dealt")
-    sizes = dealt.filter(F.col("rows") > PART_ROWS).groupBy("hash", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("hash").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("hash", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    nth = F.row_number().over(Window.partitionBy("hash", "part").orderBy("doc_id"))
+    part = F.when(F.col("rows") > PART_ROWS, F.pmod(F.xxhash64("row"), parts)).otherwise(0).cast("int")
+    dealt = stored(rows.join(stored(placed, "shard-groups"), "hash").withColumn("part", part), "shard-dealt")
+    sizes = dealt.filter(F.col("rows") > PART_ROWS).groupBy("hash", "part").agg(F.count("*").alias("n")).withColumn("joint", F.floor(F.col("part") / JOINT_PARTS))
+    upto_before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joints = sizes.groupBy("hash", "joint").agg(F.sum("n").alias("n")).select("hash", "joint", upto_before("hash", "joint").alias("skip_joint"))
+    sizes = sizes.withColumn("skip", upto_before("hash", "joint", "part")).join(joints, ["hash", "joint"]).select("hash", "part", (F.col("skip") + F.col("skip_joint")).alias("skip"))
+    nth = F.row_number().over(Window.partitionBy("hash", "part").orderBy("doc_id", "row"))
     single = dealt.filter("rows = 1").withColumn("slot", F.col("base"))
     several = dealt.filter("rows > 1").withColumn("nth", nth - 1).join(sizes, ["hash", "part"], "left")
     several = several.withColumn("slot", F.col("base") + F.coalesce("skip", F.lit(0)) + F.col("nth")).drop("nth", "skip")
@@ -175,6 +178,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, keep: Sequence[str] = (), steps
     return hashed.join(slots, "row").select("doc_id", "size", "text_crc32", "shard", "slot", *keep)
 
 
+@tidied
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard and slot of every document."""
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
