@@ -11,7 +11,8 @@ first); beyond that the same join is shuffled on the fingerprint.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never found; equal
 item_ids count once, each text of theirs is looked for; rows that repeat both id and text get equal results; a
-null id is a value like any other; other columns are ignored; an empty table gives an empty result, and
+null id is a value like any other, of documents and of items (it counts as an item, and the joined ids pass it
+over); very long texts are read whole; other columns are ignored; an empty table gives an empty result, and
 without items nothing is hit.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import lower_ascii, stored
+from tempotrail.llm.common import lower_ascii, stored, tidied
 
 WINDOW, K = 10, 5
 #: k-grams a fingerprint is chosen from.
@@ -87,19 +88,26 @@ def _hits(left: DataFrame, items: DataFrame, rows: int) -> DataFrame:
     return left.join(F.broadcast(items) if rows <= BROADCAST_ROWS else items, "hash")
 
 
-def _short_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """Hits of items of n words, each a window of its own."""
-    hashes = lambda w: grams(w, n)
-    with_words = lambda w: F.transform(grams(w, n), lambda h, i: F.struct(h.alias("hash"), F.slice(w, i + 1, n).alias("near")))
-    of_length = stored(items.select("item_id", F.get(let(F.col("words"), hashes), F.lit(0)).alias("hash"), F.col("words").alias("item_words")), "benchmark-short")
-    every = docs.select("doc_id", "key1", "key2", F.posexplode(let(words(F.col("text")), with_words)).alias("at", "g"))
-    left = every.select("doc_id", "key1", "key2", "at", F.col("g.hash").alias("hash"), F.col("g.near").alias("near"))
-    found = _hits(left, of_length, of_length.count()).filter(F.col("near") == F.col("item_words"))
-    return found.select("doc_id", "key1", "key2", "item_id", F.sequence(F.col("at"), F.col("at") + (n - 1)).alias("hit"))
+def _short_hits(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits of items of so many words, each a window of its own; found in one pass, by the hash of as many words."""
+    whole = lambda n: F.get(let(F.col("words"), lambda w: grams(w, n)), F.lit(0))
+    with_hash = F.coalesce(*(F.when(F.col("n") == n, whole(n)) for n in lengths))
+    right = stored(items.select("item_id", with_hash.alias("hash"), F.col("words").alias("item_words")), "benchmark-short")
+    rows = right.count()
+    maybe = bit_test(right.select("hash"), rows)
+
+    def places(w: Column, n: int) -> Column:
+        found = lambda hashes: F.transform(F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: maybe(F.get(hashes, i))), lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), F.slice(w, i + 1, n).alias("near")))
+        return F.when(F.size(w) >= n, let(grams(w, n), found))
+
+    every = lambda w: F.flatten(F.array_compact(F.array(*(places(w, n) for n in lengths))))
+    left = docs.select("doc_id", "key1", "key2", F.explode(let(words(F.col("text")), every)).alias("g")).select("doc_id", "key1", "key2", "g.*")
+    found = _hits(left, right, rows).filter(F.col("near") == F.col("item_words"))
+    return found.select("doc_id", "key1", "key2", "item_id", F.sequence(F.col("at"), F.col("at") + F.size("near") - 1).alias("hit"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, key1, key2, n_words, hits (positions, null for none), item_ids."""
+    """Per row of docs (doc_id, text): doc_id, key1, key2, n_words, hits (positions, null for none), item_ids (a null id too)."""
     span = window - k + 1
     docs = docs.select("doc_id", "text", *(key.alias(name) for key, name in zip(keys(F.col("text")), ("key1", "key2"), strict=True)))
     items = stored(items.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0), "benchmark-words")
@@ -118,19 +126,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
 
     # items shorter than a window: one window of their length
     short = items.filter(F.size("words") < window).select("item_id", "words", F.size("words").alias("n"))
-    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # fewer than window values
-        parts.append(_short_hits(docs, short.filter(F.col("n") == n), n))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # fewer than window values
+    if lengths:
+        parts.append(_short_hits(docs, short, lengths))
 
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    by_doc = every.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.collect_set("item_id").alias("item_ids"))
-    by_doc = stored(by_doc, "benchmark-hits").select(F.col("doc_id").alias("hit_id"), F.col("key1").alias("hit1"), F.col("key2").alias("hit2"), "hits", "item_ids")
+    by_doc = every.groupBy("doc_id", "key1", "key2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit")))).alias("hits"), F.collect_set(F.struct("item_id")).alias("items"))
+    by_doc = stored(by_doc, "benchmark-hits").select(F.col("doc_id").alias("hit_id"), F.col("key1").alias("hit1"), F.col("key2").alias("hit2"), "hits", F.col("items.item_id").alias("item_ids"))
     slim = docs.select("doc_id", "key1", "key2", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), NOT_WORD_YET), "")).cast("long").alias("n_words"))
     same_row = (F.col("key1") == F.col("hit1")) & (F.col("key2") == F.col("hit2")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
     return slim.join(by_doc, same_row, "left").select("doc_id", "key1", "key2", "n_words", "hits", "item_ids")
 
 
+@tidied
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of each document stand in a benchmark item, and in which items."""
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
