@@ -5,22 +5,24 @@ a Bloom filter, those seen twice into a second one.  The probe: every rolling wi
 20 words that stands elsewhere too holds a whole block of the other place, whatever the alignment, so it has a
 rolling window off its own blocks that hits the index, or a block of its own that was seen twice.  Hits are
 extended to all windows of 20 words around them.  The filters never miss, they only let some windows pass for
-nothing; the rest is exact: windows of 20 words are brought together by their hash (128 bits), the earliest
-keeps its words, and every other is removed.  Runs of such windows are the maximal exact repeats.
+nothing; the rest is exact: windows of 20 words are brought together by their hash (128 bits, two halves of
+independent word hashes), the earliest keeps its words, and every other is removed.  Runs of such windows are
+the maximal exact repeats.
 
 Windows travel as packed arrays in buckets by hash.  A task sends only its own earliest place of a window:
 later ones in the task are removed whatever the others hold.  So a passage that a third of all texts share
-sends one place a task.  The filters have 16 bits a block up to MOST_BITS; fuller filters let more windows
-pass, which costs volume and never results.
+sends one place a task.  Windows to remove go back to the texts by id and text, so that copies of one text
+spread.  The filters have 16 bits a block up to MOST_BITS; fuller filters let more windows pass, which costs
+volume and never results.
 
 Defined cases: a null text has no words; a text shorter than a window loses nothing; a null id comes after all
-others; rows with the same id are no earlier than each other at the same start; equal rows get equal results;
-other columns are ignored; an empty table gives an empty result.
+others, and the largest long counts as the same id; rows with the same id are no earlier than each other at the
+same start; equal rows get equal results; very long texts are read whole; other columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, release, small, stored
+from tempotrail.llm.common import bounded_batches, partitions, release, stored, tidied
 
 WINDOW = 20
 SEGMENTS = 256
@@ -39,8 +41,7 @@ BUCKET_WINDOWS, TASK_WINDOWS = 2_000_000, 1_000_000
 #: Rows of removed spans that are broadcast at most, and their bytes.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 24 << 20
 _BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: Makes the second half of a window's hash from other word hashes.
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: Stands for a null id, which comes last.
 _LAST = np.iinfo(np.int64).max
 
 
@@ -154,7 +155,7 @@ def block_index(rows: DataFrame, window: int = WINDOW) -> tuple[Filter, int]:
         for segment, (first, second) in own.items():
             yield pd.DataFrame({"segment": [segment], "first": [first.tobytes()], "second": [second.tobytes()]})
 
-    bounded_batches(spark, 500)
+    bounded_batches(spark)
     built = cut.filter("segment >= 0").repartition(min(SEGMENTS, max(16, partitions(spark))), "segment").mapInPandas(build, "segment int, first binary, second binary")
     for r in stored(built, "anchor-filters").toLocalIterator():  # two rows of bits a segment, MOST_BITS at most together
         at = slice(r["segment"] * size // 8, (r["segment"] + 1) * size // 8)
@@ -181,10 +182,14 @@ def _spans(starts: np.ndarray, window: int) -> bytes:
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + window]).astype(np.int32).T.tobytes()
 
 
+def _spread(ids: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    return _mixed(checks.view(np.uint64) ^ _mixed(ids.view(np.uint64) * _BASES[0]))
+
+
 def by_destination(removed: list[tuple[np.ndarray, np.ndarray, np.ndarray]], destinations: int) -> pd.DataFrame:
-    """Windows to remove, packed by text, a row for each destination of texts."""
+    """Windows to remove, packed by text, a row for each destination of ids and texts."""
     ids, checks, start = (np.concatenate(x) for x in zip(*removed, strict=True))
-    to = (_mixed(checks.view(np.uint64)) % np.uint64(destinations)).astype(np.int32)
+    to = (_spread(ids, checks) % np.uint64(destinations)).astype(np.int32)
     order = np.lexsort((start, ids, checks, to))
     ids, checks, start, to = ids[order], checks[order], start[order], to[order]
     texts = np.flatnonzero(np.concatenate(([True], (np.diff(ids) != 0) | (np.diff(checks) != 0))))[: len(ids)]
@@ -198,37 +203,39 @@ def by_destination(removed: list[tuple[np.ndarray, np.ndarray, np.ndarray]], des
 
 
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of rows (id, check, text) that has repeats: id, check and the spans of words to remove; stored."""
+    """Per row of rows (id: _LAST for null, check, text) that has repeats: id, check and the spans of words to remove; stored."""
     spark = rows.sparkSession
     filters, words = block_index(rows, window)
     buckets = max(partitions(spark), -(-words // BUCKET_WINDOWS))
     shared = spark.sparkContext.broadcast(filters)  # MOST_BITS / 4 bytes at most
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo, held, parts, n = _Hashes(1), [], [], 0
+        memo, other, held, parts, n = _Hashes(1), _Hashes(2), {}, [], 0
         for batch in batches:
-            ids = batch["id"].astype(object).where(batch["id"].notna(), None)
-            for i, check, text in zip(ids, batch["check"], batch["text"], strict=True):
+            for i, check, text in zip(batch["id"], batch["check"], batch["text"], strict=True):
+                if (i, check) in held:  # an equal row, which gets the same result
+                    continue
                 words = (text or "").encode().split()
                 hashes = _word_hashes(words, memo) if len(words) >= window else ()
                 starts = candidates(hashes, shared.value, window) if len(hashes) else ()
                 if len(starts):
                     lo = int(starts[0])
-                    near = hashes[lo : int(starts[-1]) + window]
-                    parts.append((rolling(near, window, _BASES[0])[starts - lo], rolling(_mixed(near ^ _SECOND), window, _BASES[1])[starts - lo], np.full(len(starts), len(held), np.int32), starts.astype(np.int32)))
-                    held.append((_LAST if i is None else int(i), int(check)))
+                    hi = int(starts[-1]) + window
+                    second = _word_hashes(words[lo:hi], other)
+                    parts.append((rolling(hashes[lo:hi], window, _BASES[0])[starts - lo], rolling(second, window, _BASES[1])[starts - lo], np.full(len(starts), len(held), np.int32), starts.astype(np.int32)))
+                    held[i, check] = None
                     n += len(starts)
                 if n >= TASK_WINDOWS:
                     yield from packed_rows(parts, held)
-                    held, parts, n = [], [], 0
+                    held, parts, n = {}, [], 0
         if parts:
             yield from packed_rows(parts, held)
 
-    def packed_rows(parts: list[tuple], held: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+    def packed_rows(parts: list[tuple], held: dict[tuple[int, int], None]) -> Iterator[pd.DataFrame]:
         a, b, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        of_row = np.array(held, np.int64).reshape(-1, 2)
+        of_row = np.array(list(held), np.int64).reshape(-1, 2)
         order, earliest = _ranked(a, b, of_row[row, 0], start)
-        yield _by_text(row[order][~earliest], start[order][~earliest], held, buckets)
+        yield _by_text(row[order][~earliest], start[order][~earliest], of_row, buckets)
         sent = order[earliest]
         bucket = (a[sent] % np.uint64(buckets)).astype(np.int32)
         sent = sent[np.lexsort((start[sent], row[sent], bucket))]
@@ -288,10 +295,10 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
         edges = np.concatenate(([0], np.flatnonzero((np.diff(ids) != 0) | (np.diff(checks) != 0)) + 1, [len(ids)]))
         for at in range(0, len(edges) - 1, 10_000):
             part = edges[at : at + 10_001]
-            yield pd.DataFrame({"id": _null_ids(ids[part[:-1]]), "check": checks[part[:-1]], "spans": [_spans(start[x:y], window) for x, y in zip(part, part[1:], strict=False)]})
+            yield pd.DataFrame({"id": ids[part[:-1]], "check": checks[part[:-1]], "spans": [_spans(start[x:y], window) for x, y in zip(part, part[1:], strict=False)]})
 
     destinations = max(partitions(spark), -(-words // (2 * BUCKET_WINDOWS)))
-    bounded_batches(spark, 200)
+    bounded_batches(spark)
     found = packed.repartition(buckets, "bucket").mapInPandas(settle, "destination int, id binary, check binary, n binary, start binary")
     out = stored(found.repartition(destinations, "destination").mapInPandas(gather, "id long, check long, spans binary"), "anchor-repeats")
     shared.unpersist()
@@ -299,10 +306,6 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     return out
 
 
-def _null_ids(ids: np.ndarray) -> pd.Series:
-    return pd.Series(ids, dtype="Int64").mask(ids == _LAST)
-
-
 def _ranked(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that brings equal hashes together, and which of it stand at the earliest place of their hash."""
     order = np.argsort(a)
@@ -322,52 +325,50 @@ def _ranked(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray) ->
     return order, least & (start == np.minimum.reduceat(at, first)[group])
 
 
-def _by_text(row: np.ndarray, start: np.ndarray, held: list[tuple[int, int]], buckets: int) -> pd.DataFrame:
-    """Starts to remove, a row a text; they pass through a bucket of the text."""
+def _by_text(row: np.ndarray, start: np.ndarray, of_row: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Starts to remove, a row a text; they pass through a bucket of the id and text."""
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
     edges = np.concatenate(([0], np.flatnonzero(np.diff(row)) + 1, [len(row)])) if len(row) else np.zeros(1, int)
-    texts = [held[r] for r in row[edges[:-1]]]
-    pack = lambda x: np.array([x], np.int64).tobytes()
+    texts = of_row[row[edges[:-1]]]
     return pd.DataFrame({
-        "bucket": pd.Series([t[1] % buckets for t in texts], dtype="int64"), "a": None, "b": None, "start": [start[x:y].astype(np.int32).tobytes() for x, y in zip(edges, edges[1:], strict=False)],
-        "id": [pack(t[0]) for t in texts], "check": [pack(t[1]) for t in texts], "n": None,
+        "bucket": (_spread(texts[:, 0], texts[:, 1]) % np.uint64(buckets)).astype(np.int64), "a": None, "b": None, "start": [start[x:y].astype(np.int32).tobytes() for x, y in zip(edges, edges[1:], strict=False)],
+        "id": [x.tobytes() for x in texts[:, 0]], "check": [x.tobytes() for x in texts[:, 1]], "n": None,
     })
 
 
 def kept_words(text: str | None, spans: bytes | None) -> tuple[int, int, str]:
-    """Words, words removed, and the sha256 of the rest."""
+    """Words, words removed, and the rest joined by spaces."""
     words = (text or "").encode().split()
     kept, at = [], 0
     for lo, hi in np.frombuffer(spans or b"", np.int32).reshape(-1, 2).tolist():
         kept += words[at:lo]
         at = hi
     kept += words[at:]
-    return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
+    return len(words), len(words) - len(kept), b" ".join(kept).decode()
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, n_removed, kept_sha256."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
+    """Per row: id, n_words, n_removed, kept (the text that is left)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text_col)).alias("check"), F.col(text_col).alias("text"))
     spans = repeats(rows, window)
     size = spans.select(F.count("*").alias("n"), F.sum(F.octet_length("spans")).alias("bytes")).first()
     if size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES:
         spans = F.broadcast(spans)
-    spans = spans.select(F.col("id").alias("span_id"), F.col("check").alias("span_check"), "spans")
 
-    @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
+    @F.pandas_udf("n_words long, n_removed long, kept string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([kept_words(t, s) for t, s in zip(text, spans, strict=True)], columns=["n_words", "n_removed", "kept_sha256"])
+        return pd.DataFrame([kept_words(t, s) for t, s in zip(text, spans, strict=True)], columns=["n_words", "n_removed", "kept"])
 
-    joined = rows.join(spans, (F.col("check") == F.col("span_check")) & F.col("id").eqNullSafe(F.col("span_id")), "left")
     bounded_batches(docs.sparkSession)
-    return joined.select("id", kept("text", "spans").alias("k")).select("id", "k.*")
+    return rows.join(spans, ["check", "id"], "left").select(F.col("doc").alias("id"), kept("text", "spans").alias("k")).select("id", "k.*")
 
 
+@tidied
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the spans that stand earlier."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""
