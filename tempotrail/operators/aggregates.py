@@ -32,7 +32,7 @@ def bins(results: DataFrame, *by: str, step: int = BIN_SECONDS) -> DataFrame:
     ends = counts.agg(F.min("start").alias("a"), F.max("start").alias("b"))
     every = ends.filter("a is not null").select(F.explode(F.sequence("a", "b", F.lit(step).cast("long"))).alias("start"))
     for c in by:
-        every = every.join(F.broadcast(results.select(c).distinct()), how="cross")  # the few values of a dimension
+        every = every.join(results.select(c).distinct(), how="cross")  # bins with the values of a dimension
     return every.join(counts, [*by, "start"], "left").select(*by, "start", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempotrail.operators.windows import numbered
+
 MISSING = ("", "UNKNOWN")
+#: Athletes of a step, and first letters of a key, by which new athletes are numbered.
+STEP, KEY_STEP = 1024, 6
 
 
 def known(value: Column) -> Column:
@@ -64,7 +68,8 @@ def separated(results: DataFrame, first_new: int) -> DataFrame:
     """results (id, race_id, athlete_id, link_id) with new_athlete_id: the row with the least link keeps the athlete."""
     keeper = Window.partitionBy("race_id", "athlete_id").orderBy(F.col("link_id").asc_nulls_last(), "id")
     ranked = shared_race(results).withColumn("_nth", F.row_number().over(keeper))
-    moved = ranked.filter("_nth > 1").withColumn("new_athlete_id", F.lit(first_new) + F.row_number().over(Window.orderBy("race_id", "athlete_id", "id")) - 1)
+    moved = numbered(ranked.filter("_nth > 1"), ["race_id", "athlete_id", "id"], {"_race": F.col("race_id"), "_step": F.floor(F.col("athlete_id") / STEP)}, "_no")
+    moved = moved.withColumn("new_athlete_id", F.lit(first_new) + F.col("_no")).drop("_no")
     return ranked.filter("_nth = 1").withColumn("new_athlete_id", F.col("athlete_id")).unionByName(moved).drop("_nth")
 
 
@@ -81,7 +86,7 @@ def resolve(rows: DataFrame, athletes: DataFrame, links: DataFrame, first_new: i
     single = pairs.groupBy("r.row_id").agg(F.count("*").alias("_n"), F.min("a.athlete_id").alias("_found")).filter("_n = 1").select("row_id", "_found")
     out = linked.join(single, "row_id", "left").withColumn("athlete_id", F.coalesce("_link", "_found"))
     fresh = out.filter("athlete_id is null").select("key", "sex", "birth_year").distinct()
-    fresh = fresh.withColumn("_new", F.lit(first_new) + F.row_number().over(Window.orderBy("key", F.col("sex").asc_nulls_first(), F.col("birth_year").asc_nulls_first())) - 1)
+    fresh = numbered(fresh, ["key", "sex", "birth_year"], {"_step": F.left("key", F.lit(KEY_STEP))}, "_no").withColumn("_new", F.lit(first_new) + F.col("_no")).drop("_no")
     same = out["key"].eqNullSafe(fresh["key"]) & out["sex"].eqNullSafe(fresh["sex"]) & out["birth_year"].eqNullSafe(fresh["birth_year"])
     return out.join(fresh, same, "left").select(out["row_id"], F.coalesce(out["athlete_id"], fresh["_new"]).alias("athlete_id"))
 
@@ -101,7 +106,8 @@ def merge_by_priority(rows: DataFrame, keys: Sequence[str], fields: Sequence[str
 
 
 def match_levels(existing: DataFrame, official: DataFrame) -> DataFrame:
-    """official (oid, bib, key, finish_seconds, overall_place, age_class) with level, outcome and result_id.
+    """official (oid, race_id, bib, key, finish_seconds, overall_place, age_class) with level, outcome and result_id, matched
+    in the same race.
 
     Level 1 is bib and name with one more field, level 2 name and time, level 3 name, place and class.  The
     first level with a candidate decides: exactly one without a contradiction matches, several are ambiguous,
@@ -110,7 +116,7 @@ def match_levels(existing: DataFrame, official: DataFrame) -> DataFrame:
     e, o = existing.alias("e"), official.alias("o")
     eq = lambda c: F.coalesce(F.col(f"e.{c}") == F.col(f"o.{c}"), F.lit(False))
     clash = lambda c: F.coalesce(F.col(f"e.{c}") != F.col(f"o.{c}"), F.lit(False))
-    pairs = o.join(e, F.col("e.key") == F.col("o.key"))
+    pairs = o.join(e, (F.col("e.race_id") == F.col("o.race_id")) & (F.col("e.key") == F.col("o.key")))
     level = F.when(eq("bib") & (eq("finish_seconds") | eq("overall_place") | eq("age_class")), 1).when(eq("finish_seconds"), 2).when(eq("overall_place") & eq("age_class"), 3)
     conflict = clash("bib") | clash("finish_seconds") | clash("overall_place")
     found = pairs.select("o.oid", F.col("e.id").alias("rid"), level.alias("level"), conflict.alias("conflict")).filter("level is not null")

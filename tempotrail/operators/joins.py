@@ -56,9 +56,9 @@ def interpolated(at: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
 
 
 def by_key_or_name(wanted: DataFrame, splits: DataFrame) -> DataFrame:
-    """wanted (result_id, checkpoint_key, name) with the passage of that key, or else of that name."""
+    """wanted (result_id, checkpoint_key, name) with the passage of that key, or else of that name (the first of several)."""
     s = splits.select("result_id", "checkpoint_key", F.col("elapsed_seconds").alias("by_key"))
-    n = splits.select("result_id", F.col("name"), F.col("elapsed_seconds").alias("by_name")).dropDuplicates(["result_id", "name"])
+    n = splits.groupBy("result_id", "name").agg(F.min("elapsed_seconds").alias("by_name"))
     return wanted.join(s, ["result_id", "checkpoint_key"], "left").join(n, ["result_id", "name"], "left").withColumn("elapsed_seconds", F.coalesce("by_key", "by_name")).drop("by_key", "by_name")
 
 

@@ -13,9 +13,13 @@ SEQUENCE_TOLERANCE = 60
 
 
 def digest(rows: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
-    """SHA-256 of each group's rows, whatever their order."""
+    """SHA-256 of each group's rows, whatever their order: first of the rows of each of 4096 parts (by the hash's first
+    digits), then of the parts in order."""
     row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ""), 256).alias("digest"))
+    rows = rows.select(by, row.alias("_row")).withColumn("_part", F.left("_row", F.lit(3)))
+    joined = lambda of: F.sha2(F.array_join(F.sort_array(F.collect_list(of)), ""), 256)
+    parts = rows.groupBy(by, "_part").agg(joined("_row").alias("_digest"))
+    return parts.groupBy(by).agg(joined(F.concat("_part", "_digest")).alias("digest"))
 
 
 def bound(family: Column, upper: bool) -> Column:

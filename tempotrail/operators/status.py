@@ -27,11 +27,11 @@ def evidence(splits: DataFrame) -> DataFrame:
 def classify(results: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """results (id, status, finish_seconds) with has_split, category, derived and the two contradictions.
 
-    DNS and DSQ hold whatever else is known; finished takes both the word and a time; whoever has started in
+    seen: the results of evidence(), unless has_split says so already.  DNS and DSQ hold whatever else is known; finished takes both the word and a time; whoever has started in
     any other way did not finish.
     """
     if seen is None:
-        out = results.withColumn("has_split", F.lit(False))
+        out = results if "has_split" in results.columns else results.withColumn("has_split", F.lit(False))
     else:
         out = results.join(seen.select(F.col("result_id").alias("_seen")), F.col("id") == F.col("_seen"), "left").withColumn("has_split", F.col("_seen").isNotNull()).drop("_seen")
     word, timed = plain(F.col("status")), F.coalesce(F.col("finish_seconds") > 0, F.lit(False))

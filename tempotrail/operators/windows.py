@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -41,24 +43,60 @@ def strict_segments(splits: DataFrame) -> DataFrame:
 def class_places(splits: DataFrame) -> DataFrame:
     """splits (race_id, age_class, sequence_no, elapsed_seconds, is_estimated, place_class) with gaps of place_class ranked."""
     real = (F.col("is_estimated") == 0) & F.col("elapsed_seconds").isNotNull()
-    by = Window.partitionBy("race_id", "age_class", "sequence_no", real).orderBy("elapsed_seconds")
-    return splits.withColumn("place_class", F.coalesce("place_class", F.when(real, F.rank().over(by))))
+    rows = ranked(splits.withColumn("_real", F.when(real, F.col("elapsed_seconds"))), ["race_id", "age_class", "sequence_no"], "_real", "_place")
+    return rows.withColumn("place_class", F.coalesce("place_class", "_place")).drop("_real", "_place")
+
+
+def ranked(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with the place of their value in their group: one more than there are smaller ones; null without a value.
+
+    Values are counted first, so that a task sorts the different values of a group and never its rows.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(*by, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name))
+    return rows.join(places, [*by, value], "left").select(*rows.columns, name)
+
+
+def positions(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str) -> DataFrame:
+    """rows with their position in their group by value, ties by another column, and _size, the group's."""
+    placed = ranked(rows, by, value, "_place")
+    own = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
+    return placed.withColumn(name, F.col("_place") + own - 1).drop("_place").join(sizes, list(by))
+
+
+def numbered(rows: DataFrame, order: Sequence[str], coarse: dict[str, Column], name: str) -> DataFrame:
+    """rows numbered from 0 in the order (nulls first); coarse: steps that come in the same order and have far fewer values.
+
+    Rows are numbered inside a step, and steps by the running total of their counts.
+    """
+    stepped = rows.withColumns(coarse)
+    steps = stepped.groupBy(*coarse).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy(*coarse).rowsBetween(Window.unboundedPreceding, -1)  # a row a step
+    steps = steps.select(*(F.col(c).alias(f"{c}_of") for c in coarse), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    same = F.lit(True)
+    for c in coarse:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    own = F.row_number().over(Window.partitionBy(*coarse).orderBy(*order))
+    return stepped.withColumn("_own", own).join(steps, same).select(*rows.columns, (F.col("_start") + F.col("_own") - 1).alias(name))
 
 
 def class_scores(finishers: DataFrame, class_column: str = "nclass") -> DataFrame:
     """idx from 100 for a class's first to 0 for its last; ties by position."""
-    w = Window.partitionBy("race_id", "sex", class_column)
-    i, n = F.row_number().over(w.orderBy("finish_seconds", "id")), F.count("*").over(w)
-    return finishers.withColumns({"_i": i, "_n": n}).withColumn("idx", F.when(F.col("_n") == 1, 100.0).otherwise(100.0 * (F.col("_n") - F.col("_i")) / (F.col("_n") - 1))).drop("_i", "_n")
+    rows = positions(finishers, ["race_id", "sex", class_column], "finish_seconds", "id", "_i")
+    return rows.withColumn("idx", F.when(F.col("_size") == 1, 100.0).otherwise(100.0 * (F.col("_size") - F.col("_i")) / (F.col("_size") - 1))).drop("_i", "_size")
 
 
 def dominance(finishers: DataFrame, least: int = 5, class_column: str = "nclass") -> DataFrame:
     """Per race and class: winner, per cent under the median, margin to the second, runners, whether enough."""
-    w = Window.partitionBy("race_id", class_column)
-    order = w.orderBy("finish_seconds", "id")
-    rows = finishers.withColumns({"_i": F.row_number().over(order), "_next": F.lead("finish_seconds").over(order), "_n": F.count("*").over(w), "_m": F.median("finish_seconds").over(w)})
-    top = rows.filter("_i = 1")
-    return top.select("race_id", class_column, F.col("id").alias("winner"), (100.0 * (F.col("_m") - F.col("finish_seconds")) / F.col("_m")).alias("dominance"), (F.col("_next") - F.col("finish_seconds")).alias("margin"), F.col("_n").alias("runners"), (F.col("_n") >= least).alias("eligible"))
+    by = ["race_id", class_column]
+    two = positions(finishers, by, "finish_seconds", "id", "_i").filter("_i <= 2")
+    at = lambda c, n: F.max(F.when(F.col("_i") == n, F.col(c)))
+    top = two.groupBy(*by).agg(at("id", 1).alias("winner"), at("finish_seconds", 1).alias("_first"), at("finish_seconds", 2).alias("_second"))
+    middle = finishers.groupBy(*by).agg(F.median("finish_seconds").alias("_m"), F.count("*").alias("runners"))
+    share = 100.0 * (F.col("_m") - F.col("_first")) / F.col("_m")
+    return top.join(middle, by).select(*by, "winner", share.alias("dominance"), (F.col("_second") - F.col("_first")).alias("margin"), "runners", (F.col("runners") >= least).alias("eligible"))
 
 
 def place_changes(splits: DataFrame) -> DataFrame:

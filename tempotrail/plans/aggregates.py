@@ -207,7 +207,7 @@ def clubs(m: Model, *by: str) -> DataFrame:
     from tempotrail.operators.windows import class_scores, closing_gain
 
     ix = class_scores(finished(m)).select("id", "idx")
-    gain = closing_gain(m.splits, MID).select(F.col("result_id").alias("id"), "gain")
+    gain = closing_gain(m.placed_splits, MID).select(F.col("result_id").alias("id"), "gain")
     p = people(m).filter("clubkey is not null").join(ix, "id", "left").join(gain, "id", "left")
     of = lambda s: F.count_if(st.started() & (F.col("sex") == s))
     balance = 100.0 - F.abs(of("M") - of("F")) * 100.0 / op.starters()
@@ -293,7 +293,7 @@ def ag_coverage(m: Model) -> DataFrame:
  max(slow.sequence_no) AS slowest_segment, max(g.gain) AS best_gain FROM c2 c LEFT JOIN (SELECT result_id, arg_min(place_overall, sequence_no) - arg_max(place_overall, sequence_no) AS gain FROM splits GROUP BY 1) g ON g.result_id = c.id
  LEFT JOIN (SELECT race_id, arg_max(sequence_no, (p, -sequence_no)) AS sequence_no FROM (SELECT race_id, sequence_no, median(pace) AS p FROM seg GROUP BY 1, 2) GROUP BY 1) slow ON slow.race_id = c.race_id GROUP BY 1""")
 def ag_stories(m: Model) -> DataFrame:
-    gain = m.splits.groupBy(F.col("result_id").alias("id")).agg((F.min_by("place_overall", "sequence_no") - F.max_by("place_overall", "sequence_no")).alias("gain"))
+    gain = m.placed_splits.groupBy(F.col("result_id").alias("id")).agg((F.min_by("place_overall", "sequence_no") - F.max_by("place_overall", "sequence_no")).alias("gain"))
     slow = segments(m).groupBy("race_id", "sequence_no").agg(F.median("pace").alias("p")).groupBy("race_id").agg(F.max_by("sequence_no", F.struct("p", -F.col("sequence_no"))).alias("slowest_segment"))
     key = F.when(F.col("category") == "finished", F.struct("finish_seconds", "id"))
     out = people(m).join(gain, "id", "left").groupBy("race_id").agg(F.min_by("id", key).alias("winner"), F.median(op.finish_times()).alias("median"), F.max_by("id", key).alias("last_finisher"), F.max("gain").alias("best_gain"))
@@ -346,7 +346,7 @@ def ag_race_quality(m: Model) -> DataFrame:
     return classified(m).join(bad, "id", "left").groupBy("race_id").agg(F.count("*").alias("results"), F.count_if("has_split").alias("covered"), total("back").alias("not_increasing"), total("late").alias("after_finish"))
 
 
-@q("ag_digest", "SELECT race_id, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT race_id, sha256(concat_ws('|', id, athlete_id, coalesce(status, ''), coalesce(finish_seconds::VARCHAR, ''))) AS d FROM results) GROUP BY 1")
+@q("ag_digest", "SELECT race_id, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT race_id, left(d, 3) || sha256(string_agg(d, '' ORDER BY d)) AS d FROM (SELECT race_id, sha256(concat_ws('|', id, athlete_id, coalesce(status, ''), coalesce(finish_seconds::VARCHAR, ''))) AS d FROM results) GROUP BY 1, left(d, 3)) GROUP BY 1")
 def ag_digest(m: Model) -> DataFrame:
     from tempotrail.operators.quality import digest
 

@@ -53,13 +53,13 @@ def flt_sex_toggle(m: Model) -> DataFrame:
 
 @query("flt_search", "SELECT id, name FROM results WHERE contains(lower(concat_ws(' ', name, club, bib)), '#00000010') ORDER BY NOT starts_with(lower(name), '#00000010'), year DESC, overall_place NULLS LAST, name, id LIMIT 14")
 def flt_search(m: Model) -> DataFrame:
-    return op.search(m.results, "#00000010").select("id", "name")
+    return op.search(m.placed_results, "#00000010").select("id", "name")
 
 
 @query("flt_search_compare", "SELECT id FROM results WHERE contains(lower(concat_ws(' ', name, club, bib)), 'machinery if') AND id % 10 <> 0 ORDER BY finish_seconds NULLS LAST, id LIMIT 12")
 def flt_search_compare(m: Model) -> DataFrame:
     chosen = m.results.filter("id % 10 = 0").select("id")
-    return op.search(m.results.join(chosen, "id", "left_anti"), "machinery IF", 12, prefix_first=False).select("id")
+    return op.search(m.placed_results.join(chosen, "id", "left_anti"), "machinery IF", 12, prefix_first=False).select("id")
 
 
 @query("flt_search_history", "SELECT athlete_id, name, races FROM (SELECT athlete_id, name, count(*) AS races FROM results GROUP BY 1, 2) WHERE contains(lower(name), '0012') ORDER BY races DESC, athlete_id LIMIT 10")
@@ -79,13 +79,13 @@ def flt_mixed_guard(m: Model) -> DataFrame:
 
 @query("flt_zoom_rect", "SELECT id FROM results WHERE finish_seconds BETWEEN 6000 AND 12000 AND overall_place BETWEEN 1 AND 300")
 def flt_zoom_rect(m: Model) -> DataFrame:
-    points = m.results.withColumns({"x": F.col("finish_seconds"), "y": F.col("overall_place")})
+    points = m.placed_results.withColumns({"x": F.col("finish_seconds"), "y": F.col("overall_place")})
     return op.zoom(points, (12000, -50), (6000, 300), (0, 90000, 1, 100000)).select("id")
 
 
 @query("prj_page", f"SELECT id, overall_place FROM results WHERE race_id = {RACE} ORDER BY overall_place NULLS LAST, name, id LIMIT 10 OFFSET 20")
 def prj_page(m: Model) -> DataFrame:
-    return op.page(op.matching(m.results, RACE), 2).select("id", "overall_place")
+    return op.page(op.matching(m.placed_results, RACE), 2).select("id", "overall_place")
 
 
 @query("prj_hydrate", "SELECT s.result_id, s.checkpoint_key, c.name AS checkpoint_name, c.sequence_no AS checkpoint_no, c.distance_km AS checkpoint_km, 0::BIGINT AS is_estimated FROM splits s LEFT JOIN checkpoints c USING (race_id, checkpoint_key)")

@@ -52,23 +52,23 @@ def er_safe_race(m: Model) -> DataFrame:
     return m.results.select("id").join(shared, "id", "left").select("id", F.col("shared").isNull().alias("safe"))
 
 
-OFFICIAL = "SELECT id AS oid, CASE WHEN id % 4 = 0 THEN 'x' ELSE bib END AS bib, name AS key, CASE WHEN id % 3 = 0 THEN NULL ELSE finish_seconds END AS finish_seconds, CASE WHEN id % 5 = 0 THEN NULL ELSE overall_place END AS overall_place, age_class FROM results WHERE race_id = 19970 AND id % 7 <> 0"
+OFFICIAL = "SELECT id AS oid, race_id, CASE WHEN id % 4 = 0 THEN 'x' ELSE bib END AS bib, name AS key, CASE WHEN id % 3 = 0 THEN NULL ELSE finish_seconds END AS finish_seconds, CASE WHEN id % 5 = 0 THEN NULL ELSE overall_place END AS overall_place, age_class FROM results WHERE id % 7 <> 0"
 
 
 @query("er_match", """SELECT o.oid, a.level, CASE WHEN a.n IS NULL THEN 'unmatched' WHEN a.good = 1 THEN 'matched' WHEN a.n > 1 THEN 'ambiguous' ELSE 'conflict' END AS outcome, CASE WHEN a.good = 1 THEN a.rid END AS result_id FROM off o LEFT JOIN (
  SELECT oid, level, count(*) AS n, count(*) FILTER (NOT cf) AS good, min(rid) FILTER (NOT cf) AS rid FROM (SELECT *, min(level) OVER (PARTITION BY oid) AS best FROM (SELECT o.oid, e.id AS rid, CASE WHEN e.bib = o.bib AND (coalesce(e.finish_seconds = o.finish_seconds, false) OR coalesce(e.overall_place = o.overall_place, false) OR e.age_class = o.age_class) THEN 1 WHEN e.finish_seconds = o.finish_seconds THEN 2 WHEN e.overall_place = o.overall_place AND e.age_class = o.age_class THEN 3 END AS level,
- coalesce(e.bib <> o.bib, false) OR coalesce(e.finish_seconds <> o.finish_seconds, false) OR coalesce(e.overall_place <> o.overall_place, false) AS cf FROM off o JOIN (SELECT * FROM results WHERE race_id = 19970) e ON e.name = o.key) WHERE level IS NOT NULL) WHERE level = best GROUP BY 1, 2) a USING (oid)""".replace("a.level,", "a.level::BIGINT AS level,"), off=OFFICIAL)
+ coalesce(e.bib <> o.bib, false) OR coalesce(e.finish_seconds <> o.finish_seconds, false) OR coalesce(e.overall_place <> o.overall_place, false) AS cf FROM off o JOIN results e ON e.name = o.key AND e.race_id = o.race_id) WHERE level IS NOT NULL) WHERE level = best GROUP BY 1, 2) a USING (oid)""".replace("a.level,", "a.level::BIGINT AS level,"), off=OFFICIAL)
 def er_match(m: Model) -> DataFrame:
     i = F.col("id")
-    race = m.results.filter("race_id = 19970")
-    official = race.filter(i % 7 != 0).select(i.alias("oid"), F.when(i % 4 == 0, "x").otherwise(F.col("bib")).alias("bib"), F.col("name").alias("key"), F.when(i % 3 != 0, F.col("finish_seconds")).alias("finish_seconds"), F.when(i % 5 != 0, F.col("overall_place")).alias("overall_place"), "age_class")
+    race = m.placed_results
+    official = race.filter(i % 7 != 0).select(i.alias("oid"), "race_id", F.when(i % 4 == 0, "x").otherwise(F.col("bib")).alias("bib"), F.col("name").alias("key"), F.when(i % 3 != 0, F.col("finish_seconds")).alias("finish_seconds"), F.when(i % 5 != 0, F.col("overall_place")).alias("overall_place"), "age_class")
     return op.match_levels(race.withColumn("key", F.col("name")), official)
 
 
 @query("er_collisions", """SELECT g.race_id, g.athlete_id, g.rows, g.differ > 1 OR s.most > 1 AS conflict FROM (SELECT race_id, athlete_id, count(*) AS rows, greatest(count(DISTINCT bib), count(DISTINCT age_class), count(DISTINCT nullif(status, '')), count(DISTINCT finish_seconds), count(DISTINCT overall_place)) AS differ FROM results GROUP BY 1, 2 HAVING count(*) > 1) g
  JOIN (SELECT race_id, athlete_id, max(n) AS most FROM (SELECT race_id, athlete_id, id % 2 AS source, count(*) AS n FROM results GROUP BY 1, 2, 3) GROUP BY 1, 2) s USING (race_id, athlete_id)""")
 def er_collisions(m: Model) -> DataFrame:
-    return op.collisions(m.results.withColumn("source", F.col("id") % 2))
+    return op.collisions(m.placed_results.withColumn("source", F.col("id") % 2))
 
 
 @query("er_repair", """SELECT id, CASE WHEN nth = 1 THEN athlete_id ELSE 1000000 + row_number() OVER (PARTITION BY nth > 1 ORDER BY race_id, athlete_id, id) - 1 END AS new_athlete_id FROM (SELECT *, row_number() OVER (PARTITION BY race_id, athlete_id ORDER BY CASE WHEN id % 3 = 0 THEN id END NULLS LAST, id) AS nth, count(*) OVER (PARTITION BY race_id, athlete_id) AS n FROM results) WHERE n > 1""")

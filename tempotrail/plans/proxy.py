@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tempotrail.operators.windows import ranked
+
 CONTROLS = 8
 #: The control from which late gains count, and the last one.
 MID, LAST = 4, 8
@@ -47,17 +49,26 @@ class Model:
         sex = F.when(c % 50 == 0, "U").when(c % 2 == 0, "M").otherwise("F")
         return self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(c.alias("athlete_id"), F.col("c_name").alias("name"), sex.alias("sex"), "nationality", club.alias("club"))
 
+    @cached_property
+    def _facts(self) -> DataFrame:
+        """An order with the seconds of its passages in order: one aggregate of the line items, which all else starts from."""
+        step = F.struct("l_shipdate", "l_partkey", (F.col("l_quantity").cast("long") * 60).alias("seconds"))
+        steps = F.transform(F.slice(F.array_sort(F.collect_list(step)), 1, CONTROLS), lambda s: s["seconds"])
+        return self._orders.join(self.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(steps.alias("steps")), "id", "left")
+
     @cached_property
     def splits(self) -> DataFrame:
-        order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey")
-        nth = self.table("lineitem").withColumn("sequence_no", F.row_number().over(order)).filter(F.col("sequence_no") <= CONTROLS)
-        nth = nth.withColumn("segment_seconds", F.col("l_quantity").cast("long") * 60)
-        elapsed = F.sum("segment_seconds").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        races = self._orders.select("id", "race_id", "family")
-        out = nth.withColumn("elapsed_seconds", elapsed).join(races, F.col("l_orderkey") == F.col("id"))
+        """result_id, race_id, sequence_no, checkpoint_key, segment_seconds, elapsed_seconds, distance_km."""
+        upto = lambda n: F.aggregate(F.slice("steps", F.lit(1), n), F.lit(0).cast("long"), lambda a, b: a + b)
+        passages = F.transform("steps", lambda s, i: F.struct((i + 1).alias("sequence_no"), s.alias("segment_seconds"), upto(i + 1).alias("elapsed_seconds")))
+        out = self._facts.select("id", "race_id", "family", F.explode(passages).alias("p")).select(F.col("id").alias("result_id"), "race_id", "family", "p.*")
         km = F.when(F.col("family") == "short", 5.625).otherwise(11.25) * F.col("sequence_no")
-        place = F.rank().over(Window.partitionBy("race_id", "sequence_no").orderBy("elapsed_seconds"))
-        return out.select(F.col("id").alias("result_id"), "race_id", "sequence_no", F.concat(F.lit("c"), F.col("sequence_no")).alias("checkpoint_key"), "segment_seconds", "elapsed_seconds", km.alias("distance_km"), place.alias("place_overall"))
+        return out.select("result_id", "race_id", "sequence_no", F.concat(F.lit("c"), F.col("sequence_no")).alias("checkpoint_key"), "segment_seconds", "elapsed_seconds", km.alias("distance_km"))
+
+    @cached_property
+    def placed_splits(self) -> DataFrame:
+        """splits with place_overall at the control."""
+        return ranked(self.splits, ["race_id", "sequence_no"], "elapsed_seconds", "place_overall")
 
     @cached_property
     def checkpoints(self) -> DataFrame:
@@ -66,20 +77,30 @@ class Model:
         return steps.select("race_id", F.concat(F.lit("c"), F.col("sequence_no")).alias("checkpoint_key"), F.concat(F.lit("Control "), F.col("sequence_no")).alias("name"), "sequence_no", km.alias("distance_km"))
 
     @cached_property
-    def results(self) -> DataFrame:
-        """id, race_id, athlete_id, name, sex, age_class, club, nationality, bib, status, finish_seconds, overall_place, and the race's columns."""
-        last = self.splits.groupBy("result_id").agg(F.max("elapsed_seconds").alias("last_elapsed"))
+    def evidenced(self) -> DataFrame:
+        """results with has_split: whether a passage with a time was seen."""
         o, i = F.col("letter"), F.col("id")
+        last = F.aggregate("steps", F.lit(0).cast("long"), lambda a, b: a + b)
+        seen = F.coalesce(F.exists("steps", lambda s: s > 0), F.lit(False))
         status = F.when(o == "F", "FINISHED").when(o == "P", F.when(i % 3 == 0, "DNF").when(i % 3 == 1, "STARTAT").otherwise("")).otherwise(F.when(i % 3 == 0, "DNS").when(i % 3 == 1, "DSQ").otherwise("FINISHED"))
         prefix = F.when(F.col("sex") == "F", F.when(F.col("year") < 1998, "D").otherwise("W")).otherwise(F.when(F.col("year") < 1998, "H").otherwise("M"))
-        out = self._orders.join(self.athletes, "athlete_id").join(last, F.col("id") == F.col("result_id"), "left").withColumn("status", status)
-        out = out.withColumn("finish_seconds", F.when((F.col("status") == "FINISHED") | (i % 11 == 0), F.col("last_elapsed")))
-        place = F.when(F.col("finish_seconds").isNotNull(), F.rank().over(Window.partitionBy("race_id").orderBy(F.col("finish_seconds").asc_nulls_last())))
+        facts = self._facts.withColumns({"last_elapsed": last, "has_split": seen, "status": status}).drop("steps")
+        out = facts.join(self.athletes, "athlete_id")
         return out.select(
             "id", "race_id", "athlete_id", "name", "sex", F.concat(prefix, (20 + 5 * (F.col("athlete_id") % 9)).cast("string")).alias("age_class"), "club", "nationality",
-            (i % 997).cast("string").alias("bib"), "status", "finish_seconds", place.alias("overall_place"), "family", "year", "distance_km", "era",
+            (i % 997).cast("string").alias("bib"), "status", F.when((F.col("status") == "FINISHED") | (i % 11 == 0), F.col("last_elapsed")).alias("finish_seconds"), "family", "year", "distance_km", "era", "has_split",
         )
 
+    @cached_property
+    def results(self) -> DataFrame:
+        """id, race_id, athlete_id, name, sex, age_class, club, nationality, bib, status, finish_seconds, and the race's columns."""
+        return self.evidenced.drop("has_split")
+
+    @cached_property
+    def placed_results(self) -> DataFrame:
+        """results with overall_place, null without a finish."""
+        return ranked(self.results, ["race_id"], "finish_seconds", "overall_place")
+
     @cached_property
     def sources(self) -> DataFrame:
         """Results of two sources by priority, with gaps."""

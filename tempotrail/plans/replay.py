@@ -52,7 +52,7 @@ def rp_anchors_map(m: Model) -> DataFrame:
 
 @r("rp_segments", "SELECT result_id, sequence_no, segment_seconds AS seconds, distance_km / sequence_no AS km, segment_seconds / (distance_km / sequence_no) AS pace FROM splits")
 def rp_segments(m: Model) -> DataFrame:
-    return op.segments(m.splits).select("result_id", "sequence_no", "seconds", "km", "pace")
+    return op.segments(m.placed_splits).select("result_id", "sequence_no", "seconds", "km", "pace")
 
 
 WANT = "SELECT result_id, unnest([15.0::DOUBLE, 30.0::DOUBLE]) AS at_km, unnest([2000.0::DOUBLE, 7000.0::DOUBLE]) AS at_s FROM res"
@@ -94,7 +94,7 @@ INS = """SELECT result_id, kind, no::BIGINT AS sequence_no, v::DOUBLE AS value F
 
 @r("rp_insights", INS, ps=PS)
 def rp_insights(m: Model) -> DataFrame:
-    return op.insights(op.segments(m.splits))
+    return op.insights(op.segments(m.placed_splits))
 
 
 @r("rp_complete", "SELECT DISTINCT result_id FROM pro")

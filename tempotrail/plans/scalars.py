@@ -11,6 +11,7 @@ from tempotrail.functions import maths
 from tempotrail.functions import text as tx
 from tempotrail.plans.base import query
 from tempotrail.plans.proxy import Model
+from tempotrail.sources.pages import control_key
 
 C = F.col
 
@@ -60,18 +61,24 @@ def fn_norm_underscore(m: Model) -> DataFrame:
     return m.table("part").select("p_partkey", tx.normalised(C("p_type"), "_").alias("norm"))
 
 
-@query("fn_name_nat", "SELECT athlete_id, CASE WHEN athlete_id % 4 = 0 THEN name ELSE name || '' END AS name, CASE WHEN athlete_id % 4 = 0 THEN NULL ELSE upper(left(nationality, 3)) END AS nation FROM athletes WHERE length(nationality) > 3")
+@query("fn_name_nat", "SELECT athlete_id, CASE WHEN athlete_id % 4 = 1 THEN name || ' (ab)' ELSE name END AS name, CASE WHEN athlete_id % 4 > 1 THEN upper(left(nationality, 3)) END AS nation FROM athletes")
 def fn_name_nat(m: Model) -> DataFrame:
-    a = m.athletes.filter(F.length("nationality") > 3)
-    text = F.when(C("athlete_id") % 4 == 0, C("name")).otherwise(F.concat(C("name"), F.lit(" ("), F.left("nationality", F.lit(3)), F.lit(")")))
+    """Names without a suffix, with one that is no nation, and with a nation."""
+    a, kind = m.athletes, C("athlete_id") % 4
+    text = F.when(kind == 0, C("name")).when(kind == 1, F.concat(C("name"), F.lit(" (ab)"))).otherwise(F.concat(C("name"), F.lit(" ("), F.lower(F.left("nationality", F.lit(3))), F.lit(")")))
     name, nation = tx.name_and_nation(text)
     return a.select("athlete_id", name.alias("name"), nation.alias("nation"))
 
 
-@query("fn_checkpoint_key", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'steel') THEN 'iron' WHEN contains(lower(p_type), 'o') THEN 'o' END AS checkpoint_key FROM part")
+ALIASES = [("anodized steel", "iron"), ("steel", "steel"), ("standard", "plain"), ("tin", "tin"), ("brushed", "plain")]
+
+
+@query("fn_checkpoint_key", "SELECT p_partkey, CASE " + " ".join(f"WHEN contains(' ' || regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g') || ' ', ' {a} ') THEN '{k}'" for a, k in ALIASES) + " END AS checkpoint_key FROM part")
 def fn_checkpoint_key(m: Model) -> DataFrame:
-    key = F.coalesce(*(F.when(F.lower("p_type").contains(alias), k) for alias, k in (("steel", "iron"), ("o", "o"))))
-    return m.table("part").select("p_partkey", key.alias("checkpoint_key"))
+    return m.table("part").select("p_partkey", control_key(C("p_type"), ALIASES).alias("checkpoint_key"))
+
+
+expect("fn_control", ["Smågan", "MÅL", "Mora förvarning", "Högsta punkten (kontroll)", "Målning", "", "Sälen start"], ["smagan", "mora", "mora_warning", "high_point", None, None, "start"], control_key)
 
 
 @query("fn_merge_query", "SELECT page_id, 'https://example.org/list?event=E' || page_id || '&page=2' AS url FROM pages")

@@ -16,7 +16,7 @@ SUMMARY = """count(*)::BIGINT AS total, count(*) FILTER (category IN ('finished'
 
 
 def classified(m: Model) -> DataFrame:
-    return op.classify(m.results, op.evidence(m.splits))
+    return op.classify(m.evidenced)
 
 
 @query("st_classify", "SELECT id, category, derived, has_split, coalesce(contradictory_finish, false) AS contradictory_finish, contradictory_dns FROM cls")

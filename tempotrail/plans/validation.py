@@ -54,7 +54,9 @@ def va_availability(m: Model) -> DataFrame:
     return classified(m).groupBy("race_id").agg(F.count("*").between(400, 1700).alias("in_range"), (F.count_if(F.col("category") == "finished") > 0).alias("finished"), (F.count_if("has_split") >= 0.5 * F.count("*")).alias("covered"))
 
 
-@q("va_idempotent", "SELECT race_id, true AS same FROM races")
+@q("va_idempotent", """SELECT race_id, coalesce(sum(CASE WHEN a.status IS DISTINCT FROM b.status OR a.finish_seconds IS DISTINCT FROM b.finish_seconds OR a.age_class IS DISTINCT FROM b.age_class THEN 1 ELSE 0 END), 0) = 0 AS same FROM once a FULL JOIN twice b USING (race_id, id) GROUP BY 1""",
+   once="SELECT r.race_id, r.id, coalesce(s.status, r.status) AS status, coalesce(s.finish_seconds, r.finish_seconds) AS finish_seconds, coalesce(s.age_class, r.age_class) AS age_class FROM results r FULL JOIN (SELECT * FROM sources WHERE priority = 0) s ON s.race_id = r.race_id AND s.id = r.id",
+   twice="SELECT r.race_id, r.id, coalesce(s.status, r.status) AS status, coalesce(s.finish_seconds, r.finish_seconds) AS finish_seconds, coalesce(s.age_class, r.age_class) AS age_class FROM once r FULL JOIN (SELECT * FROM sources WHERE priority = 0) s ON s.race_id = r.race_id AND s.id = r.id")
 def va_idempotent(m: Model) -> DataFrame:
     from tempotrail.sources.sinks import upsert
 
@@ -77,7 +79,7 @@ def va_verify(m: Model) -> DataFrame:
 
 @q("va_export_gate", "SELECT race_id, count(*) AS groups FROM (SELECT race_id, athlete_id FROM results WHERE athlete_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1")
 def va_export_gate(m: Model) -> DataFrame:
-    alone = m.results.filter("athlete_id % 2 = 0").join(collisions(m.results.withColumn("source", F.lit(0))).select("race_id", "athlete_id"), ["race_id", "athlete_id"], "left_anti")
+    alone = m.results.filter("athlete_id % 2 = 0").join(collisions(m.placed_results.withColumn("source", F.lit(0))).select("race_id", "athlete_id"), ["race_id", "athlete_id"], "left_anti")
     op.refuse(collisions(alone.withColumn("source", F.lit(0))).filter("conflict"), "identities collide")
     return alone.groupBy("race_id").agg(F.count("*").alias("groups"))
 

@@ -20,7 +20,7 @@ GAPPED = """SELECT result_id, race_id, sequence_no, distance_km, CASE WHEN (resu
 def gapped(m: Model) -> DataFrame:
     k = F.col("result_id") + F.col("sequence_no")
     elapsed = F.when(k % 9 == 0, None).when(k % 17 == 0, F.col("elapsed_seconds") - 4000).otherwise(F.col("elapsed_seconds"))
-    return m.splits.filter(k % 11 != 0).withColumn("elapsed_seconds", elapsed)
+    return m.placed_splits.filter(k % 11 != 0).withColumn("elapsed_seconds", elapsed)
 
 
 W = "OVER (PARTITION BY result_id ORDER BY sequence_no)"
@@ -47,7 +47,7 @@ def wn_segment_strict(m: Model) -> DataFrame:
  FROM (SELECT *, CASE WHEN result_id % 10 = 0 THEN 1 ELSE 0 END AS e FROM splits) s JOIN c2 c ON c.id = s.result_id""")
 def wn_class_rank(m: Model) -> DataFrame:
     classes = m.results.select(F.col("id").alias("result_id"), "age_class")
-    rows = m.splits.join(classes, "result_id").withColumns({"is_estimated": (F.col("result_id") % 10 == 0).cast("int"), "place_class": F.when(F.col("result_id") % 6 == 0, F.col("place_overall"))})
+    rows = m.placed_splits.join(classes, "result_id").withColumns({"is_estimated": (F.col("result_id") % 10 == 0).cast("int"), "place_class": F.when(F.col("result_id") % 6 == 0, F.col("place_overall"))})
     return op.class_places(rows).select("result_id", "sequence_no", "place_class")
 
 
@@ -67,12 +67,12 @@ CHANGES = f"SELECT race_id, result_id, arg_min(place_overall, sequence_no) - arg
 
 @q("wn_overtakes", f"SELECT race_id, result_id, total, best, nth FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY total DESC, best DESC, result_id) AS nth FROM ({CHANGES}) WHERE total > 0 AND best > 0) WHERE nth <= 7")
 def wn_overtakes(m: Model) -> DataFrame:
-    return op.overtakes(m.splits).select("race_id", "result_id", "total", "best", "nth")
+    return op.overtakes(m.placed_splits).select("race_id", "result_id", "total", "best", "nth")
 
 
 @q("wn_closing_gain", "SELECT result_id, gain FROM gain")
 def wn_closing_gain(m: Model) -> DataFrame:
-    return op.closing_gain(m.splits, MID)
+    return op.closing_gain(m.placed_splits, MID)
 
 
 CHARGE = f"SELECT result_id, max(CASE WHEN sequence_no = {MID} THEN place_overall END) - max(CASE WHEN sequence_no = {LAST} THEN place_overall END) AS won FROM splits GROUP BY 1"
@@ -80,7 +80,7 @@ CHARGE = f"SELECT result_id, max(CASE WHEN sequence_no = {MID} THEN place_overal
 
 @q("wn_chargers", f"SELECT sex, id, won, nth FROM (SELECT sex, id, won, row_number() OVER (PARTITION BY sex ORDER BY won DESC, id) AS nth FROM c2 JOIN ({CHARGE}) ON result_id = id WHERE won > 0) WHERE nth <= 5")
 def wn_chargers(m: Model) -> DataFrame:
-    won = op.between_controls(m.splits, MID, LAST).select(F.col("result_id").alias("id"), "won")
+    won = op.between_controls(m.placed_splits, MID, LAST).select(F.col("result_id").alias("id"), "won")
     rows = people(m).select("id", "sex").join(won, "id").filter("won > 0")
     return op.top_per_group(rows, 5, ["sex"], F.desc("won"), F.col("id")).select("sex", "id", "won", "nth")
 
@@ -116,7 +116,7 @@ def wn_history(m: Model) -> DataFrame:
 @q("wn_segment_lab", """SELECT race_id, result_id, seconds, won, nth FROM (SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY seconds, result_id) AS nth FROM (SELECT race_id, result_id, max(CASE WHEN sequence_no = 6 THEN elapsed_seconds END) - max(CASE WHEN sequence_no = 2 THEN elapsed_seconds END) AS seconds,
  max(CASE WHEN sequence_no = 2 THEN place_overall END) - max(CASE WHEN sequence_no = 6 THEN place_overall END) AS won FROM splits GROUP BY 1, 2) WHERE seconds > 0) WHERE nth <= 12""")
 def wn_segment_lab(m: Model) -> DataFrame:
-    rows = op.between_controls(m.splits, 2, 6)
+    rows = op.between_controls(m.placed_splits, 2, 6)
     return op.top_per_group(rows, 12, ["race_id"], F.col("seconds"), F.col("result_id")).select("race_id", "result_id", "seconds", "won", "nth")
 
 
@@ -133,7 +133,7 @@ def wn_club_rank(m: Model) -> DataFrame:
 
 @q("wn_rank_change", f"SELECT result_id, sequence_no, lag(place_overall) {W} - place_overall AS won FROM splits")
 def wn_rank_change(m: Model) -> DataFrame:
-    return m.splits.select("result_id", "sequence_no", (F.lag("place_overall").over(op.along()) - F.col("place_overall")).alias("won"))
+    return m.placed_splits.select("result_id", "sequence_no", (F.lag("place_overall").over(op.along()) - F.col("place_overall")).alias("won"))
 
 
 @q("wn_pace_color", "SELECT result_id, sequence_no, CASE WHEN n > 1 THEN floor((l + greatest(0, e - 1) / 2.0::DOUBLE) / (n - 1) * 4 + 0.5)::BIGINT ELSE 2 END AS bin FROM (SELECT *, rank() OVER (PARTITION BY race_id, sequence_no ORDER BY pace) - 1 AS l, count(*) OVER (PARTITION BY race_id, sequence_no, pace) AS e, count(*) OVER (PARTITION BY race_id, sequence_no) AS n FROM seg)")
@@ -161,7 +161,7 @@ def wn_seq_issues(m: Model) -> DataFrame:
 def so_results(m: Model) -> DataFrame:
     big = lambda c, v: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(v))
     order = [F.col("race_id"), big("overall_place", 999_999), big("finish_seconds", 999_999_999), F.col("id")]
-    return m.results.filter("race_id = 19970").select("id", F.row_number().over(Window.partitionBy("race_id").orderBy(*order)).alias("nth"))
+    return m.placed_results.filter("race_id = 19970").select("id", F.row_number().over(Window.partitionBy("race_id").orderBy(*order)).alias("nth"))
 
 
 @q("so_class", "SELECT age_class, row_number() OVER (ORDER BY CASE WHEN left(nclass, 1) = 'W' THEN 0 ELSE 1 END, substr(nclass, 2)::INT, age_class) AS nth FROM (SELECT DISTINCT age_class, nclass FROM c2)")

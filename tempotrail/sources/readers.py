@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ ALIASES = {
 LEAST_PART = 6
 DELIMITERS = ";,\t|"
 SNIFF_CHARS = 8192
+PAGE_BLOCK = 1024
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -43,9 +47,11 @@ def delimiter(sample: str) -> str:
     return best
 
 
-def flexible_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    head = "\n".join(r[0] for r in spark.read.option("encoding", encoding).text(path).limit(20).collect())
-    return spark.read.option("header", True).option("sep", delimiter(head)).option("encoding", encoding).csv(path)
+def flexible_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str | None = None) -> DataFrame:
+    """A CSV file with a header, whatever separates its columns (found by its first lines)."""
+    lines = [] if sep else spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="").limit(20).collect()
+    head = "\n".join(r[0].removeprefix("\ufeff") for r in lines if r[0])
+    return spark.read.option("header", True).option("sep", sep or delimiter(head)).option("encoding", encoding).csv(path)
 
 
 def header_map(columns: Sequence[str], checkpoints: Sequence[str] = (), explicit: dict[str, str] | None = None) -> dict[str, str]:
@@ -68,14 +74,19 @@ def header_map(columns: Sequence[str], checkpoints: Sequence[str] = (), explicit
 
 
 def mapped(rows: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Results with a source id (the bib, else a hash of name and row), and passages in long form."""
+    """Results with a source id (the bib, else a hash of the row's content and its number among equal rows), and passages in long form."""
     first = {}
     for column, field in mapping.items():
         first.setdefault(field, column)
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
     fields = {f: clean(F.col(c)) for f, c in first.items() if not f.startswith("split:")}
-    short = F.left(F.sha1(F.concat_ws("|", fields.get("name", F.lit("")), F.col("_row").cast("string"))), F.lit(16))
-    source_id = F.coalesce(fields.get("bib", F.lit(None).cast("string")), short)
+    bib = fields.get("bib", F.lit(None).cast("string"))
+    digest = F.sha1(F.to_json(F.struct(*rows.columns)))
+    # the same file has the same ids however it is read: equal rows differ by their number alone
+    without = rows.filter(bib.isNull()).withColumn("_digest", digest)
+    nth = F.row_number().over(Window.partitionBy("_digest").orderBy("_digest"))
+    without = without.withColumn("_id", F.left(F.sha1(F.concat_ws("|", "_digest", nth.cast("string"))), F.lit(16))).drop("_digest")
+    numbered = rows.filter(bib.isNotNull()).withColumn("_id", bib).unionByName(without)
+    source_id = F.col("_id")
     results = numbered.select(source_id.alias("source_id"), *(v.alias(k) for k, v in fields.items()))
     splits = {f.removeprefix("split:"): c for f, c in first.items() if f.startswith("split:")}
     if not splits:
@@ -88,7 +99,7 @@ def mapped(rows: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, DataFra
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
     """The distinct link targets of pages."""
     found = F.regexp_extract_all(html, F.lit(r'href="([^"]+)"'), F.lit(1))
-    return pages.select(F.explode(found).alias("href")).distinct()
+    return pages.select(F.explode(F.transform(found, lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))).alias("href")).distinct()
 
 
 def participants(pages: DataFrame) -> DataFrame:
@@ -143,13 +154,19 @@ def events(pages: DataFrame) -> DataFrame:
 def paginate(entries: DataFrame, stop_after: int = 2) -> DataFrame:
     """entries (page, pos, id): each id where it comes first, up to the run of pages that bring nothing new.
 
-    The window over pages has a row a page.
+    Runs are counted inside blocks of pages; what a block ends with is carried over blocks, a row each.
     """
-    first = entries.withColumn("_nth", F.row_number().over(Window.partitionBy("id").orderBy("page", "pos"))).filter("_nth = 1").drop("_nth")
-    pages = entries.select("page").distinct().join(first.groupBy("page").agg(F.count("*").alias("fresh")), "page", "left").fillna(0, ["fresh"])
-    w = Window.partitionBy(F.lit(0)).orderBy("page")
-    empty = F.sum((F.col("fresh") == 0).cast("int")).over(w.rowsBetween(-(stop_after - 1), 0))
-    stop = pages.withColumn("_e", empty).filter(F.col("_e") >= stop_after).agg(F.min("page").alias("_stop"))
+    first = entries.groupBy("id").agg(F.min(F.struct("page", "pos")).alias("_at")).select("id", "_at.page", "_at.pos")
+    fresh = first.groupBy("page").agg(F.count("*").alias("fresh"))
+    pages = entries.select("page").distinct().join(fresh, "page", "left").withColumn("_block", F.floor(F.col("page") / PAGE_BLOCK))
+    upto = Window.partitionBy("_block").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    pages = pages.withColumn("_pos", F.count("*").over(upto)).withColumn("_full", F.max(F.when(F.col("fresh") > 0, F.col("_pos"))).over(upto))
+    blocks = pages.groupBy("_block").agg((F.max("_pos") - F.coalesce(F.max("_full"), F.lit(0))).alias("_tail"), F.max("_full").isNull().alias("_empty"))
+    over = Window.partitionBy(F.lit(0)).orderBy("_block")  # a row a block
+    blocks = blocks.withColumn("_run", F.sum((~F.col("_empty")).cast("int")).over(over))
+    blocks = blocks.withColumn("_upto", F.sum("_tail").over(Window.partitionBy("_run").orderBy("_block"))).withColumn("_carry", F.coalesce(F.lag("_upto").over(over), F.lit(0)))
+    run = F.col("_pos") - F.coalesce("_full", F.lit(0)) + F.when(F.col("_full").isNull(), F.col("_carry")).otherwise(0)
+    stop = pages.join(blocks.select("_block", "_carry"), "_block").filter(run >= stop_after).agg(F.min("page").alias("_stop"))
     return first.join(F.broadcast(stop), how="cross").filter("_stop is null or page <= _stop").drop("_stop")  # a single row
 
 
@@ -159,13 +176,6 @@ def decoded(records: DataFrame, keys: dict[str, str], column: str = "record") ->
     return records.withColumn(column, F.transform_keys(column, lambda k, v: F.coalesce(F.element_at(names, k), k)))
 
 
-def score_columns(rows: DataFrame, wanted: Sequence[str], first: int = 100) -> float:
-    """How many of the wanted fields a collection's first rows have on average."""
-    have = [c for c in rows.columns if c.lower() in wanted]
-    got = rows.limit(first).agg(*(F.avg(F.col(c).isNotNull().cast("int")).alias(c) for c in have)).first() if have else []
-    return float(sum(x or 0.0 for x in got))
-
-
 def nested(rows: DataFrame) -> DataFrame:
     """One record a runner from rows (year, external_id, name, bib, control, elapsed_seconds)."""
     key = F.concat_ws("|", F.col("year").cast("string"), F.coalesce("external_id", F.concat_ws("|", normalised(F.col("name")), F.col("bib"))))
@@ -210,20 +220,22 @@ def longest_line(kml: Column) -> Column:
 
 def tracks(spark: SparkSession, path: str) -> DataFrame:
     """Points (path, idx, lat, lon, elev) of GPX files, at least two a file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), track_points(F.col("value")).alias("points"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), track_points(F.col("value")).alias("points"))
     return files.filter(F.size("points") >= 2).select("path", F.posexplode("points").alias("idx", "p")).select("path", "idx", "p.*")
 
 
 def archived_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """Points of the longest line in KMZ archives."""
-    @F.udf("string")
-    def unzipped(content: bytes) -> str | None:
-        import io
-        import zipfile
-
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = [n for n in z.namelist() if n.lower().endswith(".kml")]
-            return z.read(names[0]).decode("utf-8", "replace") if names else None
-
-    files = spark.read.format("binaryFile").load(path).select("path", longest_line(unzipped("content")).alias("points"))
+    """Points of the longest line in KMZ archives; an archive without a KML file has none."""
+
+    def unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    name = next((n for n in z.namelist() if n.lower().endswith(".kml")), None)
+                    texts.append(z.read(name).decode("utf-8", "replace") if name else "")
+            yield pd.DataFrame({"path": batch["path"], "kml": texts})
+
+    kml = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unzipped, "path string, kml string")
+    files = kml.select("path", longest_line(F.col("kml")).alias("points"))
     return files.filter(F.size("points") >= 2).select("path", F.posexplode("points").alias("idx", "p")).select("path", "idx", "p.*")
