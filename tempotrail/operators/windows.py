@@ -47,23 +47,28 @@ def class_places(splits: DataFrame) -> DataFrame:
     return rows.withColumn("place_class", F.coalesce("place_class", "_place")).drop("_real", "_place")
 
 
-def ranked(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """rows with the place of their value in their group: one more than there are smaller ones; null without a value.
+def _places(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, value, _place (one more than there are smaller values) and _size of the group.
 
     Values are counted first, so that a task sorts the different values of a group and never its rows.
     """
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select(*by, value, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name))
+    w = Window.partitionBy(*by)
+    before = F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(*by, value, (F.coalesce(before, F.lit(0)) + 1).alias("_place"), F.sum("_n").over(w).alias("_size"))
+
+
+def ranked(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """rows with the place of their value in their group, null without a value."""
+    places = _places(rows, by, value).withColumnRenamed("_place", name).drop("_size")
     return rows.join(places, [*by, value], "left").select(*rows.columns, name)
 
 
 def positions(rows: DataFrame, by: Sequence[str], value: str, tie: str, name: str) -> DataFrame:
-    """rows with their position in their group by value, ties by another column, and _size, the group's."""
-    placed = ranked(rows, by, value, "_place")
+    """rows that have a value with their position in their group by it, ties by another column, and _size, the group's."""
     own = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
-    return placed.withColumn(name, F.col("_place") + own - 1).drop("_place").join(sizes, list(by))
+    placed = rows.join(_places(rows, by, value), [*by, value])
+    return placed.withColumn(name, F.col("_place") + own - 1).select(*rows.columns, name, "_size")
 
 
 def numbered(rows: DataFrame, order: Sequence[str], coarse: dict[str, Column], name: str) -> DataFrame:

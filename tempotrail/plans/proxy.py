@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempotrail.operators.windows import ranked
@@ -22,9 +22,12 @@ class Model:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def _orders(self) -> DataFrame:
@@ -50,20 +53,20 @@ class Model:
         return self.table("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(c.alias("athlete_id"), F.col("c_name").alias("name"), sex.alias("sex"), "nationality", club.alias("club"))
 
     @cached_property
-    def _facts(self) -> DataFrame:
-        """An order with the seconds of its passages in order: one aggregate of the line items, which all else starts from."""
-        step = F.struct("l_shipdate", "l_partkey", (F.col("l_quantity").cast("long") * 60).alias("seconds"))
-        steps = F.transform(F.slice(F.array_sort(F.collect_list(step)), 1, CONTROLS), lambda s: s["seconds"])
-        return self._orders.join(self.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(steps.alias("steps")), "id", "left")
+    def _passages(self) -> DataFrame:
+        """The first line items of an order, numbered by time."""
+        order = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey")
+        rows = self.table("lineitem").withColumn("sequence_no", F.row_number().over(order)).filter(F.col("sequence_no") <= CONTROLS)
+        return rows.withColumn("segment_seconds", F.col("l_quantity").cast("long") * 60)
 
     @cached_property
     def splits(self) -> DataFrame:
         """result_id, race_id, sequence_no, checkpoint_key, segment_seconds, elapsed_seconds, distance_km."""
-        upto = lambda n: F.aggregate(F.slice("steps", F.lit(1), n), F.lit(0).cast("long"), lambda a, b: a + b)
-        passages = F.transform("steps", lambda s, i: F.struct((i + 1).alias("sequence_no"), s.alias("segment_seconds"), upto(i + 1).alias("elapsed_seconds")))
-        out = self._facts.select("id", "race_id", "family", F.explode(passages).alias("p")).select(F.col("id").alias("result_id"), "race_id", "family", "p.*")
+        along = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey").rowsBetween(Window.unboundedPreceding, 0)
+        out = self._passages.withColumn("elapsed_seconds", F.sum("segment_seconds").over(along))
+        out = out.join(self._orders.select("id", "race_id", "family"), F.col("l_orderkey") == F.col("id"))
         km = F.when(F.col("family") == "short", 5.625).otherwise(11.25) * F.col("sequence_no")
-        return out.select("result_id", "race_id", "sequence_no", F.concat(F.lit("c"), F.col("sequence_no")).alias("checkpoint_key"), "segment_seconds", "elapsed_seconds", km.alias("distance_km"))
+        return out.select(F.col("id").alias("result_id"), "race_id", "sequence_no", F.concat(F.lit("c"), F.col("sequence_no")).alias("checkpoint_key"), "segment_seconds", "elapsed_seconds", km.alias("distance_km"))
 
     @cached_property
     def placed_splits(self) -> DataFrame:
@@ -80,12 +83,11 @@ class Model:
     def evidenced(self) -> DataFrame:
         """results with has_split: whether a passage with a time was seen."""
         o, i = F.col("letter"), F.col("id")
-        last = F.aggregate("steps", F.lit(0).cast("long"), lambda a, b: a + b)
-        seen = F.coalesce(F.exists("steps", lambda s: s > 0), F.lit(False))
+        last = self._passages.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum("segment_seconds").alias("last_elapsed"), (F.max("segment_seconds") > 0).alias("seen"))
         status = F.when(o == "F", "FINISHED").when(o == "P", F.when(i % 3 == 0, "DNF").when(i % 3 == 1, "STARTAT").otherwise("")).otherwise(F.when(i % 3 == 0, "DNS").when(i % 3 == 1, "DSQ").otherwise("FINISHED"))
         prefix = F.when(F.col("sex") == "F", F.when(F.col("year") < 1998, "D").otherwise("W")).otherwise(F.when(F.col("year") < 1998, "H").otherwise("M"))
-        facts = self._facts.withColumns({"last_elapsed": last, "has_split": seen, "status": status}).drop("steps")
-        out = facts.join(self.athletes, "athlete_id")
+        out = self._orders.join(last, "id", "left").join(self.athletes, "athlete_id")
+        out = out.withColumns({"status": status, "has_split": F.coalesce("seen", F.lit(False))})
         return out.select(
             "id", "race_id", "athlete_id", "name", "sex", F.concat(prefix, (20 + 5 * (F.col("athlete_id") % 9)).cast("string")).alias("age_class"), "club", "nationality",
             (i % 997).cast("string").alias("bib"), "status", F.when((F.col("status") == "FINISHED") | (i % 11 == 0), F.col("last_elapsed")).alias("finish_seconds"), "family", "year", "distance_km", "era", "has_split",
