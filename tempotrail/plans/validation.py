@@ -79,8 +79,9 @@ def va_verify(m: Model) -> DataFrame:
 
 @q("va_export_gate", "SELECT race_id, count(*) AS groups FROM (SELECT race_id, athlete_id FROM results WHERE athlete_id % 2 = 0 GROUP BY 1, 2 HAVING count(*) = 1) GROUP BY 1")
 def va_export_gate(m: Model) -> DataFrame:
-    alone = m.results.filter("athlete_id % 2 = 0").join(collisions(m.placed_results.withColumn("source", F.lit(0))).select("race_id", "athlete_id"), ["race_id", "athlete_id"], "left_anti")
-    op.refuse(collisions(alone.withColumn("source", F.lit(0))).filter("conflict"), "identities collide")
+    rows = m.placed_results.withColumn("source", F.lit(0))
+    alone = rows.filter("athlete_id % 2 = 0").join(collisions(rows).select("race_id", "athlete_id"), ["race_id", "athlete_id"], "left_anti")
+    op.refuse(collisions(alone).filter("conflict"), "identities collide")
     return alone.groupBy("race_id").agg(F.count("*").alias("groups"))
 
 
