@@ -13,28 +13,37 @@ most one less than it has fingerprints, so a dense cluster never makes all its p
 
 Links become groups by repeated large-star and small-star steps, each stored in the shared folder.
 
-With more bits allowed, links can be held against the texts' Jaccard similarity.  No pair that is similar lies
-across two groups, so each group is searched by itself, and only pairs that hold join its members.  A pair is
-passed over only where its two members are joined already, where it differs in too many bits, or where it can't
-be similar: by the sizes of the sets, or because the rarest shingles of the one, of which similar texts share at
-least one, aren't among those of the other.  A large group is dealt in chunks, each pair of chunks a task's unit.
-Different texts of one fingerprint are candidates like any other: with similarity, a member of a group is a
-fingerprint with a hash of the text.
-
-Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other; a
-text of fewer words than a shingle is one shingle; equal texts share a fingerprint and a group; a null id never is a
-component's id unless all its ids are null; an empty table gives an empty result; other columns are ignored.
+Similar texts (similar_documents) are those whose sets of shingles have a Jaccard similarity of at least so
+much.  So few bits don't find them: at 0.8, 64 bits differ in 4 to 16.  A text there has a sketch of three
+fingerprints of its set, and the tries are more: each has other bits on top, as many as keep buckets small, and
+there are so many tries that a pair at the least similarity, and with less luck than most, agrees in the top bits
+of one but for a stated share (MISSED).  The walk has a budget for the bits of its fingerprint, and pairs that pass are held against the
+budget of the whole sketch, which unrelated texts never meet.  A bucket that is large all the same is dealt
+again by further bits, then in chunks; the rows a sketch makes follow the logarithm of the bucket, never its
+size.  Candidates' groups are then searched by the sets themselves, so only pairs that hold join, and whatever
+holds inside a group is found.  A group's pair is passed over only where its two members are joined already, or
+where it can't be similar: by the sizes of the sets, or because the rarest shingles of the one, of which similar
+texts share at least one, aren't among those of the other.  A large group is searched in chunks, dealt in
+three ways, which joins what is dense; then the texts still apart are brought together by the rare shingles
+that they share.
+
+Defined cases: a null or empty text, or one of white space, has fingerprint zero, linked like any other (as a set
+it is the hash of nothing); a text of fewer words than a shingle is one shingle; equal texts share a fingerprint
+and a group; a null id never is a component's id unless all its ids are null; of rows with the least id, one is
+the first; very long texts are read whole; an empty table gives an empty result; other columns are ignored, or
+kept where asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempotrail.llm.common import bounded_batches, partitions, small, stored, tidied
@@ -50,29 +59,56 @@ SLAB = 200_000
 LEAVES = 64
 #: Fingerprints that are broadcast at most; beyond it, shuffled joins.
 BROADCAST_ENDS = 300_000
+#: Fingerprints of a sketch, bits of one and of all that may differ between candidates, and the mean size of buckets.
+SKETCH_WORDS, WORD_BITS, SKETCH_BITS, MEAN_SKETCHES = 3, 20, 46, 1024
+#: The share of pairs that the tries may leave apart, of pairs at the least similarity whose sketches differ by
+#: UNLIKE standard deviations more than the mean.
+MISSED, UNLIKE, LEAST_TRIES = 0.01, 1.65, 24
 #: Texts, and shingles of them, from which a group whose texts are compared is cut into chunks.
-PAIRED, PAIRED_SHINGLES = 4096, 1_500_000
+PAIRED, PAIRED_SHINGLES = 1024, 1_500_000
+#: Ways in which a large group is dealt in chunks.
+DEALT = 3
 #: Texts that are held against one at first; then ever more.
 FIRST_TEXTS = 16
 _TEXT = "_text"
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of every shingle, repeats included; one for a text of fewer words."""
     words = (text or "").encode().lower().split()
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1 if n else np.zeros(1, np.int64)
     starts = np.concatenate(([0], ends[:-1] + 1))
     m = max(1, n - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:m].tolist(), ends[n - m :].tolist(), strict=True)), np.uint64, m)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:m].tolist(), ends[-m:].tolist(), strict=True)), np.uint64, m)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, m, 8192):
+    for at in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return _majority(_shingles(text, shingle)) if (text or "").encode().split() else 0
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(_shingles(text, shingle))
+
+
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Independent fingerprints of a set of hashes."""
+    out = [_majority(hashes)]
+    for i in range(1, SKETCH_WORDS):
+        mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)
+        out.append(_majority((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text") -> DataFrame:
@@ -136,8 +172,8 @@ class Groups:
         return used
 
 
-def trie_links(keys: np.ndarray, roots: np.ndarray, depth: int, k: int) -> list[tuple[int, int]]:
-    """Spanning links between positions of keys that differ in at most k bits.
+def trie_links(keys: np.ndarray, roots: np.ndarray, depth: int, k: int, further: Sequence[np.ndarray] = (), most: int = 64) -> list[tuple[int, int]]:
+    """Spanning links between positions of keys that differ in at most k bits, and with the further words in at most so many.
 
     keys: sorted within each root; roots: the first position of each root, and the end.  All keys of a root
     agree on the bits above depth (counted from the lowest).
@@ -160,7 +196,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, depth: int, k: int) -> list[
             continue
         few = ((a1 - a0) * (b1 - b0) <= LEAVES) | (bit < 0)
         if few.any():
-            links += _leaves(keys, groups, *(x[few] for x in (a0, a1, b0, b1)), k)
+            links += _leaves(keys, groups, *(x[few] for x in (a0, a1, b0, b1)), k, further, most)
             a0, a1, b0, b1, cost = (x[~few] for x in (a0, a1, b0, b1, cost))
         if not len(a0):
             continue
@@ -178,7 +214,7 @@ def trie_links(keys: np.ndarray, roots: np.ndarray, depth: int, k: int) -> list[
     return links
 
 
-def _leaves(keys: np.ndarray, groups: Groups, a0, a1, b0, b1, k: int) -> list[tuple[int, int]]:
+def _leaves(keys: np.ndarray, groups: Groups, a0, a1, b0, b1, k: int, further: Sequence[np.ndarray], most: int) -> list[tuple[int, int]]:
     links = []
     for at in range(0, len(a0), max(1, SLAB // 8)):
         s = slice(at, at + max(1, SLAB // 8))
@@ -189,6 +225,10 @@ def _leaves(keys: np.ndarray, groups: Groups, a0, a1, b0, b1, k: int) -> list[tu
         i, j = a0[s][pair] + nth // nb[pair], b0[s][pair] + nth % nb[pair]
         cost = np.bitwise_count(keys[i] ^ keys[j])
         near = np.flatnonzero((i < j) & (cost <= k))
+        i, j, cost = i[near], j[near], cost[near].astype(np.int64)
+        for word in further:
+            cost += np.bitwise_count(word[i] ^ word[j])
+        near = np.flatnonzero(cost <= most)
         near = near[np.argsort(cost[near], kind="stable")]
         links += groups.join(i[near], j[near])
     return links
@@ -240,8 +280,15 @@ def near_links(fps: DataFrame, k: int = 4) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the group's smallest node) of every node that has a link (a, b)."""
+
+    def state(edges: DataFrame) -> tuple:
+        """What a table of edges holds: its size and sums of two hashes."""
+        hashes = (F.sum(F.xxhash64(F.lit(seed), "v", "u").cast("decimal(38,0)")) for seed in (1, 2))
+        return tuple(edges.agg(F.count("*"), *hashes).first())
+
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "components")
-    while True:
+    before = state(edges)
+    while before[0]:
         # large-star: every larger neighbour of a node moves to the node's smallest neighbour
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -250,17 +297,109 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "components")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        small = stored(moved.unionByName(least.select("v", F.col("m").alias("u"))).filter("v <> u").distinct(), "components")
-        changed = edges.join(small, ["v", "u"], "left_anti").isEmpty() and small.join(edges, ["v", "u"], "left_anti").isEmpty()
-        edges = small
-        if changed:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+        edges = stored(moved.unionByName(least.select("v", F.col("m").alias("u"))).filter("v <> u").distinct(), "components")
+        before, after = state(edges), before
+        if before == after:
+            break
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+
+
+def agreement(least: float) -> float:
+    """The share of bits in which the sketches of two texts of this similarity agree, near the lower end of its spread."""
+    differ = math.acos(2 * least / (1 + least)) / math.pi
+    return 1 - differ - UNLIKE * math.sqrt(differ * (1 - differ) / (64 * SKETCH_WORDS))
+
+
+def tables(n: int, agree: float, mean: int, seed: int) -> tuple[int, list[tuple[int, np.ndarray]]]:
+    """How many bits are on top of the tries, and each trie's fingerprint and order of bits.
+
+    n: sketches; agree: the share of bits in which a pair agrees that is to be found.
+    """
+    top = min(40, max(6, math.ceil(math.log2(max(1, n / mean)))))
+    count = max(LEAST_TRIES, math.ceil(math.log(MISSED) / math.log1p(-(agree**top))))
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < count:
+        orders = [rng.permutation(64) for _ in range(SKETCH_WORDS)]
+        out += [(w, np.roll(orders[w], -cut * top)) for cut in range(64 // top) for w in range(SKETCH_WORDS)]
+    return top, out[:count]
+
+
+def _ordered(fp: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The bits at these places, the first on top."""
+    out = np.zeros_like(fp)
+    for place in order:
+        out = (out << np.uint64(1)) | ((fp >> np.uint64(place)) & np.uint64(1))
+    return out
+
+
+def sketch_links(sketches: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of first fingerprints that join the distinct sketches (f0, f1, ..) of similar texts into groups; stored."""
+    spark, n = sketches.sparkSession, sketches.count()
+    names = [f"f{i}" for i in range(SKETCH_WORDS)]
+    agree = agreement(least)
+    top, first = tables(n, agree, MEAN_SKETCHES, 1)
+    words = lambda df: [df[c].to_numpy(np.int64).view(np.uint64) for c in names]
+    schema = "bucket long, trie int, " + ", ".join(f"{c} long" for c in names)
+
+    def bucketed(tries: list, top: int, start: int):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                fps = words(batch)
+                # a bucket that is dealt again keeps its parts apart
+                before = batch["bucket"].to_numpy(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if "bucket" in batch else np.uint64(0)
+                for t, (w, order) in enumerate(tries, start):
+                    bucket = (_ordered(fps[w], order[:top]) << np.uint64(20) | np.uint64(t)) ^ before
+                    yield pd.DataFrame({"bucket": bucket.view(np.int64), "trie": np.int32(t), **{c: f.view(np.int64) for c, f in zip(names, fps, strict=True)}})
+
+        return of
+
+    def hot_of(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("bucket").count().filter(F.col("count") > CHUNK), "simhash-hot")
+
+    def part_in(hot: DataFrame) -> DataFrame:
+        return F.broadcast(hot) if small(hot, BROADCAST_ENDS) else hot
+
+    bounded_batches(spark)
+    rows = sketches.select(*names).mapInPandas(bucketed(first, top, 0), schema)
+    units, tries = rows.withColumn("unit", F.lit(0)), first
+    hot = hot_of(rows)
+    if not hot.isEmpty():
+        largest = hot.agg(F.max("count")).first()[0]
+        finer_top, finer = tables(largest, agree, MEAN_SKETCHES, 2)
+        tries = first + finer
+        again = rows.join(part_in(hot), "bucket", "left_semi").select("bucket", *names).mapInPandas(bucketed(finer, finer_top, len(first)), schema)
+        chunks = F.ceil(F.coalesce("count", F.lit(1)) / CHUNK).cast("int")
+        again = again.join(part_in(hot_of(again)), "bucket", "left").withColumn("unit", F.pmod(F.xxhash64("bucket", *names), chunks).cast("int"))
+        units = units.join(part_in(hot), "bucket", "left_anti").unionByName(again.drop("count"))
+    tops = [top] * len(first) + [finer_top if len(tries) > len(first) else top] * (len(tries) - len(first))
+
+    def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if not held:
+            return
+        got = pd.concat(held)
+        for t, own in got.groupby("trie"):
+            w, order = tries[t]
+            fps, bucket, unit = words(own), own["bucket"].to_numpy(), own["unit"].to_numpy()
+            turned = _ordered(fps[w], order)
+            by = np.lexsort((turned, unit, bucket))
+            fps, bucket, unit, turned = [f[by] for f in fps], bucket[by], unit[by], turned[by]
+            new = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(unit) != 0)) + 1
+            further = [f for i, f in enumerate(fps) if i != w]
+            links = trie_links(turned, np.concatenate(([0], new, [len(turned)])), 64 - tops[t], WORD_BITS, further, SKETCH_BITS)
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            ends = fps[0].view(np.int64)
+            yield pd.DataFrame({"a": np.minimum(ends[a], ends[b]), "b": np.maximum(ends[a], ends[b])})
+
+    tasks = max(partitions(spark), -(-n * len(first) // TASK_ROWS))
+    return stored(units.repartition(tasks, "bucket", "unit").mapInPandas(walked, "a long, b long").distinct(), "simhash-links")
 
 
-def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, least: float) -> list[tuple[int, int]]:
-    """Spanning links between positions that differ in at most k bits and share at least so much of their sets.
+def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, least: float, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning links between positions that share at least so much of their sets.
 
-    cut: only pairs of a position before it and one from it on; 0 for all pairs.
+    fp: a fingerprint, by which nearer pairs come first; cut: only pairs of a position before it and one from it
+    on, 0 for all pairs; joined: positions with equal values are joined already.
     """
     n = len(fp)
     size = np.fromiter(map(len, sets), np.int64, n)
@@ -272,12 +411,15 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, lea
     token = rank[token]
     token = token[np.lexsort((token, owner))]
     # of the rarest shingles, similar texts share one: at most the others can be missing
-    heads = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    heads = prefix(size, least)
     head = np.arange(len(token)) - np.repeat(ends[:-1], size) < np.repeat(heads, size)
     by_token = np.argsort(token[head], kind="stable")
     holders, first = owner[head][by_token], np.searchsorted(token[head][by_token], np.arange(len(often) + 1))
     groups, links, mark, held = Groups(n), [], np.zeros(len(often), bool), np.zeros(n, bool)
     label = groups.label
+    if joined is not None:
+        _, at, code = np.unique(joined, return_index=True, return_inverse=True)
+        label[:] = at[code]
 
     def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
@@ -285,9 +427,7 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, lea
     for i in range(cut or n):
         js = np.arange(cut or i + 1, n)
         js = js[label[js] != label[i]]
-        cost = np.bitwise_count(fp[js] ^ fp[i])
-        near = (cost <= k) & (np.minimum(size[js], size[i]) >= least * np.maximum(size[js], size[i]))
-        js = js[near][np.argsort(cost[near], kind="stable")]
+        js = js[np.minimum(size[js], size[i]) >= least * np.maximum(size[js], size[i])]
         if not len(js):
             continue
         mine = token[ends[i] : ends[i + 1]]
@@ -298,6 +438,7 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, lea
             held[of] = True
             js = js[held[js]]
             held[of] = False
+        js = js[np.argsort(np.bitwise_count(fp[js] ^ fp[i]), kind="stable")]
         mark[mine] = True
         texts = FIRST_TEXTS
         while len(js):
@@ -310,42 +451,22 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, k: int, lea
     return links
 
 
-def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, shingle: int, text_col: str = "text") -> DataFrame:
-    """Links (a, b) of at most k bits that span the groups of texts that share at least so much of all their
-    shingles (Jaccard); stored.
+def prefix(size, least: float):
+    """Of so many rarest shingles of a set, every similar set has one."""
+    return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
 
-    members: node (fp and the text's hash), the root of the group of candidates it is in, and a row of prints that
-    has its text.
-    """
-    spark = prints.sparkSession
-    several = members.groupBy("root").agg(F.count("*").alias("texts")).filter("texts > 1")
-    ends = stored(members.join(several, "root", "left_semi"), "simhash-ends")
-    texts = prints.select("row", F.col(text_col).alias("text")).join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "row")
 
-    @F.pandas_udf("array<long>")
-    def shingles(text: pd.Series) -> pd.Series:
-        out = []
-        for x in text:
-            words = (x or "").encode().lower().split()
-            out.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], np.uint64)).view(np.int64))
-        return pd.Series(out)
+LINKS = "fp_a long, check_a long, fp_b long, check_b long"
 
-    bounded_batches(spark)
-    sets = stored(texts.select("root", "node", shingles("text").alias("set")), "simhash-sets")
-    chunks = F.greatest(F.ceil(F.count("*") / PAIRED), F.ceil(F.sum(F.size("set")) / PAIRED_SHINGLES)).cast("int")
-    large = stored(sets.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "simhash-large")
-    units = sets.select("root", F.lit(0).alias("unit"), F.lit(0).alias("part"), "node.fp", "node.check", "set")
-    if not large.isEmpty():
-        dealt = sets.join(large, "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-        mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-        pair = lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other)
-        units = dealt.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)).alias("unit"), mine.alias("part"), "node.fp", "node.check", "set")
-
-    def searched(unit: pd.DataFrame) -> pd.DataFrame:
+
+def _searched(units: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of units' texts (root, unit, part, joined, fp, check, set); texts of two parts make a pair only across them."""
+
+    def search(unit: pd.DataFrame) -> pd.DataFrame:
         unit = unit.sort_values("part", kind="stable")
         part, fp, check = unit["part"].to_numpy(), unit["fp"].to_numpy(np.int64), unit["check"].to_numpy(np.int64)
-        cut = int(np.argmax(part != part[0]))
-        links = verified_links(fp.view(np.uint64), unit["set"].tolist(), cut, k, least)
+        joined = unit["joined"].to_numpy(np.int64) if unit["joined"].notna().all() else None
+        links = verified_links(fp.view(np.uint64), unit["set"].tolist(), int(np.argmax(part != part[0])), least, joined)
         a, b = np.array(links, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"fp_a": fp[a], "check_a": check[a], "fp_b": fp[b], "check_b": check[b]})
 
@@ -359,44 +480,119 @@ def similar_links(members: DataFrame, prints: DataFrame, k: int, least: float, s
                 if lo == hi:
                     continue
                 if last != (root[lo], unit[lo]) and held:
-                    yield searched(pd.concat(held))
+                    yield search(pd.concat(held))
                     held = []
                 held.append(batch.iloc[lo:hi])
                 last = root[lo], unit[lo]
         if held:
-            yield searched(pd.concat(held))
+            yield search(pd.concat(held))
 
-    dealt = units.repartition(partitions(spark), "root", "unit").sortWithinPartitions("root", "unit")
-    links = dealt.mapInPandas(walked, "fp_a long, check_a long, fp_b long, check_b long").distinct()
+    bounded_batches(units.sparkSession)
+    dealt = units.select("root", "unit", "part", "joined", "node.fp", "node.check", "set").repartition(partitions(units.sparkSession), "root", "unit").sortWithinPartitions("root", "unit")
+    links = dealt.mapInPandas(walked, LINKS).distinct()
     node = lambda end: F.struct(F.col(f"fp_{end}").alias("fp"), F.col(f"check_{end}").alias("check")).alias(end)
     return stored(links.select(node("a"), node("b")), "simhash-similar")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
-    """Per row: id, fp, row, component_id (the smallest id among all rows that links of at most k bits reach),
-    first_row (one row of the component with that id), and the columns of keep.
-
-    similarity: links whose texts are less similar than this (Jaccard of their shingles) don't count.
+def _with_joined(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets with joined, a hash that stands for what the links join a text to."""
+    roots = components(links).withColumnRenamed("root", "joined_to")
+    return sets.join(roots, "node", "left").withColumn("joined", F.xxhash64(F.coalesce("joined_to", "node"))).drop("joined_to")
+
+
+def _large_links(sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) in large groups (root, node, set, chunks)."""
+    # dealt in chunks by several hashes, what is dense is joined whatever chunk it falls in
+    dealt = F.array(*(F.pmod(F.xxhash64("node", F.lit(seed)), F.col("chunks")).cast("long") * DEALT + seed for seed in range(DEALT)))
+    chunked = sets.select("root", F.explode(dealt).alias("unit"), F.lit(0).alias("part"), F.lit(None).cast("long").alias("joined"), "node", "set")
+    links = _searched(chunked, least)
+    rest = stored(_with_joined(sets, links).select("root", "node", "joined", "set"), "simhash-apart")
+    several = rest.groupBy("root").agg(F.min("joined").alias("x"), F.max("joined").alias("y")).filter("x <> y").select("root")
+    apart = rest.join(several, "root", "left_semi")
+    tokens = apart.select("root", "node", "joined", F.size("set").alias("size"), F.explode("set").alias("token"))
+    often = tokens.groupBy("root", "token").agg(F.count("*").alias("often"))
+    nth = F.row_number().over(Window.partitionBy("root", "node").orderBy("often", "token"))
+    heads = F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1
+    rare = tokens.join(often, ["root", "token"]).withColumn("nth", nth).filter((F.col("nth") <= heads) & (F.col("often") > 1))
+    rare = stored(rare.select("root", "token", "node", "joined"), "simhash-rare")
+    shared = rare.groupBy("root", "token").agg(F.min("joined").alias("x"), F.max("joined").alias("y"), F.count("*").alias("texts")).filter("x <> y")
+    shared = stored(shared.select("root", "token", F.ceil(F.col("texts") / PAIRED).cast("int").alias("chunks")), "simhash-shared")
+    if shared.isEmpty():
+        return links
+    # a list of one rare shingle is a unit; one that is long all the same is dealt in chunks, each pair of them a unit
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pair = lambda other: F.least(mine, other) * F.col("chunks") + F.greatest(mine, other)
+    lists = rare.join(shared, ["root", "token"]).select("root", "node", mine.alias("part"), F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.xxhash64("token", pair(other)))).alias("unit"))
+    units = lists.join(rest, ["root", "node"]).select("root", "unit", "part", "joined", "node", "set")
+    return links.unionByName(_searched(units, least))
+
+
+def similar_links(members: DataFrame, prints: DataFrame, least: float, shingle: int, text_col: str = "text") -> DataFrame:
+    """Links (a, b) that span the groups of texts that share at least so much of all their shingles (Jaccard).
+
+    members: node (fp, and the check of the text's set), the root of the group of candidates it is in, and a row
+    of prints that has its text.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_col, F.monotonically_increasing_id().alias("row"), *(c for c in keep if c != text_col))
-    kept = rows.withColumn(_TEXT, F.col(text_col)) if similarity or text_col in keep else rows
-    prints = fingerprints(kept, shingle, text_col)
-    # what a member of a group is: with similarity each text, else all that share the fingerprint
-    node = F.struct("fp", F.xxhash64(F.coalesce(_TEXT, F.lit(""))).alias("check")) if similarity else F.col("fp")
-    prints = stored(prints.withColumn("node", node), "simhash")
-    distinct = stored(prints.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")), "simhash-distinct")
-    if similarity:
-        groups = components(near_links(distinct.select("node.fp").distinct(), k))
-        members = distinct.select("node", "node.fp", "least.row").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "row")
-        groups = components(similar_links(members, prints, k, similarity, shingle, _TEXT))
-    else:
-        groups = components(near_links(distinct.select(F.col("node").alias("fp")), k))
+    several = members.groupBy("root").agg(F.count("*").alias("texts")).filter("texts > 1")
+    ends = stored(members.join(several, "root", "left_semi"), "simhash-ends")
+    texts = prints.select("row", F.col(text_col).alias("text")).join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "row")
+
+    @F.pandas_udf("array<long>")
+    def sets_of(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, shingle).view(np.int64) for x in text])
+
+    bounded_batches(prints.sparkSession)
+    sets = stored(texts.select("root", "node", sets_of("text").alias("set")), "simhash-sets")
+    chunks = F.greatest(F.ceil(F.count("*") / PAIRED), F.ceil(F.sum(F.size("set")) / PAIRED_SHINGLES)).cast("int")
+    large = stored(sets.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "simhash-large")
+    part_in = F.broadcast(large) if small(large, BROADCAST_ENDS) else large
+    whole = sets.join(part_in, "root", "left_anti")
+    links = _searched(whole.select("root", F.lit(0).cast("long").alias("unit"), F.lit(0).alias("part"), F.lit(None).cast("long").alias("joined"), "node", "set"), least)
+    return links if large.isEmpty() else links.unionByName(_large_links(sets.join(part_in, "root"), least))
+
+
+def _named(prints: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
+    """prints (node) with component_id and first_row, from each node's least row and its group's root."""
     rooted = distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("least"))
     named = stored(rooted.drop("least").join(ids, "root").select("node", F.col("least.id").alias("component_id"), F.col("least.row").alias("first_row")), "simhash-groups")
-    named = F.broadcast(named) if small(named, BROADCAST_ENDS) else named
-    out = prints.join(named, "node")
-    return out.select("id", "fp", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
+    return prints.join(F.broadcast(named) if small(named, BROADCAST_ENDS) else named, "node")
+
+
+def _least_row() -> Column:
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, fp, row, component_id (the smallest id among all rows that links of at most k bits reach) and
+    first_row (one row of the component with that id)."""
+    rows = docs.select(F.col(id_col).alias("id"), text_col, F.monotonically_increasing_id().alias("row"))
+    prints = stored(fingerprints(rows, shingle, text_col).withColumn("node", F.col("fp")), "simhash")
+    distinct = stored(prints.groupBy("node").agg(_least_row()), "simhash-distinct")
+    groups = components(near_links(distinct.select(F.col("node").alias("fp")), k))
+    return _named(prints, distinct, groups).select("id", "fp", "row", "component_id", "first_row")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: id, row, component_id (the smallest id among all rows that pairs of similar texts reach), first_row
+    (one row of the component with that id), and the columns of keep."""
+    names = [f"f{i}" for i in range(SKETCH_WORDS)]
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in [*names, "check"]))
+    def sketched(text: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x, shingle) for x in text]
+        words = np.array([[*sketch(s), xxhash.xxh64_intdigest(s.tobytes(), SEED)] for s in sets], np.uint64).reshape(-1, SKETCH_WORDS + 1)
+        return pd.DataFrame(words.view(np.int64), columns=[*names, "check"])
+
+    bounded_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(_TEXT), F.monotonically_increasing_id().alias("row"), *(c for c in keep if c != text_col))
+    prints = own.withColumn("sketch", sketched(_TEXT)).withColumn("node", F.struct(F.col("sketch.f0").alias("fp"), F.col("sketch.check").alias("check")))
+    prints = stored(prints, "simhash")
+    distinct = stored(prints.groupBy("node").agg(_least_row(), F.first("sketch").alias("sketch")), "simhash-distinct")
+    groups = components(sketch_links(distinct.select(*(f"sketch.{c}" for c in names)).distinct(), least))
+    members = distinct.select("node", "node.fp", "least.row").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "row")
+    groups = components(similar_links(members, prints, least, shingle, _TEXT))
+    return _named(prints, distinct, groups).select("id", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
 
 
 @tidied

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tempotrail.llm import simhash
+from tempotrail.llm import common, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -51,34 +51,23 @@ def test_language(stages):
 
 def test_near_duplicates(stages):
     before, after = stages["near_duplicates"]
-    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (r["text"].lower().split() for r in before)]
-    prints = [simhash.fingerprint(r["text"], 5) for r in before]
-    label = list(range(len(before)))
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for i in range(len(before)):
-        for j in range(i):
-            near = bin(prints[i] ^ prints[j]).count("1") <= corpus_pipeline.NEAR_BITS
-            if near and len(shingles[i] & shingles[j]) >= corpus_pipeline.SIMILARITY * len(shingles[i] | shingles[j]):
-                a, b = find(i), find(j)
-                label[max(a, b)] = min(a, b)
-    least = defaultdict(lambda: 1 << 60)
+    least = least_of_groups(len(before), near_pairs([r["text"] for r in before]))
+    first = defaultdict(lambda: 1 << 60)
     for i, r in enumerate(before):
-        least[find(i)] = min(least[find(i)], r["doc_id"])
-    assert ids(after) == Counter(least.values())
+        first[least[i]] = min(first[least[i]], r["doc_id"])
+    assert ids(after) == Counter(first.values())
     assert 10_001 not in ids(after) and 10_002 not in ids(after)
 
 
 def near_pairs(texts):
-    """Pairs within the bits and the similarity that the stage allows."""
-    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
-    prints = [simhash.fingerprint(t, 5) for t in texts]
-    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= corpus_pipeline.NEAR_BITS
-    return {(i, j) for j in range(len(texts)) for i in range(j) if near(i, j) and len(shingles[i] & shingles[j]) >= corpus_pipeline.SIMILARITY * len(shingles[i] | shingles[j])}
+    """All pairs that are similar, by an inverted index."""
+    shingles = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ((t or "").lower().split() for t in texts)]
+    by_shingle = defaultdict(list)
+    for i, s in enumerate(shingles):
+        for x in s:
+            by_shingle[x].append(i)
+    shared = Counter((i, j) for at in by_shingle.values() for n, j in enumerate(at) for i in at[:n])
+    return {(i, j) for (i, j), n in shared.items() if n >= corpus_pipeline.SIMILARITY * (len(shingles[i]) + len(shingles[j]) - n)}
 
 
 def least_of_groups(n, pairs):
@@ -91,10 +80,17 @@ def least_of_groups(n, pairs):
             return least
 
 
-@pytest.mark.parametrize("paired", [4096, 50])
-def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, paired):
+def similar(spark, texts):
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["id"]: r["component_id"] for r in simhash.similar_documents(docs, 5, corpus_pipeline.SIMILARITY).collect()}
+    return [found[i] for i in range(len(texts))]
+
+
+@pytest.mark.parametrize(("paired", "chunk"), [(4096, 8192), (50, 8192), (20, 40)])
+def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, paired, chunk):
     """Texts that share a passage are candidates of each other; only the few copies among them are similar."""
     monkeypatch.setattr(simhash, "PAIRED", paired)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     random = np.random.default_rng(5)
     words = lambda n: [f"w{x}" for x in random.integers(0, 1_000_000, n)]
     passage = words(300)
@@ -107,9 +103,40 @@ def test_near_duplicates_in_a_dense_cluster(spark, monkeypatch, paired):
     texts = [" ".join(t) for t in texts]
     pairs = near_pairs(texts)
     assert len(pairs) >= 30
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    found = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, corpus_pipeline.NEAR_BITS, similarity=corpus_pipeline.SIMILARITY).collect()}
-    assert [found[i] for i in range(len(texts))] == least_of_groups(len(texts), pairs)
+    assert similar(spark, texts) == least_of_groups(len(texts), pairs)
+
+
+@pytest.mark.parametrize("chunk", [8192, 30])
+def test_pairs_at_the_least_similarity_are_found(spark, monkeypatch, chunk):
+    """Pairs between 0.8 and 0.82, short and long, among texts that are unlike; buckets as small as they get."""
+    monkeypatch.setattr(simhash, "MEAN_SKETCHES", 8)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    random = np.random.default_rng(12)
+    texts = []
+    for i in range(300):
+        words = [f"w{x}" for x in random.integers(0, 1_000_000, 30 + 7 * (i % 40))]
+        n = len(words) - 4
+        new = int(n * 0.2 / 1.8)  # shingles that a changed end takes: J = (n - new) / (n + new) at least 0.8
+        texts += [" ".join(words), " ".join(words[: len(words) - new] + [f"x{x}" for x in random.integers(0, 1_000_000, new)])]
+    pairs = near_pairs(texts)
+    assert len(pairs) >= 300
+    found = similar(spark, texts)
+    assert sum(found[i] == found[j] for i, j in pairs) >= 0.98 * len(pairs) and all(found[i] in (i, i - 1) for i in range(len(texts)))
+
+
+def test_similar_links_of_equal_and_tiny_sets():
+    sets = [np.array(x, np.uint64) for x in ([1], [1], [2], [1, 2, 3, 4], [1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11])]
+    assert simhash.verified_links(np.zeros(6, np.uint64), sets, 0, 0.8) == [(0, 1), (3, 4)]
+    assert simhash.verified_links(np.zeros(6, np.uint64), sets, 0, 0.8, np.array([1, 1, 2, 3, 4, 5])) == [(3, 4)]
+    assert simhash.verified_links(np.zeros(6, np.uint64), sets, 4, 0.8) == [(3, 4)]
+
+
+def test_no_similar_pair_is_lost_at_a_larger_scale(spark):
+    """All pairs of the documents of sf0.01, by an inverted index."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    pairs = near_pairs(texts)
+    found = similar(spark, texts)
+    assert len(pairs) >= 50 and found == least_of_groups(len(texts), pairs)
 
 
 def test_different_texts_of_one_fingerprint(spark):
@@ -118,9 +145,8 @@ def test_different_texts_of_one_fingerprint(spark):
     texts = [" ".join(["spam"] * 300 + [f"w{x}" for x in random.integers(0, 1_000_000, 150)]) for _ in range(3)]
     texts += [texts[0], texts[1] + " tail", texts[2].upper(), "", None, "  "]
     assert len({simhash.fingerprint(t, 5) for t in texts[:6]}) == 1
+    assert similar(spark, texts) == [0, 1, 2, 0, 1, 2, 6, 6, 6]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    found = simhash.near_duplicates(docs, 5, corpus_pipeline.NEAR_BITS, similarity=corpus_pipeline.SIMILARITY).collect()
-    assert {r["id"]: r["component_id"] for r in found} == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2, 6: 6, 7: 6, 8: 6}
     assert corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).count() == 4
 
 
@@ -184,3 +210,62 @@ def test_sharding(stages):
 def test_run(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.columns == [*corpus_pipeline.COLUMNS, "shard", "slot"] and out.filter(F.col("shard").between(0, 15)).count() == out.count() > 100
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, id long, fp long, row long, node string, size int, key string, hash string, shard int, slot int, unit int, taken long, score double, lang_pred string, key1 long, key2 long, n_words long, hits int, bin int, check string, part int, _text string, component_id long, first_row long"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def edge_rows():
+    long = " ".join(f"the house number {i} and water of {i % 91}" for i in range(20_000))
+    item = "one two three"
+    base = [
+        (1, None, "en", "a", None), (None, None, None, None, None), (2, "", "en", "a", 0), (3, " \t\n", None, None, 0), (4, long, "en", "a", 1), (5, long + " tail", "en", "b", 1), (None, "no id here but the words of a text", "en", None, 3),
+        (6, "the house and the water of the town", "en", "a", 2), (6, "the house and the water of the town", "en", "a", 2), (7, "the house and the water of the town", "en", "a", 2), (8, f"here {item} there", "en", "b", 2), (9, "½ ² ①", "en", "b", 2),
+    ]
+    return [(*r, *([None if t.endswith("string") else 1.0 if t.endswith("double") else 1 for t in CLASHING.split(", ")[5:]])) for r in base]
+
+
+@pytest.fixture(scope="module")
+def edges(spark, tmp_path_factory):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and columns with clashing names."""
+    path = tmp_path_factory.mktemp("edges")
+    for name, rows in (("documents", edge_rows()), ("empty", [])):
+        spark.createDataFrame(rows, CLASHING).repartition(3).write.parquet(f"{path}/{name}.parquet")
+    spark.createDataFrame([(1, "one two three"), (None, "four five"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(6, 1, 0), (None, 1, 0), (5, None, None), (7, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_of_an_empty_table(spark, edges, name):
+    out = STAGES[name](spark, spark.read.parquet(f"{edges}/empty.parquet"), edges)
+    assert out.collect() == [] and set(out.columns) - {"shard", "slot"} == set(corpus_pipeline.COLUMNS)
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stage_at_the_edges(spark, edges, name):
+    rows = [r[:5] for r in edge_rows()]
+    out = STAGES[name](spark, spark.read.parquet(f"{edges}/documents.parquet"), edges)
+    assert [c for c in out.columns if c not in ("shard", "slot")] == list(corpus_pipeline.COLUMNS)
+    got = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in out.collect()]
+    kept, given = Counter(got), Counter(rows)
+    assert all(r in given for r in kept)
+    if name == "language":  # only English is learned
+        assert kept == Counter(r for r in rows if r[1] and any(c.isalpha() for c in r[1]))
+    if name == "near_duplicates":
+        assert sorted(str(r[0]) for r in got) == ["1", "4", "6", "8", "9", "None"]
+        assert sum(r[1] is not None and "no id" in r[1] for r in got) == 1
+    if name == "decontamination":
+        assert kept == Counter(r for r in rows if r[0] != 8)
+    if name == "mixing":
+        assert all((r[1] or "").split() for r in got) and all(n <= 2 * given[r] for r, n in kept.items())
+    if name == "sharding":
+        assert kept == given
+
+
+def test_the_pipeline_leaves_nothing_but_its_result(spark, edges, tmp_path, monkeypatch):
+    count = iter(range(1000))
+    monkeypatch.setattr(common, "shared_folder", lambda spark, name: f"{tmp_path.as_uri()}/{name}-{next(count)}")
+    out = corpus_pipeline.run(spark, edges)
+    assert [x.name.partition("-")[2].rpartition("-")[0] for x in tmp_path.iterdir()] == ["sharding"] and out.count() > 0
