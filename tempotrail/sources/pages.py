@@ -11,7 +11,7 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,12 +114,17 @@ class Element:
     parent: Element | None = None
     href: str | None = None
     inner: list = field(default_factory=list)
+    #: All elements inside, in order; of a whole page only, where it is asked for often.
+    every: list[Element] | None = None
 
     def walk(self) -> Iterator[Element]:
-        for x in self.inner:
-            if isinstance(x, Element):
-                yield x
-                yield from x.walk()
+        if self.every is not None:
+            yield from self.every
+            return
+        todo = [x for x in reversed(self.inner) if isinstance(x, Element)]
+        while todo:
+            yield (x := todo.pop())
+            todo.extend(y for y in reversed(x.inner) if isinstance(y, Element))
 
     def text(self) -> str | None:
         parts: list[str] = []
@@ -144,47 +149,47 @@ class Element:
         return None
 
 
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = self.open = Element("")
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in _GROUPS:
-            same, holder = _GROUPS[tag]
-            at = self.open
-            while at.parent and at.tag != holder:
-                if at.tag in same:
-                    self.open = at.parent
-                    break
-                at = at.parent
-        of = dict(attrs)
-        e = Element(tag, frozenset((of.get("class") or "").split()), self.open, of.get("href"))
-        self.open.inner.append(e)
-        if tag not in _VOID:
-            self.open = e
+#: A comment, a script or style, a declaration, a tag (its end mark, name and attributes), or text.
+_TOKEN = re.compile(r"""(?is)<!--.*?-->|<(?:script|style)\b.*?</(?:script|style)\s*>|<[!?][^>]*>|<(/?)([a-z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|([^<]+|<)""")
+_ATTRIBUTE = re.compile(r"""(?i)(?<![\w-])(class|href)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 
-    def handle_endtag(self, tag: str) -> None:
-        at = self.open
-        while at.parent and at.tag != tag:
-            at = at.parent
-        if at.parent:
-            self.open = at.parent
 
-    def handle_data(self, data: str) -> None:
-        if self.open.tag not in ("script", "style"):
-            self.open.inner.append(data)
+def elements(html: str | None) -> Element:
+    """A page's elements under a root; whatever is not closed or not opened properly is put where a browser would, or left out."""
+    root = at = Element("", every=[])
+    for m in _TOKEN.finditer(html or ""):
+        end, tag, attributes, text = m.groups()
+        if text is not None:
+            at.inner.append(unescape(text) if "&" in text else text)
+        elif tag and end:
+            tag, open_one = tag.lower(), at
+            while open_one.parent and open_one.tag != tag:
+                open_one = open_one.parent
+            at = open_one.parent or at
+        elif tag:
+            tag = tag.lower()
+            same, holder = _GROUPS.get(tag, ((), ""))
+            open_one = at
+            while same and open_one.parent and open_one.tag != holder:
+                if open_one.tag in same:
+                    at = open_one.parent
+                    break
+                open_one = open_one.parent
+            of = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+            e = Element(tag, frozenset(of.get("class", "").split()), at, of.get("href"))
+            at.inner.append(e)
+            root.every.append(e)
+            if tag not in _VOID and not attributes.endswith("/"):
+                at = e
+    return root
 
 
-def elements(html: str | None) -> Element:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
+_NOT_KEY = re.compile("[^a-z0-9]+")
 
 
 def key(text: str | None) -> str:
-    return re.sub("[^a-z0-9]+", " ", plain(text or "").lower()).strip()
+    text = text or ""
+    return _NOT_KEY.sub(" ", (text if text.isascii() else plain(text)).lower()).strip()
 
 
 def control(text: str | None) -> str | None:
@@ -240,9 +245,8 @@ def _of_rows(page: Element) -> Iterator[tuple[str, dict]]:
 
 def _of_cells(page: Element) -> Iterator[tuple[str, int]]:
     for x in page.walk():
-        named = next((c for c in sorted(x.classes) if c.startswith("f-time_") and "finish" not in c), None) if x.tag in ("td", "span") else None
-        at, elapsed = control((named or "").removeprefix("f-time_")), clock(x.text())
-        if at and elapsed is not None:
+        named = next((c for c in sorted(x.classes) if c.startswith("f-time_") and "finish" not in c), None) if x.classes and x.tag in ("td", "span") else None
+        if named and (at := control(named.removeprefix("f-time_"))) and (elapsed := clock(x.text())) is not None:
             yield at, elapsed
 
 
@@ -281,7 +285,7 @@ def passages(page: Element, controls: Sequence[str]) -> list[dict]:
 def labelled(page: Element) -> dict[str, str]:
     """Label (as a key) to value, of rows of two cells and of dt and dd; the last that isn't empty counts."""
     pairs = [[c.text() for c in x.cells()] for x in page.walk() if x.tag == "tr"]
-    for dl in page.walk():
+    for dl in {id(x.parent): x.parent for x in page.walk() if x.tag == "dt"}.values():
         inner = [x for x in dl.inner if isinstance(x, Element) and x.tag in ("dt", "dd")]
         pairs += [[a.text(), b.text()] for a, b in zip(inner, inner[1:], strict=False) if (a.tag, b.tag) == ("dt", "dd")]
     return {key(p[0]): p[1] for p in pairs if len(p) == 2 and p[1]}
@@ -354,13 +358,19 @@ def _club_and_city(text: str) -> tuple[str | None, str | None]:
 def participant(html: str | None, controls: Sequence[str]) -> dict:
     """The record that a page states."""
     page = elements(html)
-    for x in list(page.walk()):
-        if x.tag == "tr" and "estimated" in x.classes:
-            x.inner = []
+    forecasts = [x for x in page.every if x.tag == "tr" and "estimated" in x.classes]
+    gone = {id(y) for x in forecasts for y in x.walk()}
+    for x in forecasts:
+        x.inner = []
+    page.every = [x for x in page.every if id(x) not in gone]
+    by_class: dict[str, list[Element]] = {}
+    for x in page.every:
+        for c in x.classes:
+            by_class.setdefault(c, []).append(x)
     labels = labelled(page)
 
     def of_class(name: str) -> str | None:
-        every = [x for x in page.walk() if name in x.classes]
+        every = by_class.get(name, [])
         # of a row the second cell, for the first is a label
         texts = ((c[1].text() if len(c := x.cells()) > 1 else None) if x.tag == "tr" else x.text() for x in sorted(every, key=lambda x: x.tag != "td"))
         return next((t for t in texts if t), None)
