@@ -21,7 +21,10 @@ of one but for a stated share (MISSED).  The walk has a budget for the bits of i
 budget of the whole sketch, which unrelated texts never meet.  A bucket that is large all the same is dealt
 again by further bits, then in chunks; the rows a sketch makes follow the logarithm of the bucket, never its
 size.  Candidates' groups are then searched by the sets themselves, so only pairs that hold join, and whatever
-holds inside a group is found.  A group's pair is passed over only where its two members are joined already, or
+holds inside a group is found.  What tries and chunks leave apart is found exactly (rest_links): similar texts
+share one of their first shingles in any order that holds for all texts, so every text is listed under each of its
+first shingles, the rare before the frequent, and all pairs of a list that aren't joined yet are searched.  The
+sketches thus save work and decide nothing.  A group's pair is passed over only where its two members are joined already, or
 where it can't be similar: by the sizes of the sets, or because the rarest shingles of the one, of which similar
 texts share at least one, aren't among those of the other.  A large group is searched in chunks, dealt in
 three ways, which joins what is dense; then the texts still apart are brought together by the rare shingles
@@ -37,7 +40,7 @@ kept where asked for.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -46,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempotrail.llm.common import bounded_batches, partitions, small, stored, tidied
+from tempotrail.llm.common import bounded_batches, partitions, sliced, small, stored, tidied
 
 SEED = 42
 #: A bucket's mean size up to which r stays, and the size from which a bucket is cut into chunks.
@@ -70,6 +73,8 @@ PAIRED, PAIRED_SHINGLES = 1024, 1_500_000
 DEALT = 3
 #: Texts that are held against one at first; then ever more.
 FIRST_TEXTS = 16
+#: Counters of shingles at most (of 4 bytes), and the pairs of a list that are written out; a longer list is searched as a whole.
+COUNTERS, LISTED_PAIRS = 1 << 22, 8192
 _TEXT = "_text"
 
 
@@ -395,6 +400,11 @@ def sketch_links(sketches: DataFrame, least: float) -> DataFrame:
     return stored(units.repartition(tasks, "bucket", "unit").mapInPandas(walked, "a long, b long").distinct(), "simhash-links")
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """So many positions from each start."""
+    return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
+
+
 def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, least: float, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning links between positions that share at least so much of their sets.
 
@@ -421,9 +431,6 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, least: floa
         _, at, code = np.unique(joined, return_index=True, return_inverse=True)
         label[:] = at[code]
 
-    def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.arange(counts.sum()) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-
     for i in range(cut or n):
         js = np.arange(cut or i + 1, n)
         js = js[label[js] != label[i]]
@@ -434,7 +441,7 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, least: floa
         rare = mine[: heads[i]]
         counts = first[rare + 1] - first[rare]
         if counts.sum() < size[js].sum():
-            of = holders[spread(first[rare], counts)]
+            of = holders[_spread(first[rare], counts)]
             held[of] = True
             js = js[held[js]]
             held[of] = False
@@ -443,7 +450,7 @@ def verified_links(fp: np.ndarray, sets: list[np.ndarray], cut: int, least: floa
         texts = FIRST_TEXTS
         while len(js):
             now, js = js[:texts], js[texts:]
-            shared = np.add.reduceat(mark[token[spread(ends[now], size[now])]], np.cumsum(size[now]) - size[now], dtype=np.int64)
+            shared = np.add.reduceat(mark[token[_spread(ends[now], size[now])]], np.cumsum(size[now]) - size[now], dtype=np.int64)
             now = now[shared >= least * (size[now] + size[i] - shared)]
             links += groups.join(np.full(len(now), i), now)
             js, texts = js[label[js] != label[i]], texts * 4
@@ -537,12 +544,8 @@ def similar_links(members: DataFrame, prints: DataFrame, least: float, shingle:
     ends = stored(members.join(several, "root", "left_semi"), "simhash-ends")
     texts = prints.select("row", F.col(text_col).alias("text")).join(F.broadcast(ends) if small(ends, BROADCAST_ENDS) else ends, "row")
 
-    @F.pandas_udf("array<long>")
-    def sets_of(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(x, shingle).view(np.int64) for x in text])
-
     bounded_batches(prints.sparkSession)
-    sets = stored(texts.select("root", "node", sets_of("text").alias("set")), "simhash-sets")
+    sets = stored(texts.select("root", "node", _sets_of(shingle)("text").alias("set")), "simhash-sets")
     chunks = F.greatest(F.ceil(F.count("*") / PAIRED), F.ceil(F.sum(F.size("set")) / PAIRED_SHINGLES)).cast("int")
     large = stored(sets.groupBy("root").agg(chunks.alias("chunks")).filter("chunks > 1"), "simhash-large")
     part_in = F.broadcast(large) if small(large, BROADCAST_ENDS) else large
@@ -551,6 +554,149 @@ def similar_links(members: DataFrame, prints: DataFrame, least: float, shingle:
     return links if large.isEmpty() else links.unionByName(_large_links(sets.join(part_in, "root"), least))
 
 
+def _different(batches: Iterator[pd.DataFrame], shingle: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Checks and shingle sets of texts (check, text), batch by batch, each check once."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = [(c, t) for c, t in dict(zip(batch["check"].tolist(), batch["text"], strict=True)).items() if c not in seen]
+        if new:
+            seen.update(c for c, _ in new)
+            yield np.array([c for c, _ in new], np.int64), [shingle_set(t, shingle) for _, t in new]
+
+
+def _shingle_counts(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
+    """In how many texts the shingles are that start with the same bits."""
+    bits = min(int(math.log2(COUNTERS)), max(12, math.ceil(math.log2(n + 1)) + 2))
+    part = 1 << 12
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for _, sets in _different(batches, shingle):
+            np.add.at(counts, np.concatenate(sets) >> np.uint64(64 - bits), np.uint32(1))
+        full = [at for at in range(0, len(counts), part) if counts[at : at + part].any()]
+        yield pd.DataFrame({"at": np.array(full, np.int32), "counts": [counts[at : at + part].tobytes() for at in full]})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch["at"].tolist(), batch["counts"], strict=True):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
+        yield pd.DataFrame({"at": np.array(list(sums), np.int32), "counts": [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]})
+
+    out = np.zeros(1 << bits, np.uint32)
+    for r in texts.mapInPandas(count, "at int, counts binary").repartition("at").mapInPandas(total, "at int, counts binary").collect():
+        out[r["at"] : r["at"] + part] = np.frombuffer(r["counts"], np.uint32)
+    return out
+
+
+def _listed(texts: DataFrame, n: int, least: float, shingle: int) -> DataFrame:
+    """The lists (token) of different texts (check, size) that have it among their first shingles, at this place; those of one text are left out."""
+    spark = texts.sparkSession
+    counts = _shingle_counts(texts, n, shingle)
+    shift, rows = np.uint64(64 - int(math.log2(len(counts)))), int(counts.sum(dtype=np.int64) * (1 - least)) + n
+    shared = spark.sparkContext.broadcast(counts)  # COUNTERS at most
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for checks, sets in _different(batches, shingle):
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            many = prefix(size, least)
+            # any order is right that holds for all texts; rare shingles first make short lists
+            tokens = np.concatenate([s[np.lexsort((s, often[s >> shift]))[:k]] for s, k in zip(sets, many.tolist(), strict=True)])
+            at = _spread(np.zeros_like(many), many)
+            yield from sliced(pd.DataFrame({"token": tokens.view(np.int64), "check": np.repeat(checks, many), "size": np.repeat(size, many).astype(np.int32), "at": at.astype(np.int32)}))
+
+    def of_several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if not held:
+            return
+        got = pd.concat(held).sort_values(["token", "check"], kind="stable", ignore_index=True)
+        token, check = got["token"].to_numpy(), got["check"].to_numpy()
+        new = np.concatenate(([True], (np.diff(token) != 0) | (np.diff(check) != 0)))
+        got, token = got[new], token[new]
+        start = np.concatenate(([True], token[1:] != token[:-1]))
+        alone = start & np.concatenate((start[1:], [True]))
+        yield from sliced(got[~alone])
+
+    schema = "token long, check long, size int, at int"
+    out = texts.mapInPandas(heads, schema).repartition(max(partitions(spark), -(-rows // TASK_ROWS)), "token").mapInPandas(of_several, schema)
+    out = stored(out, "simhash-listed")
+    shared.unpersist()
+    return out
+
+
+def _listed_pairs(lists: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of a list that aren't joined and may be similar, by their sizes and the place of the shingle."""
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [x for x in batches if len(x)]
+        if not held:
+            return
+        got = pd.concat(held).sort_values(["token", "joined"], kind="stable", ignore_index=True)
+        token, joined, check, size, at = (got[c].to_numpy(np.int64) for c in ("token", "joined", "check", "size", "at"))
+        after = lambda new: np.append(np.flatnonzero(new), len(got))[np.cumsum(new)]
+        new = np.concatenate(([True], np.diff(token) != 0))
+        own = after(new | np.concatenate(([True], np.diff(joined) != 0)))
+        counts = after(new) - own
+        # rows after a row's own group of joined texts, a slab at a time
+        slabs = np.searchsorted(np.cumsum(counts), np.arange(SLAB, counts.sum() + SLAB, SLAB), side="right")
+        for lo, hi in zip([0, *slabs.tolist()], [*slabs.tolist(), len(got)], strict=True):
+            i, j = np.repeat(np.arange(lo, hi), counts[lo:hi]), _spread(own[lo:hi], counts[lo:hi])
+            # at the first shingle that a pair shares, it can share no more than what follows in both
+            most = np.minimum(size[i] - at[i], size[j] - at[j])
+            can = most >= least / (1 + least) * (size[i] + size[j]) - 1e-6
+            a, b = check[i[can]], check[j[can]]
+            yield from sliced(pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates())
+
+    return lists.select("token", "joined", "check", "size", "at").repartition("token").mapInPandas(paired, "a long, b long").distinct()
+
+
+def rest_links(distinct: DataFrame, prints: DataFrame, groups: DataFrame, least: float, shingle: int, text_col: str = "text") -> DataFrame | None:
+    """Links (a, b) that, with the groups (node, root), span the groups of all similar texts; none where nothing is apart.
+
+    distinct: node and least.row, a row of prints that has its text.
+    """
+    spark = prints.sparkSession
+    bounded_batches(spark)
+    part_in = lambda df: F.broadcast(df) if small(df, BROADCAST_ENDS) else df
+    listed = _listed(prints.select("node.check", F.col(text_col).alias("text")), distinct.count(), least, shingle)
+    known = stored(groups.select("node.check", F.xxhash64("root").alias("group")).dropDuplicates(["check"]), "simhash-known")
+    joined = listed.join(part_in(known), "check", "left").withColumn("joined", F.coalesce("group", F.xxhash64("check"))).drop("group")
+    sizes = joined.groupBy("token", "joined").agg(F.count("*").alias("texts"), F.sum("size").alias("shingles")).groupBy("token")
+    square = (F.pow(F.sum("texts"), 2) - F.sum(F.col("texts").cast("double") * F.col("texts"))) / 2
+    lists = sizes.agg(square.alias("pairs"), F.sum("texts").alias("texts"), F.sum("shingles").alias("shingles")).filter("pairs > 0.5")
+    chunks = F.greatest(F.ceil(F.col("texts") / PAIRED), F.ceil(F.col("shingles") / PAIRED_SHINGLES)).cast("int")
+    lists = stored(lists.select("token", "pairs", chunks.alias("chunks")), "simhash-lists")
+    if lists.isEmpty():
+        return None
+    apart = stored(joined.join(part_in(lists), "token"), "simhash-apart")
+    pairs = stored(_listed_pairs(apart.filter(F.col("pairs") <= LISTED_PAIRS), least), "simhash-pairs")
+    # a text with those after it is a unit, in chunks where they are many
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRED).alias("chunks"))
+    pairs = pairs.join(many, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")).alias("unit"))
+    units = pairs.select(F.lit(0).alias("root"), "unit", F.lit(0).alias("part"), F.col("a").alias("check")).distinct()
+    units = units.unionByName(pairs.select(F.lit(0).alias("root"), "unit", F.lit(1).alias("part"), F.col("b").alias("check")))
+    # a list of many pairs is a unit; one that is long all the same is dealt in chunks, each pair of them a unit
+    mine = F.pmod(F.xxhash64("check"), F.col("chunks")).cast("int")
+    pair = lambda other: F.least(mine, other) * F.col("chunks").cast("long") + F.greatest(mine, other)
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda other: F.xxhash64("token", pair(other))))
+    units = units.unionByName(apart.filter(F.col("pairs") > LISTED_PAIRS).select(F.lit(1).alias("root"), each.alias("unit"), mine.alias("part"), "check"))
+    units = stored(units, "simhash-units")
+    ends = distinct.select("node", "node.check", "least.row").join(part_in(stored(units.select("check").distinct(), "simhash-wanted")), "check", "left_semi")
+    ends = stored(ends.join(part_in(known), "check", "left").select("check", "node", "row", F.coalesce("group", F.xxhash64("check")).alias("joined")), "simhash-ends")
+    texts = prints.select("row", F.col(text_col).alias("text")).join(part_in(ends), "row")
+    sets = stored(texts.select("check", "node", "joined", _sets_of(shingle)("text").alias("set")), "simhash-sets")
+    return _searched(units.join(sets, "check"), least)
+
+
+def _sets_of(shingle: int) -> Callable[..., Column]:
+    @F.pandas_udf("array<long>")
+    def sets_of(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, shingle).view(np.int64) for x in text])
+
+    return sets_of
+
+
 def _named(prints: DataFrame, distinct: DataFrame, groups: DataFrame) -> DataFrame:
     """prints (node) with component_id and first_row, from each node's least row and its group's root."""
     rooted = distinct.join(groups, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -591,7 +737,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_
     distinct = stored(prints.groupBy("node").agg(_least_row(), F.first("sketch").alias("sketch")), "simhash-distinct")
     groups = components(sketch_links(distinct.select(*(f"sketch.{c}" for c in names)).distinct(), least))
     members = distinct.select("node", "node.fp", "least.row").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "row")
-    groups = components(similar_links(members, prints, least, shingle, _TEXT))
+    groups = stored(components(similar_links(members, prints, least, shingle, _TEXT)), "simhash-similar")
+    rest = rest_links(distinct, prints, groups, least, shingle, _TEXT)
+    if rest is not None and not rest.isEmpty():
+        groups = components(rest.unionByName(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return _named(prints, distinct, groups).select("id", "row", "component_id", "first_row", *(F.col(_TEXT).alias(c) if c == text_col else c for c in keep))
 
 

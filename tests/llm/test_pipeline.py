@@ -124,6 +124,29 @@ def test_pairs_at_the_least_similarity_are_found(spark, monkeypatch, chunk):
     assert sum(found[i] == found[j] for i, j in pairs) >= 0.98 * len(pairs) and all(found[i] in (i, i - 1) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize(("chunk", "listed"), [(8192, 8192), (8, 8192), (8, 0)])
+def test_no_similar_pair_is_lost_by_sketches_and_chunks(spark, monkeypatch, chunk, listed):
+    """Texts of 4 and 5 shingles have unlike sketches; chunks of full buckets aren't held against each other."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    monkeypatch.setattr(simhash, "LISTED_PAIRS", listed, raising=False)
+    random = np.random.default_rng(31)
+    words = lambda n: [f"w{x}" for x in random.integers(0, 1_000_000, n)]
+    passage, texts = words(60), []
+    for _ in range(200):
+        short, long = words(8), words(30)
+        texts += [short, [*short, "more"], long + passage, long[:5] + words(3) + long[8:] + passage]
+    texts = [" ".join(t) for t in texts]
+    pairs = near_pairs(texts)
+    assert len(pairs) == 400
+    assert similar(spark, texts) == least_of_groups(len(texts), pairs)
+
+
+def test_pairs_of_a_list_leave_out_what_is_joined(spark):
+    rows = [(1, 1, 7, 10, 0), (1, 2, 7, 10, 0), (1, 3, 8, 10, 1), (1, 4, 9, 13, 0), (1, 5, 6, 10, 2), (2, 1, 7, 10, 1), (2, 3, 8, 10, 0)]
+    lists = spark.createDataFrame(rows, "token long, check long, joined long, size int, at int")
+    assert {tuple(r) for r in simhash._listed_pairs(lists, 0.8).collect()} == {(1, 3), (2, 3)}
+
+
 def test_similar_links_of_equal_and_tiny_sets():
     sets = [np.array(x, np.uint64) for x in ([1], [1], [2], [1, 2, 3, 4], [1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11])]
     assert simhash.verified_links(np.zeros(6, np.uint64), sets, 0, 0.8) == [(0, 1), (3, 4)]
