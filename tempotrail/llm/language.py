@@ -41,6 +41,8 @@ UNKNOWN = "und"
 _HELD_WORDS = 200_000
 #: Words times languages that are summed up at once.
 _CELLS = 4_000_000
+#: Characters of texts whose words are held at once; a single longer text is held by itself.
+_HELD_CHARS = 500_000
 
 
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
@@ -180,7 +182,19 @@ class Model:
         return out
 
     def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores."""
+        """Languages and scores; the words of a whole batch would take many times its bytes, so a part of it at once."""
+        langs, scores, at = [], np.zeros(len(texts)), 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= _HELD_CHARS):
+                chars += len(texts[end] or "")
+                end += 1
+            part, scores[at:end] = self._predict(texts[at:end])
+            langs += part
+            at = end
+        return langs, scores
+
+    def _predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
         words = [Counter(_words(t or "")) for t in texts]
         has = [i for i, w in enumerate(words) if w]
         langs, scores = [UNKNOWN] * len(words), np.zeros(len(words))

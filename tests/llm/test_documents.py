@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -499,6 +500,21 @@ def test_language_by_its_definition(spark, monkeypatch, cells):
     assert got[201] == ("und", 0.0) and got[202][0] != "und"
 
 
+def test_language_holds_the_words_of_a_part_of_a_batch():
+    rng = np.random.default_rng(3)
+    words = ["".join(w) for w in rng.choice(list("abcdefgh"), (400_000, 8))]
+    texts = [None, "", *(" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)), "½"]
+    model = language.Model({"x": dict.fromkeys(words[:500], 2), "y": dict.fromkeys(words[300:900], 3)}, {"x": 4, "y": 5})
+    tracemalloc.start()
+    langs, scores = model.predict(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # all words of these 3.6 million characters take over 60 MB
+    at = [0, 1, 2, 150, 401, 402]
+    assert [model.predict([texts[i]])[0][0] for i in at] == [langs[i] for i in at] and [model.predict([texts[i]])[1][0] for i in at] == [scores[i] for i in at]
+    assert model.predict([])[0] == [] and len(langs) == len(scores) == len(texts)
+
+
 def test_language_samples_have_a_bound(spark):
     df = spark.createDataFrame([(i, f"{''.join(chr(97 + int(d)) for d in str(10_000 + i))} same", f"l{i % 30}") for i in range(3000)], "doc_id long, text string, lang string")
     every = language.fit(df, F.lit(True))
