@@ -75,6 +75,10 @@ DEALT = 3
 FIRST_TEXTS = 16
 #: Counters of shingles at most (of 4 bytes), and the pairs of a list that are written out; a longer list is searched as a whole.
 COUNTERS, LISTED_PAIRS = 1 << 22, 8192
+#: Bins of a set's counts at least; a set has two to four shingles a bin beyond it.
+LEAST_BINS = 32
+#: Bins of pairs that are held at once.
+CELLS = 1_000_000
 _TEXT = "_text"
 
 
@@ -463,6 +467,26 @@ def prefix(size, least: float):
     return size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
 
 
+def binned(tokens: np.ndarray) -> bytes:
+    """How many of these hashes start with the same bits, a byte each; nothing where a byte doesn't hold it."""
+    bits = max(LEAST_BINS, 1 << max(0, math.ceil(math.log2(max(1, len(tokens) / 4))))).bit_length() - 1
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def can_be_similar(a: Sequence[bytes], b: Sequence[bytes], least: float) -> np.ndarray:
+    """Whether pairs of sets can share at least so much: of a bin, they share no more than the lesser count."""
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    out = np.ones(len(sizes), bool)
+    for m, n in {(m, n) for m, n in sizes.tolist() if m and n}:
+        at = np.flatnonzero((sizes == (m, n)).all(axis=1))
+        for part in np.array_split(at, -(-len(at) * max(m, n) // CELLS)):
+            x, y = (np.frombuffer(b"".join(of[i] for i in part), np.uint8).reshape(len(part), min(m, n), -1).sum(axis=2, dtype=np.int64) for of in (a, b))
+            shared = np.minimum(x, y).sum(axis=1)
+            out[part] = shared >= least * (x.sum(axis=1) + y.sum(axis=1) - shared)
+    return out
+
+
 LINKS = "fp_a long, check_a long, fp_b long, check_b long"
 
 
@@ -651,6 +675,21 @@ def _listed_pairs(lists: DataFrame, least: float) -> DataFrame:
     return lists.select("token", "joined", "check", "size", "at").repartition("token").mapInPandas(paired, "a long, b long").distinct()
 
 
+def _that_can_be_similar(pairs: DataFrame, distinct: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that their counts by bins don't rule out, so that only their sets need be brought together; stored."""
+
+    @F.pandas_udf("boolean")
+    def can(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(can_be_similar(a.tolist(), b.tolist(), least))
+
+    part_in = lambda df: F.broadcast(df) if small(df, BROADCAST_ENDS) else df
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("check")).distinct(), "simhash-wanted")
+    ends = stored(distinct.select("node.check", "least.row").join(part_in(wanted), "check", "left_semi"), "simhash-ends")
+    bins = stored(prints.select("row", "bins").join(part_in(ends), "row").select("check", "bins"), "simhash-bins")
+    side = lambda end: part_in(bins.select(F.col("check").alias(end), F.col("bins").alias(f"bins_{end}")))
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(can("bins_a", "bins_b")).select("a", "b"), "simhash-pairs")
+
+
 def rest_links(distinct: DataFrame, prints: DataFrame, groups: DataFrame, least: float, shingle: int, text_col: str = "text") -> DataFrame | None:
     """Links (a, b) that, with the groups (node, root), span the groups of all similar texts; none where nothing is apart.
 
@@ -670,7 +709,7 @@ def rest_links(distinct: DataFrame, prints: DataFrame, groups: DataFrame, least:
     if lists.isEmpty():
         return None
     apart = stored(joined.join(part_in(lists), "token"), "simhash-apart")
-    pairs = stored(_listed_pairs(apart.filter(F.col("pairs") <= LISTED_PAIRS), least), "simhash-pairs")
+    pairs = _that_can_be_similar(stored(_listed_pairs(apart.filter(F.col("pairs") <= LISTED_PAIRS), least), "simhash-pairs"), distinct, prints, least)
     # a text with those after it is a unit, in chunks where they are many
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRED).alias("chunks"))
     pairs = pairs.join(many, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), "chunks")).alias("unit"))
@@ -724,16 +763,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_
     (one row of the component with that id), and the columns of keep."""
     names = [f"f{i}" for i in range(SKETCH_WORDS)]
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in [*names, "check"]))
+    @F.pandas_udf(", ".join(f"{c} long" for c in [*names, "check"]) + ", bins binary")
     def sketched(text: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(x, shingle) for x in text]
-        words = np.array([[*sketch(s), xxhash.xxh64_intdigest(s.tobytes(), SEED)] for s in sets], np.uint64).reshape(-1, SKETCH_WORDS + 1)
-        return pd.DataFrame(words.view(np.int64), columns=[*names, "check"])
+        words, bins = np.empty((len(text), SKETCH_WORDS + 1), np.uint64), []
+        for i, x in enumerate(text):
+            own = shingle_set(x, shingle)
+            words[i] = [*sketch(own), xxhash.xxh64_intdigest(own.tobytes(), SEED)]
+            bins.append(binned(own))
+        return pd.DataFrame(words.view(np.int64), columns=[*names, "check"]).assign(bins=bins)
 
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(_TEXT), F.monotonically_increasing_id().alias("row"), *(c for c in keep if c != text_col))
     prints = own.withColumn("sketch", sketched(_TEXT)).withColumn("node", F.struct(F.col("sketch.f0").alias("fp"), F.col("sketch.check").alias("check")))
-    prints = stored(prints, "simhash")
+    prints = stored(prints.withColumn("bins", F.col("sketch.bins")).withColumn("sketch", F.struct(*(F.col(f"sketch.{c}").alias(c) for c in names))), "simhash")
     distinct = stored(prints.groupBy("node").agg(_least_row(), F.first("sketch").alias("sketch")), "simhash-distinct")
     groups = components(sketch_links(distinct.select(*(f"sketch.{c}" for c in names)).distinct(), least))
     members = distinct.select("node", "node.fp", "least.row").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "row")

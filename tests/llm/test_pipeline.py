@@ -147,6 +147,35 @@ def test_pairs_of_a_list_leave_out_what_is_joined(spark):
     assert {tuple(r) for r in simhash._listed_pairs(lists, 0.8).collect()} == {(1, 3), (2, 3)}
 
 
+def test_sets_of_pairs_that_share_too_little_are_not_brought_together(spark, monkeypatch):
+    """Neighbours share a tenth of their shingles, so many share one of their first."""
+    random, searched, search = np.random.default_rng(41), [], simhash._searched
+    monkeypatch.setattr(simhash, "_searched", lambda units, least: searched.append(units.count()) or search(units, least))
+    words = [[f"w{x}" for x in random.integers(0, 1_000_000, 34)] for _ in range(401)]
+    rest = lambda: [f"w{x}" for x in random.integers(0, 1_000_000, 236)]
+    texts = [" ".join([*words[i], *rest(), *words[i + 1]]) for i in range(400)]
+    assert similar(spark, texts) == list(range(400))
+    assert len(searched) == 2 and searched[1] == 0
+
+
+def test_bins_rule_out_no_similar_pair():
+    random = np.random.default_rng(42)
+    some = lambda n: random.integers(0, 2**64, n, np.uint64)
+    alike, unlike = [], []
+    for n in [*range(1, 60), 100, 127, 128, 129, 500, 512, 513, 900, 5000, 20_000]:
+        a = some(n)
+        for new in range(0, 1 + n // 4, max(1, n // 40)):
+            for b in (a[new:], np.concatenate((a, some(new))), np.concatenate((a[new:], some(new)))):
+                if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+                    alike.append((simhash.binned(a), simhash.binned(b)))
+        unlike.append((simhash.binned(a), simhash.binned(some(n))))
+    full, empty = np.arange(2000, dtype=np.uint64), np.zeros(0, np.uint64)
+    assert simhash.binned(full) == b""
+    alike += [(b"", simhash.binned(some(2000))), (b"", b""), (simhash.binned(empty), simhash.binned(empty))]
+    assert len(alike) > 500 and simhash.can_be_similar(*zip(*alike, strict=True), 0.8).all()
+    assert simhash.can_be_similar(*zip(*unlike, strict=True), 0.8).sum() <= 2 and len(simhash.can_be_similar([], [], 0.8)) == 0
+
+
 def test_similar_links_of_equal_and_tiny_sets():
     sets = [np.array(x, np.uint64) for x in ([1], [1], [2], [1, 2, 3, 4], [1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11])]
     assert simhash.verified_links(np.zeros(6, np.uint64), sets, 0, 0.8) == [(0, 1), (3, 4)]
