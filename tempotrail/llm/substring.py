@@ -36,6 +36,8 @@ from tempotrail.llm.common import bounded_batches, partitions, release, stored,
 WINDOW = 20
 SEGMENTS = 256
 BITS_A_BLOCK, MOST_BITS, PROBES = 16, 1 << 30, 4
+#: Bits of a filter up to which both come to the driver at once, without a stored table (16 MB).
+COLLECT_BITS = 1 << 26
 #: Windows in a bucket, and windows that a task brings together before it sends them.
 BUCKET_WINDOWS, TASK_WINDOWS = 2_000_000, 1_000_000
 #: Rows of removed spans that are broadcast at most, and their bytes.
@@ -157,7 +159,11 @@ def block_index(rows: DataFrame, window: int = WINDOW) -> tuple[Filter, int]:
 
     bounded_batches(spark)
     built = cut.filter("segment >= 0").repartition(min(SEGMENTS, max(16, partitions(spark))), "segment").mapInPandas(build, "segment int, first binary, second binary")
-    for r in stored(built, "anchor-filters").toLocalIterator():  # two rows of bits a segment, MOST_BITS at most together
+    if size * SEGMENTS <= COLLECT_BITS:
+        rows_of_bits = built.collect()  # COLLECT_BITS / 4 bytes at most
+    else:
+        rows_of_bits = stored(built, "anchor-filters").toLocalIterator()  # MOST_BITS / 4 bytes at most, a part at a time
+    for r in rows_of_bits:
         at = slice(r["segment"] * size // 8, (r["segment"] + 1) * size // 8)
         filters.first[at], filters.second[at] = np.frombuffer(r["first"], np.uint8), np.frombuffer(r["second"], np.uint8)
     return filters, n.get(True) or 0
@@ -202,6 +208,27 @@ def by_destination(removed: list[tuple[np.ndarray, np.ndarray, np.ndarray]], des
     return pd.DataFrame(rows, columns=["destination", "id", "check", "n", "start"])
 
 
+def packed_rows(parts: list[tuple], held: dict[tuple[int, int], None], buckets: int) -> Iterator[pd.DataFrame]:
+    """The windows of parts (which is emptied): those to remove by text, the others by bucket."""
+    a, b, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    of_row = np.array(list(held), np.int64).reshape(-1, 2)
+    order, earliest = _ranked(a, b, of_row[row, 0], start)
+    yield _by_text(row[order][~earliest], start[order][~earliest], of_row, buckets)
+    sent = order[earliest]
+    bucket = (a[sent] % np.uint64(buckets)).astype(np.int32)
+    sent = sent[np.lexsort((start[sent], row[sent], bucket))]
+    a, b, row, start = a[sent], b[sent], row[sent], start[sent]
+    bucket = (a % np.uint64(buckets)).astype(np.int32)
+    of = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(bucket) != 0))))
+    counts = np.diff(np.append(of, len(row))).astype(np.int32)
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+    for x, y in zip(edges, edges[1:], strict=False):
+        g0, g1 = np.searchsorted(of, [x, y])
+        texts = of_row[row[of[g0:g1]]]
+        yield pd.DataFrame({"bucket": [int(bucket[x])], "a": [a[x:y].tobytes()], "b": [b[x:y].tobytes()], "start": [start[x:y].tobytes()], "id": [texts[:, 0].tobytes()], "check": [texts[:, 1].tobytes()], "n": [counts[g0:g1].tobytes()]})
+
+
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of rows (id: _LAST for null, check, text) that has repeats: id, check and the spans of words to remove; stored."""
     spark = rows.sparkSession
@@ -226,28 +253,10 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                     held[i, check] = None
                     n += len(starts)
                 if n >= TASK_WINDOWS:
-                    yield from packed_rows(parts, held)
+                    yield from packed_rows(parts, held, buckets)
                     held, parts, n = {}, [], 0
         if parts:
-            yield from packed_rows(parts, held)
-
-    def packed_rows(parts: list[tuple], held: dict[tuple[int, int], None]) -> Iterator[pd.DataFrame]:
-        a, b, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        of_row = np.array(list(held), np.int64).reshape(-1, 2)
-        order, earliest = _ranked(a, b, of_row[row, 0], start)
-        yield _by_text(row[order][~earliest], start[order][~earliest], of_row, buckets)
-        sent = order[earliest]
-        bucket = (a[sent] % np.uint64(buckets)).astype(np.int32)
-        sent = sent[np.lexsort((start[sent], row[sent], bucket))]
-        a, b, row, start = a[sent], b[sent], row[sent], start[sent]
-        bucket = (a % np.uint64(buckets)).astype(np.int32)
-        of = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(bucket) != 0))))
-        counts = np.diff(np.append(of, len(row))).astype(np.int32)
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-        for x, y in zip(edges, edges[1:], strict=False):
-            g0, g1 = np.searchsorted(of, [x, y])
-            texts = of_row[row[of[g0:g1]]]
-            yield pd.DataFrame({"bucket": [int(bucket[x])], "a": [a[x:y].tobytes()], "b": [b[x:y].tobytes()], "start": [start[x:y].tobytes()], "id": [texts[:, 0].tobytes()], "check": [texts[:, 1].tobytes()], "n": [counts[g0:g1].tobytes()]})
+            yield from packed_rows(parts, held, buckets)
 
     schema = "bucket int, a binary, b binary, start binary, id binary, check binary, n binary"
     bounded_batches(spark)
@@ -273,6 +282,7 @@ def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             start = np.concatenate([np.frombuffer(r.start, np.int32) for r in got])
             times = np.concatenate([np.frombuffer(r.n, np.int32) for r in got])
             ids, checks = (np.repeat(np.concatenate([np.frombuffer(getattr(r, c), np.int64) for r in got]), times) for c in ("id", "check"))
+            del got, times
             order, earliest = _ranked(a, b, ids, start)
             at = order[~earliest]
             removed.append((ids[at], checks[at], start[at]))
@@ -315,8 +325,9 @@ def _ranked(a: np.ndarray, b: np.ndarray, ids: np.ndarray, start: np.ndarray) ->
         order = np.lexsort((b, a))
         x, y = a[order], b[order]
         same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    del x, y
     new = np.concatenate(([True], ~same))[: len(order)]
-    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    first, group = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - np.int32(1)
     ids, start = ids[order], start[order]
     if not len(first):
         return order, np.zeros(0, bool)

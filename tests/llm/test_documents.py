@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tempotrail.llm import exact_dedup, language, lattice_lm, mixing, sanitise, sharding, simhash, substring, warc, winnowing
+from tempotrail.llm.common import noted
 
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(30_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, rows int, id int, check string, hash string, key string"
@@ -578,6 +579,31 @@ def test_substring_at_every_alignment(spark, monkeypatch):
         assert sorted((str(r["id"]), r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in out) == brute_repeats(docs)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 26])
+def test_substring_stores_no_small_filter(spark, folder, monkeypatch, most):
+    """Large filters pass through a stored table, small ones come to the driver as they are."""
+    monkeypatch.setattr(substring, "COLLECT_BITS", most)
+    with noted() as paths:
+        out = collected(substring.op10_substring(spark, folder))
+    assert any("anchor-filters" in p for p in paths) == (not most)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out) == brute_repeats(TEXTS)
+
+
+def test_substring_holds_a_task_s_windows_once():
+    rng, n = np.random.default_rng(3), 200_000
+    hashes = lambda: rng.integers(0, 2**63, n).astype(np.uint64)
+    tracemalloc.start()
+    parts = [(np.concatenate([a := hashes(), a[:1000]]), np.concatenate([b := hashes(), b[:1000]]), np.full(n + 1000, i, np.int32), np.arange(n + 1000, dtype=np.int32)) for i in range(5)]
+    del a, b
+    frames = substring.packed_rows(parts, {(i, i): None for i in range(5)}, 50)
+    late = next(frames)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    rest = list(frames)
+    assert not parts and peak < 95e6  # 74 MB; 118 where parts and sorted hashes stay
+    assert sum(len(x) for x in late["start"]) == 4 * 5000 and sum(len(x) for f in rest for x in f["start"]) == 4 * 5 * n
+
+
 @pytest.mark.parametrize("op", [winnowing.op7_winnowing, sharding.op8_sharding], ids=lambda f: f.__name__)
 def test_native(spark, folder, op):
     assert not re.search("Python|Pandas|Arrow", op(spark, folder)._jdf.queryExecution().executedPlan().toString())
